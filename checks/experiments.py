@@ -17,9 +17,13 @@ Z95 = z_value(0.975)
 
 
 def phi_sql(z: str) -> str:
-    """Normal distribution function as 1/2 + density x sum of z^(2k+1) / (2k+1)!!."""
-    return f"""(0.5::DOUBLE + exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()) * ({z}) * list_sum(list_transform(range(150),
-        lambda k: CASE WHEN k = 0 THEN 1::DOUBLE ELSE pow(abs({z}) + 1e-300, 2 * k) /
+    """Normal distribution function as 1/2 + density x sum of z^(2k+1) / (2k+1)!!.
+
+    Beyond 9 deviations it is 0 or 1 to far more digits than are compared.
+    """
+    near = f"greatest(-9, least(9, {z}))"
+    return f"""(0.5::DOUBLE + exp(-({near}) * ({near}) / 2) / sqrt(2 * pi()) * ({near}) * list_sum(list_transform(range(150),
+        lambda k: CASE WHEN k = 0 THEN 1::DOUBLE ELSE pow(abs({near}), 2 * k) /
           exp((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi())) END)))"""
 
 

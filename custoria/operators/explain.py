@@ -47,11 +47,11 @@ def tree_leaves(spark: SparkSession, model) -> list[Leaf]:
         F.col("treeID").alias("tree"),
         F.col("nodeData.id").alias("id"),
         F.col("nodeData.prediction").alias("value"),
-        F.col("nodeData.impurityStats")[0].alias("cover"),
+        F.get("nodeData.impurityStats", F.lit(0)).alias("cover"),
         F.col("nodeData.leftChild").alias("left"),
         F.col("nodeData.rightChild").alias("right"),
         F.col("nodeData.split.featureIndex").alias("feature"),
-        F.col("nodeData.split.leftCategoriesOrThreshold")[0].alias("threshold"),
+        F.get("nodeData.split.leftCategoriesOrThreshold", F.lit(0)).alias("threshold"),
     )
     trees: dict[int, dict[int, dict]] = defaultdict(dict)
     for node in nodes.collect():  # bounded by trees x 2^(depth + 1)

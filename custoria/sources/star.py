@@ -15,8 +15,20 @@ SIGNUP_STEP, SIGNUP_SPAN_DAYS = 37, 2400
 MIN_AGE, AGE_SPAN = 18, 47
 
 
+# Fixed types of the warehouse columns in use: no job to look them up, no other column read.
+_COLUMNS = {
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_quantity double",
+    "part": "p_partkey bigint, p_type string, p_retailprice double",
+    "events": "event_id bigint, ts timestamp_ntz, event_type string, value double",
+}
+
+
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(_COLUMNS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def _signup_date(customer_key: str) -> Column:
