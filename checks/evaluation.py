@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from checks.registry import query, sql, view
 from custoria.functions.columns import as_double
-from custoria.operators import evaluation, features, labels, matrix, ordered, reshape, splits
+from custoria.operators import evaluation, features, matrix, ordered, reshape, splits
 from custoria.operators.horizon import horizon
+from custoria.sources import star
+from custoria.sources.reuse import ResultStore
 
 HASH = "CAST('0x' || substr(md5('42:' || CAST(customer_id AS VARCHAR)), 1, 15) AS BIGINT)"
 
@@ -77,21 +79,36 @@ view(
 )
 
 
-def feature_table(shop):
-    return features.churn_features(shop.customers, shop.orders, shop.order_items, horizon(shop.orders))
+def feature_table(spark, folder):
+    """The customer feature table, saved on first use: splits and evaluations read it repeatedly."""
 
+    def build():
+        shop = star.shop(spark, folder)
+        return features.churn_features(shop.customers, shop.orders, shop.order_items, horizon(shop.orders))
 
-def scores(shop):
+    return ResultStore(spark).get("features", build, folder=folder)
+
+
+def scores(spark, folder):
     """Two scores per customer that follow from the features; the second has many ties."""
     recency, orders = as_double("recency_days"), as_double("total_orders")
-    wide = feature_table(shop).select(
+    wide = feature_table(spark, folder).select(
         "customer_id", "churned", (recency / (recency + 90)).alias("a"), (F.lit(1.0) / (1 + orders)).alias("b")
     )
     return evaluation.long_scores(wide, {"recency": "a", "orders": "b"}, "churned", ["customer_id"])
 
 
-def forecasts(shop):
-    table = features.spend_features(shop.customers, shop.orders, horizon(shop.orders)).select(
+def spend_table(spark, folder):
+    def build():
+        shop = star.shop(spark, folder)
+        return features.spend_features(shop.customers, shop.orders, horizon(shop.orders))
+
+    return ResultStore(spark).get("spend", build, folder=folder)
+
+
+def forecasts(spark, folder):
+    """Two spend predictions per customer that need no model."""
+    table = spend_table(spark, folder).select(
         "customer_id",
         F.col("future_90d_spend").alias("label"),
         (F.col("avg_order_value") * F.col("order_frequency") * 3).alias("rate"),
@@ -127,8 +144,8 @@ view(
 
 
 @query("M01_stratified_split", sql("part_of", "SELECT customer_id, churned, is_test FROM part_of"))
-def m01(shop):
-    table = labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders))
+def m01(spark, folder):
+    table = feature_table(spark, folder).select("customer_id", "churned")
     return splits.stratified_split(table, "customer_id", "churned")
 
 
@@ -136,8 +153,8 @@ def m01(shop):
     "M02_random_split",
     sql("clv", f"SELECT customer_id, {HASH} < {2**58} AS is_test FROM clv"),
 )
-def m02(shop):
-    table = features.spend_features(shop.customers, shop.orders, horizon(shop.orders))
+def m02(spark, folder):
+    table = spend_table(spark, folder)
     return splits.random_split(table, "customer_id").select("customer_id", "is_test")
 
 
@@ -154,8 +171,8 @@ def m02(shop):
         + " FROM part_of WHERE NOT is_test)",
     ),
 )
-def m03(shop):
-    table = splits.stratified_split(feature_table(shop), "customer_id", "churned")
+def m03(spark, folder):
+    table = splits.stratified_split(feature_table(spark, folder), "customer_id", "churned")
     columns = {c: as_double(c) for c in matrix.CHURN_NUMERIC}
     scaler = matrix.Scaler.fit(table.filter(~F.col("is_test")), columns)
     return table.select(
@@ -178,8 +195,8 @@ def m03(shop):
         + ") WHERE value <> 0",
     ),
 )
-def m04(shop):
-    table = feature_table(shop)
+def m04(spark, folder):
+    table = feature_table(spark, folder)
     design = matrix.Design.fit(table, matrix.CHURN_NUMERIC, matrix.CHURN_CATEGORIES)
     vectors = design.assemble(table, ["customer_id"])
     names = F.array(*[F.lit(name) for name in design.names])
@@ -199,8 +216,8 @@ def m04(shop):
         FROM feat JOIN (SELECT churned, count(*) AS n, sum(count(*)) OVER () AS total FROM feat GROUP BY 1) USING (churned)""",
     ),
 )
-def m05(shop):
-    table = labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders))
+def m05(spark, folder):
+    table = feature_table(spark, folder).select("customer_id", "churned")
     return matrix.balanced_weights(table, table, "churned").select("customer_id", "churned", "balanced")
 
 
@@ -213,8 +230,8 @@ def m05(shop):
                            / greatest(count(*) FILTER (churned = 1), 1) AS w FROM feat)""",
     ),
 )
-def m06(shop):
-    table = labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders))
+def m06(spark, folder):
+    table = feature_table(spark, folder).select("customer_id", "churned")
     return matrix.positive_weights(table, table, "churned")
 
 
@@ -225,8 +242,8 @@ def m06(shop):
     "P12_threshold",
     sql("score", "SELECT model, customer_id, label, prob, CAST(prob >= 0.5 AS INTEGER) AS predicted FROM score"),
 )
-def p12(shop):
-    return evaluation.decide(scores(shop))
+def p12(spark, folder):
+    return evaluation.decide(scores(spark, folder))
 
 
 @query(
@@ -238,23 +255,23 @@ def p12(shop):
              AS avg_rank FROM point""",
     ),
 )
-def w02(shop):
-    return evaluation.average_ranks(scores(shop))
+def w02(spark, folder):
+    return evaluation.average_ranks(scores(spark, folder))
 
 
 @query("W03_cumulative_hits", sql("ranked", "SELECT * FROM ranked"))
-def w03(shop):
-    return evaluation.ranked_points(scores(shop))
+def w03(spark, folder):
+    return evaluation.ranked_points(scores(spark, folder))
 
 
 @query("E01_roc_auc", sql("auc", "SELECT * FROM auc"))
-def e01(shop):
-    return evaluation.roc_auc(scores(shop))
+def e01(spark, folder):
+    return evaluation.roc_auc(scores(spark, folder))
 
 
 @query("E02_precision_recall_f1", sql("quality", "SELECT * FROM quality"))
-def e02(shop):
-    return evaluation.precision_recall(evaluation.outcome_counts(scores(shop)))
+def e02(spark, folder):
+    return evaluation.precision_recall(evaluation.outcome_counts(scores(spark, folder)))
 
 
 view(
@@ -295,8 +312,8 @@ def average_line(name: str, weight: str) -> str:
         ),
     ),
 )
-def e03(shop):
-    table = evaluation.classification_report(evaluation.outcome_counts(scores(shop)))
+def e03(spark, folder):
+    table = evaluation.classification_report(evaluation.outcome_counts(scores(spark, folder)))
     measures = [F.round(m, 9).alias(m) for m in ("precision", "recall", "f1")]
     return table.select("model", "class", *measures, "support")
 
@@ -310,8 +327,8 @@ def e03(shop):
         UNION ALL SELECT DISTINCT model, NULL, 0, 0 FROM ranked""",
     ),
 )
-def e04(shop):
-    return evaluation.roc_curve(scores(shop))
+def e04(spark, folder):
+    return evaluation.roc_curve(scores(spark, folder))
 
 
 @query(
@@ -323,34 +340,34 @@ def e04(shop):
         FROM outcome, (SELECT unnest([0, 1]) AS actual), (SELECT unnest([0, 1]) AS predicted)""",
     ),
 )
-def e05(shop):
-    return evaluation.confusion(evaluation.outcome_counts(scores(shop)))
+def e05(spark, folder):
+    return evaluation.confusion(evaluation.outcome_counts(scores(spark, folder)))
 
 
 @query("E06_model_comparison", sql("auc quality", "SELECT * FROM auc JOIN quality USING (model)"))
-def e06(shop):
-    return evaluation.compare_classifiers(scores(shop))
+def e06(spark, folder):
+    return evaluation.compare_classifiers(scores(spark, folder))
 
 
 @query(
     "O02_best_model",
     sql("auc quality", "SELECT * FROM auc JOIN quality USING (model) ORDER BY roc_auc DESC, model LIMIT 1"),
 )
-def o02(shop):
-    return evaluation.best_classifier(evaluation.compare_classifiers(scores(shop)))
+def o02(spark, folder):
+    return evaluation.best_classifier(evaluation.compare_classifiers(scores(spark, folder)))
 
 
 @query("E07_mae_r2", sql("error", "SELECT model, round(mae, 6) AS mae, round(r2, 9) AS r2 FROM error"))
-def e07(shop):
-    return evaluation.regression_errors(forecasts(shop), digits=(6, 9))
+def e07(spark, folder):
+    return evaluation.regression_errors(forecasts(spark, folder), digits=(6, 9))
 
 
 @query(
     "E08_best_regressor",
     sql("error", "SELECT model, round(mae, 6) AS mae, round(r2, 9) AS r2 FROM error ORDER BY r2 DESC, model LIMIT 1"),
 )
-def e08(shop):
-    return evaluation.best_regressor(evaluation.regression_errors(forecasts(shop), digits=(6, 9)))
+def e08(spark, folder):
+    return evaluation.best_regressor(evaluation.regression_errors(forecasts(spark, folder), digits=(6, 9)))
 
 
 @query(
@@ -361,8 +378,8 @@ def e08(shop):
         FROM forecast""",
     ),
 )
-def e09(shop):
-    pairs = forecasts(shop)
+def e09(spark, folder):
+    pairs = forecasts(spark, folder)
     limit = F.broadcast(evaluation.axis_limit(pairs))  # one row per model
     return pairs.join(limit, "model").select("model", "customer_id", "label", "prediction", "axis_max")
 

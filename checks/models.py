@@ -19,12 +19,12 @@ SPEND = spend.SpendSettings(rounds=10)
 
 @lru_cache(maxsize=8)
 def _churn(application: str, spark, folder: str) -> churn.ChurnRun:
-    return churn.run_churn(churn.feature_table(star.shop(spark, folder), CHURN), CHURN)
+    return churn.run_churn(star.shop(spark, folder), CHURN)
 
 
 @lru_cache(maxsize=8)
 def _spend(application: str, spark, folder: str) -> spend.SpendRun:
-    return spend.run_spend(spend.feature_table(star.shop(spark, folder), SPEND), SPEND)
+    return spend.run_spend(star.shop(spark, folder), SPEND)
 
 
 def churn_run(spark, folder):

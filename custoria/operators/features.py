@@ -48,7 +48,9 @@ def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> Da
     if payment:
         used = (F.col("payments") > 0) & F.col("payment_method").isNotNull()
         votes = F.when(used, F.struct(-F.col("payments"), F.col("payment_method")))
-        base = base.groupBy("customer_id").agg(
+        # Choosing a name needs a sort by customer. Repartitioning first lets one sort serve both
+        # halves of the aggregate and the join that follows.
+        base = base.repartition("customer_id").groupBy("customer_id").agg(
             *[F.sum(c).alias(c) for c in ("total_orders", "spend", "priced_orders", "discount_orders")],
             *[F.sum(c).alias(c) for c in ("future_orders", "future_spend")],
             F.max("last_order_date").alias("last_order_date"),

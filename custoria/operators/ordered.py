@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLICES = 128
+# Slices per group are SIDE x SIDE: two short look-ups find a value's slice among them.
+SIDE = 32
+
+
+def _coarse(cuts: str, side: int) -> Column:
+    """Every `side`-th cut."""
+    return F.transform(F.sequence(F.lit(1), F.lit(side - 1)), lambda place: F.element_at(cuts, place * side))
+
+
+def _above(cuts: str, order: str) -> Column:
+    """How many of the cuts lie above the value."""
+    return F.size(F.filter(cuts, lambda cut: cut > F.col(order)))
 
 
 def running_totals(
-    frame: DataFrame, group: str, order: str, totals: dict[str, str], slices: int = SLICES
+    frame: DataFrame, group: str, order: str, totals: dict[str, str], side: int = SIDE
 ) -> DataFrame:
     """Inclusive running sums by descending `order` within each `group`.
 
@@ -17,11 +28,21 @@ def running_totals(
     group into slices of about equal size; a row's total is the exact total of the slices above
     plus its running sum inside the slice, hence exact wherever the cuts fall. `group` stands
     for a few entities such as models: its cut lists are one row each and are broadcast.
+
+    `frame` is read three times, so pass a saved table or an aggregate of one.
     """
+    slices = side * side
     at = [i / slices for i in range(1, slices)]
-    cuts = frame.groupBy(group).agg(F.percentile_approx(order, at, 20 * slices).alias("_cuts"))
-    above = F.size(F.filter("_cuts", lambda cut: cut > F.col(order)))
-    sliced = frame.join(F.broadcast(cuts), group).withColumn("_slice", above).drop("_cuts")
+    cuts = frame.groupBy(group).agg(F.percentile_approx(order, at, 20 * slices).alias("_cuts")).select(
+        group, "_cuts", _coarse("_cuts", side).alias("_coarse")
+    )
+    sliced = (
+        frame.join(F.broadcast(cuts), group)
+        .withColumn("_upper", _above("_coarse", order))
+        .withColumn("_block", F.slice("_cuts", side * (side - 1 - F.col("_upper")) + 1, side - 1))
+        .withColumn("_slice", side * F.col("_upper") + _above("_block", order))
+        .drop("_cuts", "_coarse", "_upper", "_block")
+    )
 
     sums = sliced.groupBy(group, "_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in totals])
     higher = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

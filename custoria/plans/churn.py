@@ -56,6 +56,7 @@ class Prepared:
 
 @dataclass(frozen=True)
 class ChurnRun:
+    features: DataFrame
     prepared: Prepared
     models: dict
     scores: DataFrame
@@ -95,8 +96,8 @@ def feature_table(shop: Shop, settings: ChurnSettings = ChurnSettings()) -> Data
 
 
 def prepare(features: DataFrame, settings: ChurnSettings = ChurnSettings()) -> Prepared:
-    """Split, weigh, scale and assemble. The result is written once, since every learner reads
-    it dozens to hundreds of times and a lost executor must not rebuild it from the orders."""
+    """Split, weigh, scale and assemble a saved feature table. The result is written once, since
+    learners read it up to hundreds of times and a lost executor must not rebuild it."""
     columns = ["customer_id", LABEL, *matrix.CHURN_NUMERIC, *settings.categories]
     split = settle(stratified_split(features.select(*columns), "customer_id", LABEL, seed=settings.seed), "split")
     train = split.filter(~F.col("is_test"))
@@ -130,7 +131,9 @@ def score(models: dict, table: DataFrame) -> DataFrame:
     return evaluation.long_scores(table, columns, LABEL, ["customer_id"])
 
 
-def run_churn(features: DataFrame, settings: ChurnSettings = ChurnSettings()) -> ChurnRun:
+def run_churn(shop: Shop, settings: ChurnSettings = ChurnSettings()) -> ChurnRun:
+    """Features, split, three models and their test scores; every step's table is written once."""
+    features = settle(feature_table(shop, settings), "churn-features")
     prepared = prepare(features, settings)
     models = train_models(prepared, settings)
-    return ChurnRun(prepared, models, settle(score(models, prepared.test), "churn-scores"))
+    return ChurnRun(features, prepared, models, settle(score(models, prepared.test), "churn-scores"))

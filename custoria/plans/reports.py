@@ -48,9 +48,8 @@ def experiment_summary(
 
 def write_churn(shop: Shop, out: str, settings: churn.ChurnSettings = churn.ChurnSettings()) -> churn.ChurnRun:
     """Feature table, model comparison, ROC points, confusion matrix, report, attributions."""
-    table = settle(churn.feature_table(shop, settings), "churn-features")
-    run = churn.run_churn(table, settings)
-    write_result(table, f"{out}/customer_features_full")
+    run = churn.run_churn(shop, settings)
+    write_result(run.features, f"{out}/customer_features_full")
     write_result(run.comparison(), f"{out}/churn_model_comparison")
     write_result(run.report(), f"{out}/churn_classification_report")
     write_result(run.roc(), f"{out}/churn_roc_curve")
@@ -62,7 +61,7 @@ def write_churn(shop: Shop, out: str, settings: churn.ChurnSettings = churn.Chur
 
 def write_spend(shop: Shop, out: str, settings: spend.SpendSettings = spend.SpendSettings()) -> spend.SpendRun:
     """Model comparison, actual against predicted, importances."""
-    run = spend.run_spend(spend.feature_table(shop, settings), settings)
+    run = spend.run_spend(shop, settings)
     write_result(run.comparison(), f"{out}/clv_model_comparison")
     write_result(run.best_pairs(), f"{out}/clv_actual_vs_predicted")
     write_result(run.importance(), f"{out}/clv_feature_importance")

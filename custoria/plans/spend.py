@@ -94,7 +94,8 @@ def score(models: dict, table: DataFrame, label: str) -> DataFrame:
     return renamed.unpivot(["customer_id", "label"], list(columns), "model", "prediction")
 
 
-def run_spend(features: DataFrame, settings: SpendSettings = SpendSettings()) -> SpendRun:
-    prepared = prepare(features, settings)
+def run_spend(shop: Shop, settings: SpendSettings = SpendSettings()) -> SpendRun:
+    """Features, split, both models and their test scores."""
+    prepared = prepare(feature_table(shop, settings), settings)
     models = train_models(prepared, settings)
     return SpendRun(prepared, models, settle(score(models, prepared.test, settings.label), "spend-scores"))

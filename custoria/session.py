@@ -18,13 +18,16 @@ _WANTED = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Only read when a session starts; recording the call site of every column slows down plan building.
+_AT_START = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def build(app: str = "custoria", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the wanted settings; `conf` keys use `__` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**_WANTED, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
+    for key, value in {**_WANTED, **_AT_START, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
