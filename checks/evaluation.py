@@ -91,11 +91,15 @@ def feature_table(spark, folder):
 
 def scores(spark, folder):
     """Two scores per customer that follow from the features; the second has many ties."""
-    recency, orders = as_double("recency_days"), as_double("total_orders")
-    wide = feature_table(spark, folder).select(
-        "customer_id", "churned", (recency / (recency + 90)).alias("a"), (F.lit(1.0) / (1 + orders)).alias("b")
-    )
-    return evaluation.long_scores(wide, {"recency": "a", "orders": "b"}, "churned", ["customer_id"])
+
+    def build():
+        recency, orders = as_double("recency_days"), as_double("total_orders")
+        wide = feature_table(spark, folder).select(
+            "customer_id", "churned", (recency / (recency + 90)).alias("a"), (F.lit(1.0) / (1 + orders)).alias("b")
+        )
+        return evaluation.long_scores(wide, {"recency": "a", "orders": "b"}, "churned", ["customer_id"])
+
+    return ResultStore(spark).get("scores", build, folder=folder)
 
 
 def spend_table(spark, folder):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 # Slices per group are SIDE x SIDE: two short look-ups find a value's slice among them.
@@ -29,11 +32,15 @@ def running_totals(
     plus its running sum inside the slice, hence exact wherever the cuts fall. `group` stands
     for a few entities such as models: its cut lists are one row each and are broadcast.
 
-    `frame` is read three times, so pass a saved table or an aggregate of one.
+    `frame` feeds three branches, so pass a saved table or an aggregate of one.
     """
     slices = side * side
     at = [i / slices for i in range(1, slices)]
-    cuts = frame.groupBy(group).agg(F.percentile_approx(order, at, 20 * slices).alias("_cuts")).select(
+    # Rows that add nothing matter neither to the cuts nor to the sums. Asking for them keeps the
+    # columns of all three branches equal, so that the shuffle of `frame` runs once and is reused.
+    adds = reduce(or_, [F.col(c) != 0 for c in totals])
+    quantiles = F.percentile_approx(F.when(adds, F.col(order)), at, 20 * slices)
+    cuts = frame.groupBy(group).agg(quantiles.alias("_cuts")).select(
         group, "_cuts", _coarse("_cuts", side).alias("_coarse")
     )
     sliced = (
@@ -44,7 +51,7 @@ def running_totals(
         .drop("_cuts", "_coarse", "_upper", "_block")
     )
 
-    sums = sliced.groupBy(group, "_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in totals])
+    sums = sliced.filter(adds).groupBy(group, "_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in totals])
     higher = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
         group, "_slice", *[F.coalesce(F.sum(f"_all_{c}").over(higher), F.lit(0)).alias(f"_off_{c}") for c in totals]
