@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, sql, view
 from custoria.functions.columns import as_double
 from custoria.operators import evaluation, features, matrix, ordered, reshape, splits
+from custoria.operators.bounds import few_rows
 from custoria.operators.horizon import horizon
 from custoria.sources import star
 from custoria.sources.reuse import ResultStore
@@ -384,8 +385,7 @@ def e08(spark, folder):
 )
 def e09(spark, folder):
     pairs = forecasts(spark, folder)
-    limit = F.broadcast(evaluation.axis_limit(pairs))  # one row per model
-    return pairs.join(limit, "model").select("model", "customer_id", "label", "prediction", "axis_max")
+    return pairs.join(few_rows(evaluation.axis_limit(pairs)), "model").select("model", "customer_id", "label", "prediction", "axis_max")
 
 
 @query(
@@ -400,12 +400,13 @@ def o03(shop):
 @query(
     "W01_running_total_sliced",
     sql(
-        "rfm",
-        """SELECT 'all' AS grp, total_spend, CAST(sum(count(*)) OVER (ORDER BY total_spend DESC) AS BIGINT) AS upto
-        FROM rfm GROUP BY total_spend""",
+        "ord",
+        """SELECT payment_method, order_value, CAST(sum(count(*)) OVER (PARTITION BY payment_method
+             ORDER BY order_value DESC) AS BIGINT) AS orders_from_here_up
+        FROM ord GROUP BY payment_method, order_value""",
     ),
 )
 def w01_sliced(shop):
-    spend = features.rfm(shop.orders, horizon(shop.orders)).groupBy("total_spend").agg(F.count(F.lit(1)).alias("n"))
-    table = ordered.running_totals(spend.withColumn("grp", F.lit("all")), "grp", "total_spend", {"n": "upto"})
-    return table.select("grp", "total_spend", "upto")
+    points = shop.orders.groupBy("payment_method", "order_value").agg(F.count(F.lit(1)).alias("n"))
+    table = ordered.running_totals(points, "payment_method", "order_value", {"n": "orders_from_here_up"})
+    return table.drop("n")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from custoria.functions.columns import as_double, ratio
+from custoria.operators.bounds import few_rows
 from custoria.operators.ordered import running_totals
 from custoria.operators.reshape import best_row
 
@@ -116,7 +117,7 @@ def average_ranks(scores: DataFrame) -> DataFrame:
     total = points.groupBy("model").agg(F.sum("n").alias("rows"))
     ranked = running_totals(points, "model", "prob", {"n": "down_to"})
     below = F.col("rows") - F.col("down_to")
-    return ranked.join(F.broadcast(total), "model").select(  # one row per model
+    return ranked.join(few_rows(total), "model").select(
         "model", "prob", "n", (as_double(below) + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank")
     )
 
@@ -152,7 +153,7 @@ def roc_curve(scores: DataFrame) -> DataFrame:
     origin = totals.select(
         "model", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    points = ranked.join(F.broadcast(totals), "model").select(  # one row per model
+    points = ranked.join(few_rows(totals), "model").select(
         "model",
         F.col("prob").alias("threshold"),
         ratio("cum_neg", "negatives").alias("fpr"),
@@ -163,9 +164,8 @@ def roc_curve(scores: DataFrame) -> DataFrame:
 
 def compare_classifiers(scores: DataFrame, threshold: float = THRESHOLD, digits: int | None = None) -> DataFrame:
     """One line per model: ROC AUC, precision, recall, F1."""
-    table = roc_auc(scores).join(
-        F.broadcast(precision_recall(outcome_counts(scores, threshold))), "model"  # one row per model
-    )
+    quality = few_rows(precision_recall(outcome_counts(scores, threshold)))
+    table = roc_auc(scores).join(quality, "model")
     measures = ("roc_auc", "precision", "recall", "f1")
     return table.select("model", *[_rounded(m, digits) for m in measures])
 

@@ -244,7 +244,13 @@ def readout(visits: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return recommendation(impact(conversion_flag(pairs, alpha)))
 
 
-def summary(results: DataFrame, planned: DataFrame) -> DataFrame:
+def with_design(results: DataFrame, effect: float = 0.15, alpha: float = ALPHA, power: float = POWER) -> DataFrame:
+    """Add the design to every result; the control arm's rate is its baseline."""
+    chosen = {"mde_relative": F.lit(effect), "alpha": F.lit(alpha), "power": F.lit(power)}
+    return plan_experiments(results.withColumns({"baseline_cr": F.col("control_conversion_rate"), **chosen}))
+
+
+def summary(designed: DataFrame) -> DataFrame:
     """The eight report lines per experiment, as (experiment_id, metric, value)."""
     lines = {
         "Baseline conversion rate": percent("baseline_cr"),
@@ -256,6 +262,5 @@ def summary(results: DataFrame, planned: DataFrame) -> DataFrame:
         "AOV t-test p-value": F.format_string("%.5f", "p_aov"),
         "Revenue-per-visitor lift": F.format_string("Rs.%.2f", "net_lift"),
     }
-    both = results.join(planned, "experiment_id")
-    named = both.select("experiment_id", *[value.alias(name) for name, value in lines.items()])
+    named = designed.select("experiment_id", *[value.alias(name) for name, value in lines.items()])
     return named.unpivot(["experiment_id"], list(lines), "metric", "value")

@@ -110,7 +110,7 @@ def preferred_payment(orders: DataFrame, span: Horizon) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("uses"))
     )
     best = F.min(F.struct(-F.col("uses"), F.col("payment_method")))
-    return counts.groupBy("customer_id").agg(best["payment_method"].alias("preferred_payment"))
+    return counts.repartition("customer_id").groupBy("customer_id").agg(best["payment_method"].alias("preferred_payment"))
 
 
 # Fixed fill values for customers without history; recency and the outcome have their own rules.

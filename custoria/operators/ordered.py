@@ -7,6 +7,8 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from custoria.operators.bounds import few_rows
+
 # Slices per group are SIDE x SIDE: two short look-ups find a value's slice among them.
 SIDE = 32
 
@@ -27,10 +29,10 @@ def running_totals(
     """Inclusive running sums by descending `order` within each `group`.
 
     `totals` maps source columns to names of their running sums. `order` must be unique within
-    the group (aggregate first), so that no slice can be hot. Approximate quantiles cut each
+    the group (aggregate first), so that no slice can be hot; nulls of it come last. Approximate quantiles cut each
     group into slices of about equal size; a row's total is the exact total of the slices above
     plus its running sum inside the slice, hence exact wherever the cuts fall. `group` stands
-    for a few entities such as models: its cut lists are one row each and are broadcast.
+    for a few entities such as models, which is checked: their cut lists are broadcast.
 
     `frame` feeds three branches, so pass a saved table or an aggregate of one.
     """
@@ -44,10 +46,13 @@ def running_totals(
         group, "_cuts", _coarse("_cuts", side).alias("_coarse")
     )
     sliced = (
-        frame.join(F.broadcast(cuts), group)
+        frame.join(few_rows(cuts), group)
         .withColumn("_upper", _above("_coarse", order))
         .withColumn("_block", F.slice("_cuts", side * (side - 1 - F.col("_upper")) + 1, side - 1))
-        .withColumn("_slice", side * F.col("_upper") + _above("_block", order))
+        .withColumn(
+            "_slice",
+            F.when(F.col(order).isNull(), side * side).otherwise(side * F.col("_upper") + _above("_block", order)),
+        )
         .drop("_cuts", "_coarse", "_upper", "_block")
     )
 
@@ -61,7 +66,7 @@ def running_totals(
     )
     return (
         sliced.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in totals})
-        .join(F.broadcast(offsets), [group, "_slice"])  # groups x slices rows
+        .join(F.broadcast(offsets), [group, "_slice"])  # checked groups x slices rows
         .select(
             *frame.columns,
             *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(name) for c, name in totals.items()],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from custoria.functions.columns import KEY_HASH_SPAN, key_hash
+from custoria.operators.bounds import few_rows
 
 TEST_SHARE = 0.25
 SEED = 42
@@ -23,7 +24,8 @@ def stratified_split(
 
     The test rows of a class are those with the lowest (hash, key). Their exact last row is found
     without sorting the class: counts per hash bucket tell in which bucket it lies, and only that
-    bucket is ranked. The table itself meets one row per class and is never shuffled.
+    bucket is ranked. The table itself meets one row per class and is never shuffled; it feeds
+    three branches, so pass a saved one.
     """
     hashed = table.withColumn("_hash", key_hash(seed, key))
     bucket = F.shiftright("_hash", 60 - _BUCKET_BITS)
@@ -32,23 +34,23 @@ def stratified_split(
     # At most classes x 2^14 rows from here to `edges`.
     upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     reached = sizes.withColumn("_upto", F.sum("_n").over(upto))
-    quotas = _quotas(sizes, label, share)
+    quotas = few_rows(_quotas(sizes, label, share))
     edges = (
-        reached.join(F.broadcast(quotas), label)  # one row per class
+        reached.join(quotas, label)
         .filter((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
         .select(label, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_rank"))
     )
     in_bucket = Window.partitionBy(label).orderBy("_hash", key)
     last = (
         hashed.select(label, key, "_hash", bucket.alias("_bucket"))
-        .join(F.broadcast(edges), [label, "_bucket"])  # one row per class
+        .join(few_rows(edges), [label, "_bucket"])
         .withColumn("_place", F.row_number().over(in_bucket))
         .filter(F.col("_place") == F.col("_rank"))
         .select(label, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
     )
     chosen = F.struct("_hash", key) <= F.struct("_last_hash", "_last_key")
     return (
-        hashed.join(F.broadcast(last), label, "left")  # one row per class
+        hashed.join(few_rows(last), label, "left")
         .withColumn("is_test", F.coalesce(chosen, F.lit(False)))
         .drop("_hash", "_last_hash", "_last_key")
     )

@@ -40,10 +40,7 @@ def experiment_summary(
     visits: DataFrame, effect: float = 0.15, alpha: float = experiment.ALPHA, power: float = experiment.POWER
 ) -> DataFrame:
     """The summary lines of every experiment; its control arm's rate is the design baseline."""
-    results = experiment.readout(visits, alpha)
-    baselines = results.select("experiment_id", F.col("control_conversion_rate").alias("baseline_cr"))
-    planned = experiment.plan_experiments(experiment.design_menu(baselines, (effect,), (alpha,), (power,)))
-    return experiment.summary(results, planned)
+    return experiment.summary(experiment.with_design(experiment.readout(visits, alpha), effect, alpha, power))
 
 
 def write_churn(shop: Shop, out: str, settings: churn.ChurnSettings = churn.ChurnSettings()) -> churn.ChurnRun:
@@ -86,8 +83,8 @@ def write_overview(shop: Shop, out: str) -> None:
 def write_experiment(visits: DataFrame, out: str) -> None:
     """Readout, summary and power curve of every experiment."""
     results = settle(experiment.readout(visits), "readout")
-    baselines = results.select("experiment_id", F.col("control_conversion_rate").alias("baseline_cr"))
-    planned = experiment.plan_experiments(experiment.design_menu(baselines))
+    designed = experiment.with_design(results)
     write_result(results, f"{out}/ab_test_readout")
-    write_result(experiment.summary(results, planned), f"{out}/ab_test_summary")
-    write_result(experiment.power_at(experiment.fixed_grid(planned)), f"{out}/ab_test_power_curve")
+    write_result(experiment.summary(designed), f"{out}/ab_test_summary")
+    design = designed.select("experiment_id", "baseline_cr", "effect_size", "alpha", "power", "n_per_group")
+    write_result(experiment.power_at(experiment.fixed_grid(design)), f"{out}/ab_test_power_curve")
