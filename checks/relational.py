@@ -8,7 +8,6 @@ from checks.registry import query, sql
 from custoria.functions.columns import (
     as_double,
     day_count,
-    money,
     money_sum,
     month_label,
     month_of,
@@ -146,7 +145,7 @@ def p04(shop):
 )
 def p05(shop):
     table = overview.line_revenue(shop.orders, shop.order_items)
-    return table.select("order_id", "category", as_double("revenue").alias("revenue"))
+    return table.select("order_id", "category", (F.col("revenue_cents") / 100).alias("revenue"))
 
 
 @query("P06_cutoff", sql("ord span", "SELECT min(order_date) AS first_date, max(max_date) AS max_date, max(cutoff) AS cutoff FROM ord, span"))

@@ -2,23 +2,56 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
-MONEY = "decimal(18,2)"
+# Sums of hundredths are kept as two long sums, of the part above these bits and of the part below.
+_LOW_BITS = 16
+_LOW_MASK = (1 << _LOW_BITS) - 1
 
 
 def _col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def money(value: str | Column) -> Column:
-    """An amount with two decimals; sums of it do not depend on the order of the rows."""
-    return _col(value).cast(MONEY)
+def cents(value: str | Column) -> Column:
+    """An amount with two decimals as a whole number of hundredths."""
+    return F.rint(_col(value) * 100).cast("bigint")
+
+
+def sum_parts(hundredths: str | Column, name: str) -> list[Column]:
+    """Two aggregates, `name`_high and `name`_low, that together are the exact sum.
+
+    Sums of doubles depend on the order of the rows, one long overflows on very large tables, and
+    decimal sums take several times as long, as they leave the fast aggregation buffers.
+    """
+    value = _col(hundredths)
+    return [
+        F.sum(F.shiftright(value, _LOW_BITS)).alias(f"{name}_high"),
+        F.sum(value.bitwiseAND(_LOW_MASK)).alias(f"{name}_low"),
+    ]
+
+
+def add_parts(name: str) -> list[Column]:
+    """The same two aggregates over rows that hold parts already."""
+    return [F.sum(part).alias(part) for part in (f"{name}_high", f"{name}_low")]
+
+
+def join_parts(high: str | Column, low: str | Column) -> Column:
+    """Both parts as one decimal amount."""
+    whole = _col(high).cast("decimal(20,0)") * (1 << _LOW_BITS) + _col(low).cast("decimal(20,0)")
+    return whole.cast("decimal(36,0)") * F.lit(Decimal("0.01"))
+
+
+def cents_sum(hundredths: str | Column) -> Column:
+    """Exact sum of hundredths as a decimal amount."""
+    return join_parts(*sum_parts(hundredths, "sum"))
 
 
 def money_sum(value: str | Column) -> Column:
-    """Exact sum as a decimal."""
-    return F.sum(money(value))
+    """Exact sum of amounts as a decimal."""
+    return cents_sum(cents(value))
 
 
 def as_double(value: str | Column) -> Column:

@@ -4,7 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from custoria.functions.columns import as_double, money_sum, month_of, months_between, ratio
+from custoria.functions.columns import (
+    add_parts,
+    as_double,
+    cents,
+    join_parts,
+    month_of,
+    months_between,
+    ratio,
+    sum_parts,
+)
 
 
 def signup_cohorts(orders: DataFrame, customers: DataFrame) -> DataFrame:
@@ -29,7 +38,7 @@ def cohort_cells(orders: DataFrame, customers: DataFrame) -> DataFrame:
     monthly = (
         orders.filter(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
         .groupBy("customer_id", month_of("order_date").alias("order_month"))
-        .agg(money_sum("order_value").alias("revenue"))
+        .agg(*sum_parts(cents("order_value"), "revenue"))
     )
     own_months = Window.partitionBy("customer_id")
     flagged = monthly.withColumn("is_first", F.col("order_month") == F.min("order_month").over(own_months))
@@ -42,7 +51,7 @@ def cohort_cells(orders: DataFrame, customers: DataFrame) -> DataFrame:
         )
         .agg(
             F.count(F.lit(1)).alias("active_customers"),
-            F.coalesce(F.sum("revenue"), F.lit(0)).alias("revenue"),
+            F.coalesce(join_parts(*add_parts("revenue")), F.lit(0)).alias("revenue"),
             F.count_if("is_first").alias("new_customers"),
         )
     )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custoria.functions.columns import as_double, money, percent, ratio, thousands
+from custoria.functions.columns import as_double, money_sum, percent, ratio, thousands
 from custoria.functions.probability import (
     normal_cdf,
     power_shift,
@@ -96,7 +96,7 @@ def arms(visits: DataFrame) -> DataFrame:
         F.count("converted").alias("visitors"),
         F.count_if(F.col("converted") == 1).alias("conversions"),
         F.count(value).alias("orders"),
-        F.sum(money(value)).alias("revenue"),
+        money_sum(value).alias("revenue"),
         F.stddev_pop(value).alias("aov_std"),
         F.var_samp(value).alias("aov_var"),
     )

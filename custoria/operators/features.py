@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custoria.functions.columns import as_double, day_count, money, ratio
+from custoria.functions.columns import add_parts, as_double, cents, day_count, join_parts, ratio, sum_parts
 from custoria.operators.horizon import Horizon, eligible, observed
 
 NO_PAYMENT = "None"
@@ -25,7 +25,7 @@ def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> Da
         "order_id",
         "order_date",
         "discount_applied",
-        money("order_value").alias("amount"),
+        cents("order_value").alias("amount"),
         span.seen().alias("seen"),
         span.later().alias("later"),
     )
@@ -37,13 +37,13 @@ def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> Da
     base = slices.groupBy(*keys).agg(
         F.count(when_seen("order_id")).alias("total_orders"),
         F.count_if("seen").alias("payments"),
-        F.sum(when_seen("amount")).alias("spend"),
+        *sum_parts(when_seen("amount"), "spend"),
         F.count(when_seen("amount")).alias("priced_orders"),
         F.max(when_seen("order_date")).alias("last_order_date"),
         F.min(when_seen("order_date")).alias("first_order_date"),
         F.sum(when_seen("discount_applied")).alias("discount_orders"),
         F.count_if("later").alias("future_orders"),
-        F.sum(F.when(F.col("later"), F.col("amount"))).alias("future_spend"),
+        *sum_parts(F.when(F.col("later"), F.col("amount")), "future_spend"),
     )
     if payment:
         used = (F.col("payments") > 0) & F.col("payment_method").isNotNull()
@@ -51,13 +51,16 @@ def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> Da
         # Choosing a name needs a sort by customer. Repartitioning first lets one sort serve both
         # halves of the aggregate and the join that follows.
         base = base.repartition("customer_id").groupBy("customer_id").agg(
-            *[F.sum(c).alias(c) for c in ("total_orders", "spend", "priced_orders", "discount_orders")],
-            *[F.sum(c).alias(c) for c in ("future_orders", "future_spend")],
+            *[F.sum(c).alias(c) for c in ("total_orders", "priced_orders", "discount_orders", "future_orders")],
+            *add_parts("spend"),
+            *add_parts("future_spend"),
             F.max("last_order_date").alias("last_order_date"),
             F.min("first_order_date").alias("first_order_date"),
             F.min(votes)["payment_method"].alias("preferred_payment"),
         )
-    return base.drop("payments")
+    sums = {name: join_parts(f"{name}_high", f"{name}_low") for name in ("spend", "future_spend")}
+    parts = [f"{name}_{part}" for name in sums for part in ("high", "low")]
+    return base.withColumns(sums).drop("payments", *parts)
 
 
 def derived(history: DataFrame, span: Horizon) -> DataFrame:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from custoria.functions.columns import as_double, money, money_sum, month_label, ratio
+from custoria.functions.columns import as_double, cents, cents_sum, money_sum, month_label, ratio
 from custoria.sources.readers import Shop
 
 
@@ -48,9 +48,9 @@ def kpis(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def line_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
-    """Items of existing orders with price x quantity."""
+    """Items of existing orders with price x quantity, in hundredths."""
     return order_items.join(orders.select("order_id"), "order_id").withColumn(
-        "revenue", money("item_price") * F.col("quantity")
+        "revenue_cents", cents("item_price") * F.col("quantity")
     )
 
 
@@ -60,7 +60,7 @@ def revenue_by_category(orders: DataFrame, order_items: DataFrame) -> DataFrame:
         line_revenue(orders, order_items)
         .filter(F.col("category").isNotNull())
         .groupBy("category")
-        .agg(as_double(F.coalesce(F.sum("revenue"), F.lit(0))).alias("revenue"))
+        .agg(as_double(F.coalesce(cents_sum("revenue_cents"), F.lit(0))).alias("revenue"))
         .orderBy(F.desc("revenue"), "category")
     )
 

@@ -14,6 +14,9 @@ _WANTED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a hot join partition even when the next step then needs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Hash instead of sort for joins whose build side is at most this large in every partition,
+    # as measured after the shuffle.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }

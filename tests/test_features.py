@@ -174,3 +174,17 @@ def test_matrix_and_long_form_are_inverse(spark):
     assert matrix.columns == ["row", "0", "2"]
     back = reshape.to_long(matrix, "row", "col", "v").filter("v is not null")
     assert {tuple(r) for r in back.collect()} == {("a", "0", 1.0), ("a", "2", 2.0), ("b", "0", 3.0)}
+
+
+def test_money_sums_are_exact_beyond_one_long(spark):
+    from decimal import Decimal
+
+    from custoria.functions.columns import cents_sum, money_sum
+
+    big = 9_000_000_000_000_000_000
+    frame = spark.createDataFrame([(1, big), (1, big), (1, 7), (2, -5), (2, 3), (3, None)], "k int, c bigint")
+    found = {r["k"]: r["s"] for r in frame.groupBy("k").agg(cents_sum("c").alias("s")).collect()}
+    assert found == {1: Decimal(2 * big + 7) / 100, 2: Decimal("-0.02"), 3: None}
+    values = [0.1, 0.2, 1e9 + 0.07, 1013.7, 2.675, -3.01]
+    row = spark.createDataFrame([(v,) for v in values], "v double").agg(money_sum("v").alias("s")).first()
+    assert row["s"] == sum(round(Decimal(repr(v)) * 100) for v in values) / Decimal(100)
