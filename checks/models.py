@@ -85,6 +85,16 @@ def e11(spark, folder):
     return churn_run(spark, folder).top_attributions(12)
 
 
+@query("E11_attribution_rows")
+def e11_rows(spark, folder):
+    run = churn_run(spark, folder)
+    names = F.array(*[F.lit(name) for name in run.prepared.design.names])
+    cells = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("phi")))
+    return run.attributions().select("customer_id", "base", cells.alias("cell")).select(
+        "customer_id", "cell.feature", "cell.phi", "base"
+    )
+
+
 @query("Q08_churn_models")
 def q08(spark, folder):
     return churn_run(spark, folder).comparison()

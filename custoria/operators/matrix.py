@@ -26,7 +26,7 @@ SPEND_NUMERIC = ("total_orders", "total_spend", "avg_order_value", "recency_days
 SPEND_CATEGORIES = ("gender", "acquisition_channel", "city")
 SHORT_CATEGORIES = ("gender", "acquisition_channel")
 
-MAX_LEVELS = 2000
+MAX_LEVELS = 500
 
 
 def category_levels(table: DataFrame, columns: tuple[str, ...], most: int = MAX_LEVELS) -> dict[str, list[str]]:

@@ -54,7 +54,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir")
     if not folder:
-        folder = context._custoria_dir if hasattr(context, "_custoria_dir") else None
+        folder = getattr(context, "_custoria_dir", None)
     if not folder:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
