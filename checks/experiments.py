@@ -22,9 +22,9 @@ def phi_sql(z: str) -> str:
     Beyond 9 deviations it is 0 or 1 to far more digits than are compared.
     """
     near = f"greatest(-9, least(9, {z}))"
-    return f"""(0.5::DOUBLE + exp(-({near}) * ({near}) / 2) / sqrt(2 * pi()) * ({near}) * list_sum(list_transform(range(150),
+    return f"""(CASE WHEN ({z}) IS NULL THEN NULL ELSE 0.5::DOUBLE + exp(-({near}) * ({near}) / 2) / sqrt(2 * pi()) * ({near}) * list_sum(list_transform(range(150),
         lambda k: CASE WHEN k = 0 THEN 1::DOUBLE ELSE pow(abs({near}), 2 * k) /
-          exp((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi())) END)))"""
+          exp((k + 1) * ln(2) + lgamma(k + 1.5) - 0.5 * ln(pi())) END)) END)"""
 
 
 def t_sql(t: str, dof: str) -> str:
@@ -53,7 +53,8 @@ for _suffix in ("", "_all"):
         text=f"""
         SELECT *, cr1 - cr0 AS gain, (cr1 - cr0) / nullif(sqrt(pooled * (1 - pooled) * (1.0::DOUBLE / n1 + 1.0::DOUBLE / n0)), 0) AS z,
                (aov1 - aov0) / nullif(sqrt(((o1 - 1) * v1 + (o0 - 1) * v0) / (o1 + o0 - 2) * (1.0::DOUBLE / o1 + 1.0::DOUBLE / o0)), 0) AS t,
-               CAST(o1 + o0 - 2 AS DOUBLE) AS dof, cr0 * aov0 AS rev0, cr1 * aov1 AS rev1, cr1 * aov1 - cr0 * aov0 AS net
+               CAST(o1 + o0 - 2 AS DOUBLE) AS dof, cr0 * coalesce(aov0, 0) AS rev0, cr1 * coalesce(aov1, 0) AS rev1,
+               cr1 * coalesce(aov1, 0) - cr0 * coalesce(aov0, 0) AS net
         FROM (SELECT a.experiment_id, a.n AS n0, b.n AS n1, a.c AS c0, b.c AS c1, a.cr AS cr0, b.cr AS cr1,
                      a.o AS o0, b.o AS o1, a.aov AS aov0, b.aov AS aov1, a.v AS v0, b.v AS v1,
                      CAST(a.c + b.c AS DOUBLE) / (a.n + b.n) AS pooled
@@ -78,8 +79,8 @@ def planned_sql(suffix: str, effects, alphas, powers) -> str:
         for p in powers
     )
     return f"""
-    SELECT *, CAST(ceil(2 * pow(CASE {shifts} END / h, 2)) AS BIGINT) AS n_per_group
-    FROM (SELECT *, 2 * (asin(sqrt(target_cr)) - asin(sqrt(baseline_cr))) AS h
+    SELECT *, CAST(ceil(2 * pow(CASE {shifts} END / nullif(h, 0), 2)) AS BIGINT) AS n_per_group
+    FROM (SELECT *, CASE WHEN target_cr <= 1 THEN 2 * (asin(sqrt(target_cr)) - asin(sqrt(baseline_cr))) END AS h
           FROM (SELECT *, baseline_cr * (1 + mde_relative) AS target_cr
                 FROM base{suffix}, (SELECT unnest({numbers(effects)}) AS mde_relative),
                      (SELECT unnest({numbers(alphas)}) AS alpha), (SELECT unnest({numbers(powers)}) AS power)))"""

@@ -457,9 +457,8 @@ FIRST_SQL = """
 )
 def o04(shop):
     table = cohorts.retention(cells(shop)).select("cohort_month", "cohort_index", "retention")
-    return reshape.first_labels(reshape.first_labels(table, "cohort_month", 15), "cohort_index", 13).select(
-        "cohort_month", "cohort_index", "retention"
-    )
+    corner = reshape.first_labels(table, cohort_month=15, cohort_index=13)
+    return corner.select("cohort_month", "cohort_index", "retention")
 
 
 # ---- reshape --------------------------------------------------------------------------------
@@ -481,7 +480,7 @@ def r01(shop):
     ),
 )
 def r02(shop):
-    table = reshape.first_labels(cohorts.cumulative_revenue(cells(shop)), "cohort_month", 8)
+    table = reshape.first_labels(cohorts.cumulative_revenue(cells(shop)), cohort_month=8)
     matrix = reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue", MONTHS)
     return reshape.to_long(matrix, "cohort_month", "months_since_signup", "cumulative_revenue")
 

@@ -29,9 +29,9 @@ def target_rate(design: DataFrame) -> DataFrame:
 
 
 def effect_size(design: DataFrame) -> DataFrame:
-    """Add Cohen's h of target against baseline."""
+    """Add Cohen's h of target against baseline; null if the target is no rate any more."""
     angle = F.asin(F.sqrt("target_cr")) - F.asin(F.sqrt("baseline_cr"))
-    return design.withColumn("effect_size", 2 * angle)
+    return design.withColumn("effect_size", F.when(F.col("target_cr") <= 1, 2 * angle))
 
 
 def required_sample(design: DataFrame) -> DataFrame:

@@ -19,10 +19,16 @@ def to_long(matrix: DataFrame, row: str, name: str, value: str) -> DataFrame:
     return matrix.unpivot([row], [c for c in matrix.columns if c != row], name, value)
 
 
-def first_labels(cells: DataFrame, column: str, n: int) -> DataFrame:
-    """Cells whose label is among the `n` lowest labels present: position, not value, counts."""
-    lowest = cells.select(column).distinct().orderBy(column).limit(n)
-    return cells.join(F.broadcast(lowest), column, "left_semi")  # n rows
+def first_labels(cells: DataFrame, **most: int) -> DataFrame:
+    """The top left corner of a matrix: per column in `most`, cells with one of its lowest labels.
+
+    Position counts, not value, and every axis is that of the whole matrix.
+    """
+    corner = cells
+    for column, n in most.items():
+        lowest = cells.select(column).distinct().orderBy(column).limit(n)
+        corner = corner.join(F.broadcast(lowest), column, "left_semi")  # n rows
+    return corner
 
 
 def best_row(frame: DataFrame, score: str, tie: str, by: list[str] | None = None) -> DataFrame:

@@ -164,8 +164,12 @@ def test_retention_properties(spark):
 
 def test_first_labels_are_positional(spark):
     cells = spark.createDataFrame([(m, i, 1) for m in (10, 30, 20) for i in (-1, 0, 5)], "m int, i int, v int")
-    kept = reshape.first_labels(reshape.first_labels(cells, "m", 2), "i", 2).collect()
+    kept = reshape.first_labels(cells, m=2, i=2).collect()
     assert {(r["m"], r["i"]) for r in kept} == {(10, -1), (10, 0), (20, -1), (20, 0)}
+    # Column 0 is found in the third row only, and still is the first column of the matrix.
+    cells = spark.createDataFrame([(1, 1), (1, 2), (2, 1), (3, 0)], "m int, i int")
+    kept = reshape.first_labels(cells, m=2, i=2).collect()
+    assert {(r["m"], r["i"]) for r in kept} == {(1, 1), (2, 1)}
 
 
 def test_matrix_and_long_form_are_inverse(spark):
