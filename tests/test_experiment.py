@@ -109,3 +109,16 @@ def test_probability_functions():
         for power in (0.7, 0.8, 0.9):
             cut, shift = z_value(1 - alpha / 2), needed_shift(alpha, power)
             assert phi(shift - cut) + phi(-shift - cut) == pytest.approx(power, abs=1e-12)
+
+
+def test_impossible_targets_give_nulls(spark):
+    row = experiment.plan_experiments(design(spark, (0.8, 0.5, 0.05, 0.8))).first()
+    assert row["target_cr"] == pytest.approx(1.2) and row["effect_size"] is None and row["n_per_group"] is None
+    planned = experiment.plan_experiments(design(spark, (0.8, 0.5, 0.05, 0.8)))
+    assert experiment.power_at(experiment.fixed_grid(planned)).filter("power_at_n is not null").count() == 0
+
+
+def test_an_arm_without_buyers_earns_nothing(spark):
+    row = experiment.readout(frames.visits(spark, a=((50, 0, [1]), (50, 10, [20])))).first()
+    assert (row["revenue_control"], row["revenue_treatment"], row["lift_sign"]) == (0.0, 4.0, "positive")
+    assert row["control_aov"] is None and row["t_stat"] is None
