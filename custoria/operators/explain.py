@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from math import factorial
 
 import numpy as np
@@ -127,13 +127,15 @@ def attributions(table: DataFrame, model, names: list[str], keys: list[str]) ->
     """
     spark = table.sparkSession
     leaves = tree_leaves(spark, model)
-    shared = spark.sparkContext.broadcast(leaves)
+    # Plain tuples: broadcast values are unpickled where this package need not be installed.
+    shared = spark.sparkContext.broadcast([astuple(leaf) for leaf in leaves])
 
     def explain(batches):
+        known_leaves = [Leaf(*parts) for parts in shared.value]
         for batch in batches:
             matrix = np.array(batch["x"].tolist(), dtype=float).reshape(len(batch), -1)
             out = batch[keys].copy()
-            out["phi"] = list(attribute(matrix, shared.value))
+            out["phi"] = list(attribute(matrix, known_leaves))
             yield out
 
     kept = ", ".join(f"`{k}` {dict(table.dtypes)[k]}" for k in keys)
