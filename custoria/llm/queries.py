@@ -52,3 +52,36 @@ def op9(spark, folder):
     from custoria.llm.exact_dedup import exact_groups
 
     return exact_groups(read(spark, folder, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op6_shingle_join",
+    r"""
+    WITH RECURSIVE words AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+      FROM documents),
+    shingles AS (
+      SELECT DISTINCT doc_id, s FROM (
+        SELECT doc_id, unnest(CASE WHEN len(w) >= 3 THEN [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]
+                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s
+        FROM words)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+    shared AS (
+      SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common
+      FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT u, v FROM shared JOIN sizes a ON a.doc_id = u JOIN sizes b ON b.doc_id = v
+      WHERE 100 * common >= 90 * (a.n + b.n - common)),
+    reach AS (
+      SELECT doc_id AS u, doc_id AS v FROM words
+      UNION SELECT reach.u, links.v FROM reach JOIN links ON reach.v = links.u)
+    SELECT words.doc_id, coalesce(n, 0) AS n_shingles, component_id
+    FROM words LEFT JOIN sizes USING (doc_id)
+         JOIN (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u) USING (doc_id)""",
+)
+def op6(spark, folder):
+    from custoria.llm.shingle_join import shingle_groups
+
+    return shingle_groups(read(spark, folder, "documents"), words=3, percent=90)
