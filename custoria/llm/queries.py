@@ -85,3 +85,10 @@ def op6(spark, folder):
     from custoria.llm.shingle_join import shingle_groups
 
     return shingle_groups(read(spark, folder, "documents"), words=3, percent=90)
+
+
+@query("op8_language_id")
+def op8(spark, folder):
+    from custoria.llm.language_id import with_language
+
+    return with_language(read(spark, folder, "documents"))
