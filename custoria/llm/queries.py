@@ -92,3 +92,10 @@ def op8(spark, folder):
     from custoria.llm.language_id import with_language
 
     return with_language(read(spark, folder, "documents"))
+
+
+@query("op7_decontamination")
+def op7(spark, folder):
+    from custoria.llm.decontamination import find_items
+
+    return find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
