@@ -4,29 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from custoria.llm.common import prepare, settle
+from custoria.llm.common import prepare, read, settle
+from custoria.llm.decontamination import drop_contaminated
 from custoria.llm.exact_dedup import drop_exact
+from custoria.llm.language_id import drop_unidentified
 from custoria.llm.packing import pack_documents
+from custoria.llm.shingle_join import drop_near
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language go: null, empty, or without any letter."""
+    return drop_unidentified(docs)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of every group of equal texts stays."""
+    """One row of every group of texts that are equal but for white space stays."""
     return drop_exact(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every group tied by a similarity of 0.8 on five-word shingles stays."""
+    return drop_near(docs)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, edited by up to a fifth of its words, go."""
+    return drop_contaminated(docs, read(prepare(spark), sf_dir, "benchmark"))
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of every document with their sequence and offset."""
     return pack_documents(docs)
 
 
-STAGES = [("exact dedup", exact_stage), ("best-fit packing", packing_stage)]
+STAGES = [
+    ("language", language_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
 
-#: Packing needs a tokenizer, which SQL cannot express.
+#: Language identification and packing need a trained model and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read(prepare(spark), sf_dir, "documents")
     for name, stage in STAGES:
         docs = settle(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs
