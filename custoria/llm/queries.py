@@ -99,3 +99,17 @@ def op7(spark, folder):
     from custoria.llm.decontamination import find_items
 
     return find_items(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op1_quality")
+def op1(spark, folder):
+    from custoria.llm.quality import with_quality
+
+    return with_quality(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op10_toxicity")
+def op10(spark, folder):
+    from custoria.llm.toxicity import with_toxicity
+
+    return with_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
