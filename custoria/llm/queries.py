@@ -113,3 +113,10 @@ def op10(spark, folder):
     from custoria.llm.toxicity import with_toxicity
 
     return with_toxicity(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op3_personal_data")
+def op3(spark, folder):
+    from custoria.llm.personal_data import find_personal_data
+
+    return find_personal_data(read(spark, folder, "documents"))
