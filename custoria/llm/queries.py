@@ -120,3 +120,10 @@ def op3(spark, folder):
     from custoria.llm.personal_data import find_personal_data
 
     return find_personal_data(read(spark, folder, "documents"))
+
+
+@query("op2_repeats")
+def op2(spark, folder):
+    from custoria.llm.repeats import remove_repeats
+
+    return remove_repeats(read(spark, folder, "documents"))

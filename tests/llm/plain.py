@@ -41,3 +41,21 @@ def personal_data(text):
 
 def sha(text):
     return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def repeats(texts, length):
+    """(bytes, removed, spans, digest of the rest) per text: every byte under a string of `length` that starts twice."""
+    from collections import Counter
+
+    raws = [(t or "").encode() for t in texts]
+    seen = Counter(raw[i : i + length] for raw in raws for i in range(len(raw) - length + 1))
+    out = []
+    for raw in raws:
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen[raw[i : i + length]] > 1:
+                gone[i : i + length] = b"\1" * length
+        spans = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out.append((len(raw), sum(gone), spans, sha(kept)))
+    return out
