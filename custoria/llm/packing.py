@@ -8,6 +8,9 @@ of equal capacity are handled as one run. The plan is a bounded table of runs; t
 
 from __future__ import annotations
 
+import os
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,7 +26,7 @@ from custoria.llm.common import prepare, settle, with_text
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Word encodings a task remembers before it starts again, and the longest word remembered.
-REMEMBERED_WORDS, LONGEST_WORD = 300_000, 64
+REMEMBERED_WORDS, LONGEST_WORD = 1_000_000, 64
 #: Pieces of one length that one task ranks.
 SLICE_ROWS = 50_000
 
@@ -110,40 +113,42 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
 
 
 class Tokens:
-    """Encodes texts word by word: the tokenizer splits at white space anyway, so equal words have equal ids."""
+    """Encodes texts word by word: the tokenizer splits at white space anyway, so equal words have equal ids.
 
-    def __init__(self, path: str | None, name: str = TOKENIZER):
-        from tokenizers import Tokenizer
+    A Python worker outlives its tasks, so the words it knows are kept in its process for the tasks to come.
+    """
 
+    def __init__(self, path: str | None, name: str = TOKENIZER):
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(name)
-        self.model = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        kept = sys.modules.setdefault("_custoria_words", types.ModuleType("_custoria_words")).__dict__
+        if path not in kept:
+            from tokenizers import Tokenizer
+
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            kept[path] = (Tokenizer.from_file(path), {})
+        self.model, self.known = kept[path]
 
-    def _ids(self, word: bytes) -> bytes:
-        return np.array(self.model.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        return {w: np.array(f.ids, "<u4").tobytes() for w, f in zip(words, found)}
 
     def encode(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.split()
+        # The tokenizer lower-cases all but its special tokens, which start with "<|".
+        words = (text if b"<|" in text else text.lower()).split()
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
-            pass
+            new = self._learn(list({w for w in words if w not in known}))
         if len(known) > REMEMBERED_WORDS:
+            new |= self._learn(list({w for w in words if w not in new}))
             known.clear()
-        parts = []
-        for word in words:
-            ids = known.get(word)
-            if ids is None:
-                ids = self._ids(word)
-                if len(word) <= LONGEST_WORD:
-                    known[word] = ids
-            parts.append(ids)
-        return b"".join(parts)
+        known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_WORD)
+        return b"".join([new[w] if w in new else known[w] for w in words])
 
 
 def _cut(path: str | None, capacity: int, with_ids: bool):
