@@ -127,3 +127,10 @@ def op2(spark, folder):
     from custoria.llm.repeats import remove_repeats
 
     return remove_repeats(read(spark, folder, "documents"))
+
+
+@query("op4_licences")
+def op4(spark, folder):
+    from custoria.llm.licences import find_licences
+
+    return find_licences(read(spark, folder, "documents"))
