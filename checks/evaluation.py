@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, sql, view
 from custoria.functions.columns import as_double
 from custoria.operators import evaluation, features, matrix, ordered, reshape, splits
-from custoria.operators.bounds import few_rows
+from custoria.operators.bounds import sized
 from custoria.operators.horizon import horizon
 from custoria.sources import star
 from custoria.sources.reuse import ResultStore
@@ -385,7 +385,7 @@ def e08(spark, folder):
 )
 def e09(spark, folder):
     pairs = forecasts(spark, folder)
-    return pairs.join(few_rows(evaluation.axis_limit(pairs)), "model").select("model", "customer_id", "label", "prediction", "axis_max")
+    return pairs.join(sized(evaluation.axis_limit(pairs)), "model").select("model", "customer_id", "label", "prediction", "axis_max")
 
 
 @query(

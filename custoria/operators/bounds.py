@@ -1,18 +1,16 @@
-"""Broadcasts whose size is checked by the plan itself."""
+"""Joins with small tables, planned on their true size."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame
 
-FEW = 1000
+from custoria.sources.reuse import settle
 
 
-def few_rows(frame: DataFrame, most: int = FEW) -> DataFrame:
-    """`frame` marked for broadcast, at most `most` rows of it.
+def sized(frame: DataFrame, label: str = "small") -> DataFrame:
+    """`frame` saved and read back, so that a join sees how large it is.
 
-    A larger frame stops the job with an error: no more than `most` + 1 rows are ever gathered,
-    and a result that lacks rows never appears.
+    Spark knows the size of a saved table and broadcasts it below its own limit; beyond, the join shuffles. The size of an
+    aggregate, in contrast, is a guess before it ran, and the other side would be shuffled for nothing.
     """
-    counted = frame.limit(most + 1).withColumn("_rows", F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))))
-    fits = F.assert_true(F.col("_rows") <= most, f"more than {most} rows to broadcast").isNull()
-    return F.broadcast(counted.filter(fits).drop("_rows"))
+    return settle(frame, label)

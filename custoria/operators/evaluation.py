@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from custoria.functions.columns import as_double, ratio
-from custoria.operators.bounds import few_rows
+from custoria.operators.bounds import sized
+from custoria.sources.reuse import settle
 from custoria.operators.ordered import running_totals
 from custoria.operators.reshape import best_row
 
@@ -45,13 +46,14 @@ def _f1(hit: str, wrong: str, missed: str):
     return ratio(F.col(hit) * 2, F.col(hit) * 2 + F.col(wrong) + F.col(missed))
 
 
-def precision_recall(counts: DataFrame) -> DataFrame:
-    """Precision, recall and F1 of class 1; null where undefined."""
+def precision_recall(counts: DataFrame, zero_division: float | None = None) -> DataFrame:
+    """Precision, recall and F1 of class 1; `zero_division`, by default null, where undefined."""
+    other = F.lit(zero_division).cast("double")
     return counts.select(
         "model",
-        ratio("tp", F.col("tp") + F.col("fp")).alias("precision"),
-        ratio("tp", F.col("tp") + F.col("fn")).alias("recall"),
-        _f1("tp", "fp", "fn").alias("f1"),
+        F.coalesce(ratio("tp", F.col("tp") + F.col("fp")), other).alias("precision"),
+        F.coalesce(ratio("tp", F.col("tp") + F.col("fn")), other).alias("recall"),
+        F.coalesce(_f1("tp", "fp", "fn"), other).alias("f1"),
     )
 
 
@@ -107,17 +109,20 @@ def score_points(scores: DataFrame) -> DataFrame:
 
 
 def ranked_points(scores: DataFrame) -> DataFrame:
-    """Score points with cumulative positives and negatives from the highest score down."""
-    return running_totals(score_points(scores), "model", "prob", {"pos": "cum_pos", "neg": "cum_neg"})
+    """Score points with cumulative positives and negatives from the highest score down.
+
+    The points are saved first: the running totals read them three times.
+    """
+    return running_totals(settle(score_points(scores), "points"), "model", "prob", {"pos": "cum_pos", "neg": "cum_neg"})
 
 
 def average_ranks(scores: DataFrame) -> DataFrame:
     """Ascending rank of every distinct score, ties sharing their average."""
-    points = score_points(scores).withColumn("n", F.col("pos") + F.col("neg"))
+    points = settle(score_points(scores).withColumn("n", F.col("pos") + F.col("neg")), "points")
     total = points.groupBy("model").agg(F.sum("n").alias("rows"))
     ranked = running_totals(points, "model", "prob", {"n": "down_to"})
     below = F.col("rows") - F.col("down_to")
-    return ranked.join(few_rows(total), "model").select(
+    return ranked.join(sized(total), "model").select(
         "model", "prob", "n", (as_double(below) + (F.col("n") + 1) / F.lit(2.0)).alias("avg_rank")
     )
 
@@ -144,27 +149,29 @@ def roc_auc(scores: DataFrame) -> DataFrame:
 
 def roc_curve(scores: DataFrame) -> DataFrame:
     """False and true positive rate at every distinct threshold, plus the origin (null threshold)."""
-    ranked = ranked_points(scores)
-    totals = (
-        score_points(scores)
-        .groupBy("model")
+    points = settle(score_points(scores), "points")
+    ranked = running_totals(points, "model", "prob", {"pos": "cum_pos", "neg": "cum_neg"})
+    totals = sized(
+        points.groupBy("model")
         .agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"))
     )
     origin = totals.select(
         "model", F.lit(None).cast("double").alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr")
     )
-    points = ranked.join(few_rows(totals), "model").select(
+    curve = ranked.join(totals, "model").select(
         "model",
         F.col("prob").alias("threshold"),
         ratio("cum_neg", "negatives").alias("fpr"),
         ratio("cum_pos", "positives").alias("tpr"),
     )
-    return points.unionByName(origin)
+    return curve.unionByName(origin)
 
 
-def compare_classifiers(scores: DataFrame, threshold: float = THRESHOLD, digits: int | None = None) -> DataFrame:
-    """One line per model: ROC AUC, precision, recall, F1."""
-    quality = few_rows(precision_recall(outcome_counts(scores, threshold)))
+def compare_classifiers(
+    scores: DataFrame, threshold: float = THRESHOLD, digits: int | None = None, zero_division: float | None = None
+) -> DataFrame:
+    """One line per model: ROC AUC, precision, recall, F1 (undefined ones as `zero_division`)."""
+    quality = precision_recall(outcome_counts(scores, threshold), zero_division)
     table = roc_auc(scores).join(quality, "model")
     measures = ("roc_auc", "precision", "recall", "f1")
     return table.select("model", *[_rounded(m, digits) for m in measures])

@@ -8,7 +8,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from custoria.functions.columns import as_double, ratio
-from custoria.operators.bounds import few_rows
+from custoria.operators.bounds import sized
 
 # Fixed column sets of the two models; the short variants are those of the interactive pages.
 CHURN_NUMERIC = (
@@ -131,7 +131,7 @@ def balanced_weights(table: DataFrame, train: DataFrame, label: str, name: str =
             both.select("rows").scalar(), F.col("n") * both.select("classes").scalar()
         ).alias(name),
     )
-    return table.join(few_rows(weights), label)
+    return table.join(sized(weights, "class-weights"), label)
 
 
 def positive_weights(

@@ -7,7 +7,7 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from custoria.operators.bounds import few_rows
+from custoria.operators.bounds import sized
 
 # Slices per group are SIDE x SIDE: two short look-ups find a value's slice among them.
 SIDE = 32
@@ -31,8 +31,8 @@ def running_totals(
     `totals` maps source columns to names of their running sums. `order` must be unique within
     the group (aggregate first), so that no slice can be hot; nulls of it come last. Approximate quantiles cut each
     group into slices of about equal size; a row's total is the exact total of the slices above
-    plus its running sum inside the slice, hence exact wherever the cuts fall. `group` stands
-    for a few entities such as models, which is checked: their cut lists are broadcast.
+    plus its running sum inside the slice, hence exact wherever the cuts fall. Rows with a null group form a group of
+    their own.
 
     `frame` feeds three branches, so pass a saved table or an aggregate of one.
     """
@@ -46,7 +46,8 @@ def running_totals(
         group, "_cuts", _coarse("_cuts", side).alias("_coarse")
     )
     sliced = (
-        frame.join(few_rows(cuts), group)
+        frame.join(sized(cuts.withColumnRenamed(group, "_group"), "cuts"), F.col(group).eqNullSafe(F.col("_group")))
+        .drop("_group")
         .withColumn("_upper", _above("_coarse", order))
         .withColumn("_block", F.slice("_cuts", side * (side - 1 - F.col("_upper")) + 1, side - 1))
         .withColumn(
@@ -56,17 +57,20 @@ def running_totals(
         .drop("_cuts", "_coarse", "_upper", "_block")
     )
 
-    sums = sliced.filter(adds).groupBy(group, "_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in totals])
+    sums = sliced.groupBy(group, "_slice").agg(*[F.sum(c).alias(f"_all_{c}") for c in totals])
     higher = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        group, "_slice", *[F.coalesce(F.sum(f"_all_{c}").over(higher), F.lit(0)).alias(f"_off_{c}") for c in totals]
+        F.col(group).alias("_group"),
+        F.col("_slice").alias("_part"),
+        *[F.coalesce(F.sum(f"_all_{c}").over(higher), F.lit(0)).alias(f"_off_{c}") for c in totals],
     )
     inside = (
         Window.partitionBy(group, "_slice").orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
     )
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("_slice") == F.col("_part"))
     return (
         sliced.withColumns({f"_in_{c}": F.sum(c).over(inside) for c in totals})
-        .join(F.broadcast(offsets), [group, "_slice"])  # checked groups x slices rows
+        .join(sized(offsets, "offsets"), same)
         .select(
             *frame.columns,
             *[(F.col(f"_in_{c}") + F.col(f"_off_{c}")).alias(name) for c, name in totals.items()],

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from custoria.functions.columns import KEY_HASH_SPAN, key_hash
-from custoria.operators.bounds import few_rows
+from custoria.operators.bounds import sized
 
 TEST_SHARE = 0.25
 SEED = 42
@@ -24,7 +24,7 @@ def stratified_split(
 
     The test rows of a class are those with the lowest (hash, key). Their exact last row is found
     without sorting the class: counts per hash bucket tell in which bucket it lies, and only that
-    bucket is ranked. The table itself meets one row per class and is never shuffled; it feeds
+    bucket is ranked. The tables of classes are saved, so that joins see how small they are; it feeds
     three branches, so pass a saved one.
     """
     hashed = table.withColumn("_hash", key_hash(seed, key))
@@ -32,9 +32,10 @@ def stratified_split(
     sizes = hashed.groupBy(label, bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
 
     # At most classes x 2^14 rows from here to `edges`.
+    sizes = sized(sizes, "class-buckets")
     upto = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)
     reached = sizes.withColumn("_upto", F.sum("_n").over(upto))
-    quotas = few_rows(_quotas(sizes, label, share))
+    quotas = _quotas(sizes, label, share)
     edges = (
         reached.join(quotas, label)
         .filter((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_quota") <= F.col("_upto")))
@@ -43,14 +44,14 @@ def stratified_split(
     in_bucket = Window.partitionBy(label).orderBy("_hash", key)
     last = (
         hashed.select(label, key, "_hash", bucket.alias("_bucket"))
-        .join(few_rows(edges), [label, "_bucket"])
+        .join(sized(edges, "edges"), [label, "_bucket"])
         .withColumn("_place", F.row_number().over(in_bucket))
         .filter(F.col("_place") == F.col("_rank"))
         .select(label, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
     )
     chosen = F.struct("_hash", key) <= F.struct("_last_hash", "_last_key")
     return (
-        hashed.join(few_rows(last), label, "left")
+        hashed.join(sized(last, "last-rows"), label, "left")
         .withColumn("is_test", F.coalesce(chosen, F.lit(False)))
         .drop("_hash", "_last_hash", "_last_key")
     )

@@ -4,12 +4,11 @@ import re
 from contextlib import contextmanager
 
 import pytest
-from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from checks import QUERIES
-from custoria.operators import cohorts, experiment, features, labels, overview
-from custoria.operators.bounds import few_rows
+from custoria.operators import cohorts, evaluation, experiment, features, labels, ordered, overview
+from custoria.operators.bounds import sized
 from custoria.operators.horizon import horizon, observed
 from custoria.operators.reshape import best_row
 from custoria.sources import star
@@ -197,7 +196,27 @@ def test_visits_are_aggregated_before_the_only_large_shuffle(spark):
     assert "Aggregate" in above[-1] and "partial" in above[-1]
 
 
-def test_broadcast_bound_is_enforced(spark):
-    assert few_rows(spark.range(5), 5).count() == 5
-    with pytest.raises(PySparkException, match="more than 4 rows"):
-        few_rows(spark.range(5), 4).collect()
+def test_small_tables_are_broadcast_by_their_true_size_and_large_ones_are_not(spark):
+    facts = spark.range(0, 100_000, 1, 8).withColumn("k", F.col("id") % 1500)
+    small = sized(facts.groupBy("k").agg(F.count("*").alias("n")))
+    assert small.count() == 1500
+    with settings(spark, {"spark.sql.adaptive.enabled": "false"}):
+        assert "BroadcastHashJoin" in plan(facts.join(small, "k"))
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "1000"}):
+        joined = facts.join(small, "k")
+        assert "SortMergeJoin" in plan(joined) and joined.count() == 100_000
+
+
+def test_more_than_a_thousand_models_are_evaluated(spark):
+    rows = spark.range(1500 * 8).select(
+        (F.col("id") % 1500).cast("string").alias("model"), (F.col("id") % 2).cast("int").alias("label"),
+        ((F.col("id") * 7919) % 1009 / 1009.0).alias("prob"),
+    )
+    found = evaluation.compare_classifiers(rows)
+    assert found.count() == 1500
+
+
+def test_rows_of_a_null_group_are_kept(spark):
+    frame = spark.createDataFrame([(None, 1.0, 2), (None, 3.0, 5), ("a", 1.0, 1), ("a", 0.5, 0)], "g string, v double, x bigint")
+    found = {(r["g"], r["v"]): r["s"] for r in ordered.running_totals(frame, "g", "v", {"x": "s"}).collect()}
+    assert found == {(None, 3.0): 5, (None, 1.0): 7, ("a", 1.0): 1, ("a", 0.5): 1}
