@@ -22,12 +22,10 @@ from custoria.operators.horizon import eligible, horizon, observed, outcome
 from custoria.session import scratch_path
 from custoria.sources import sinks, star
 from custoria.sources.readers import read_table
-from custoria.sources.reuse import ResultStore
+from custoria.sources.reuse import ResultStore, settle
 from custoria.sources.schemas import ORDERS
 
 ORDER_COLUMNS = "order_id, customer_id, order_date, order_value, discount_applied, payment_method"
-# The test tables span 80 calendar months.
-MONTHS = list(range(80))
 
 
 def cells(shop):
@@ -60,18 +58,19 @@ def s02(spark, folder):
 
 
 def wide_sql(source: str, value: str, row: str = "cohort_month") -> str:
-    columns = ", ".join(f'max(CASE WHEN cohort_index = {m} THEN {value} END) AS "{m}"' for m in MONTHS)
-    return f"SELECT {row} AS cohort_month, {columns} FROM {source} GROUP BY {row}"
+    """The columns follow from the data here as well: DuckDB finds the labels on its own."""
+    return f"""
+    SELECT * FROM (PIVOT (SELECT {row} AS cohort_month, cohort_index, {value} AS v FROM {source})
+                   ON cohort_index USING max(v) GROUP BY cohort_month)"""
 
 
 @query("S03_matrix_sink", sql("retained", wide_sql("retained", "retention", "strftime(cohort_month, '%Y-%m')")))
 def s03(spark, folder):
-    table = cohorts.retention(cells(star.shop(spark, folder)))
-    path = sinks.write_matrix(
-        table, scratch_path(spark, "retention-csv"), "cohort_month", "cohort_index", "retention", MONTHS
-    )
+    table = settle(cohorts.retention(cells(star.shop(spark, folder))), "retention")
+    path = sinks.write_matrix(table, scratch_path(spark, "retention-csv"), "cohort_month", "cohort_index", "retention")
+    labels_ = reshape.matrix_labels(table, "cohort_index")
     schema = T.StructType(
-        [T.StructField("cohort_month", T.StringType())] + [T.StructField(str(m), T.DoubleType()) for m in MONTHS]
+        [T.StructField("cohort_month", T.StringType())] + [T.StructField(str(m), T.DoubleType()) for m in labels_]
     )
     return read_table(spark, path, schema)
 
@@ -466,22 +465,23 @@ def o04(shop):
 
 @query("R01_pivot", sql("retained", wide_sql("retained", "active_customers")))
 def r01(shop):
-    return reshape.to_matrix(cells(shop), "cohort_month", "cohort_index", "active_customers", MONTHS)
+    return reshape.to_matrix(settle(cells(shop), "cells"), "cohort_month", "cohort_index", "active_customers")
 
 
 @query(
     "R02_melt",
     sql(
         "cumulated",
-        f"""SELECT c.cohort_month, CAST(m.i AS VARCHAR) AS months_since_signup, v.avg_cumulative_revenue AS cumulative_revenue
+        """SELECT c.cohort_month, CAST(m.i AS VARCHAR) AS months_since_signup, v.avg_cumulative_revenue AS cumulative_revenue
         FROM (SELECT DISTINCT cohort_month FROM cumulated ORDER BY 1 LIMIT 8) c
-        CROSS JOIN (SELECT unnest(range({len(MONTHS)})) AS i) m
+        CROSS JOIN (SELECT DISTINCT cohort_index AS i FROM cumulated WHERE cohort_month IN
+                      (SELECT DISTINCT cohort_month FROM cumulated ORDER BY 1 LIMIT 8)) m
         LEFT JOIN cumulated v ON v.cohort_month = c.cohort_month AND v.cohort_index = m.i""",
     ),
 )
 def r02(shop):
-    table = reshape.first_labels(cohorts.cumulative_revenue(cells(shop)), cohort_month=8)
-    matrix = reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue", MONTHS)
+    table = settle(reshape.first_labels(cohorts.cumulative_revenue(cells(shop)), cohort_month=8), "corner")
+    matrix = reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue")
     return reshape.to_long(matrix, "cohort_month", "months_since_signup", "cumulative_revenue")
 
 

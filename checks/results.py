@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, sql
-from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, MONTHS, cells, wide_sql
+from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, cells, wide_sql
 from custoria.operators import cohorts, features, labels, reshape
 from custoria.operators.horizon import horizon
 from custoria.plans import reports
+from custoria.sources.reuse import settle
 
 FEATURE_COLUMNS = """customer_id, signup_date, city, age, gender, acquisition_channel, total_orders, total_spend,
     avg_order_value, last_order_date, first_order_date, discount_orders, recency_days, tenure_days, discount_rate,
@@ -68,7 +69,8 @@ def q05(shop):
 
 @query("Q05_retention_matrix", sql("retained", wide_sql("retained", "retention")))
 def q05_wide(shop):
-    return reshape.to_matrix(cohorts.retention(cells(shop)), "cohort_month", "cohort_index", "retention", MONTHS)
+    table = settle(cohorts.retention(cells(shop)), "retention")
+    return reshape.to_matrix(table, "cohort_month", "cohort_index", "retention")
 
 
 @query("Q06_cumulative_revenue", sql("cumulated", "SELECT * FROM cumulated"))
@@ -78,8 +80,8 @@ def q06(shop):
 
 @query("Q06_cumulative_revenue_matrix", sql("cumulated", wide_sql("cumulated", "avg_cumulative_revenue")))
 def q06_wide(shop):
-    table = cohorts.cumulative_revenue(cells(shop))
-    return reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue", MONTHS)
+    table = settle(cohorts.cumulative_revenue(cells(shop)), "revenue")
+    return reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue")
 
 
 @query(

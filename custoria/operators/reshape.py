@@ -6,14 +6,29 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 
 def to_matrix(cells: DataFrame, row: str, column: str, value: str, columns: list | None = None) -> DataFrame:
-    """Long cells to a matrix. Naming the `columns` saves the job that looks them up."""
+    """Long cells to a matrix with a column per label. Naming the `columns` saves the job that looks them up.
+
+    A cell whose label is not among the named columns is an error. Labels that are looked up become columns, so more than
+    Spark's own pivot limit of them is an error, too; cells without a label belong to no column.
+    """
     if columns is None:
-        found = cells.select(column).distinct().orderBy(column).collect()  # bounded by Spark's pivot limit
-        columns = [entry[0] for entry in found]
-    wide = cells.groupBy(row).pivot(column, columns).agg(F.first(value))
+        columns = matrix_labels(cells, column)
+    listed = F.col(column).isNull() | F.col(column).isin(columns)
+    told = F.concat(F.lit(f"no column is named for {column} "), F.col(column).cast("string"))
+    checked = cells.withColumn(column, F.when(listed, F.col(column)).otherwise(F.raise_error(told)))
+    wide = checked.groupBy(row).pivot(column, columns).agg(F.first(value))
     return wide.select(row, *[F.col(f"`{name}`").alias(str(name)) for name in columns])
 
 
+def matrix_labels(cells: DataFrame, column: str) -> list:
+    """The distinct labels in order: as many as a matrix has columns, which Spark limits."""
+    most = int(cells.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+    found = cells.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} labels of {column} for the columns of a matrix")
+    return sorted(entry[0] for entry in found)
+
+
 def to_long(matrix: DataFrame, row: str, name: str, value: str) -> DataFrame:
     """Matrix back to long cells, empty cells included."""
     return matrix.unpivot([row], [c for c in matrix.columns if c != row], name, value)

@@ -21,11 +21,11 @@ def write_matrix(
 ) -> str:
     """Write long cells as a matrix: one line per `row`, its label first, sorted by it.
 
-    A matrix has at most (months x months) cells, so one sorted part file is safe.
+    The lines are sorted by range, so that a long matrix is written by many tasks, in order of their part files.
     """
     from custoria.operators.reshape import to_matrix
 
     labelled = to_matrix(cells, row, column, value, columns)
     if dict(labelled.dtypes)[row] == "date":
         labelled = labelled.withColumn(row, F.date_format(row, "yyyy-MM"))
-    return write_result(labelled.orderBy(row).coalesce(1), path, fmt)
+    return write_result(labelled.orderBy(row), path, fmt)
