@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.registry import query, sql
 from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, cells, wide_sql
 from custoria.operators import cohorts, features, labels, reshape
-from custoria.operators.horizon import horizon
+from custoria.operators.horizon import horizon, last_date
 from custoria.plans import reports
 from custoria.sources.reuse import settle
 
@@ -18,12 +18,14 @@ FEATURE_COLUMNS = """customer_id, signup_date, city, age, gender, acquisition_ch
 
 @query("Q01_customer_features", sql("feat", f"SELECT {FEATURE_COLUMNS} FROM feat"))
 def q01(shop):
-    return features.churn_features(shop.customers, shop.orders, shop.order_items, horizon(shop.orders))
+    span = horizon(shop.orders, as_of=last_date(shop.orders))
+    return features.churn_features(shop.customers, shop.orders, shop.order_items, span)
 
 
 @query("Q01_customer_features_short", sql("feat", "SELECT * EXCLUDE (preferred_payment) FROM feat"))
 def q01_short(shop):
-    return features.churn_features(shop.customers, shop.orders, shop.order_items, horizon(shop.orders), payment=False)
+    span = horizon(shop.orders, as_of=last_date(shop.orders))
+    return features.churn_features(shop.customers, shop.orders, shop.order_items, span, payment=False)
 
 
 def rate_sql(days: int) -> str:
@@ -40,7 +42,7 @@ RATE = "SELECT window_days, eligible, churned, CAST(churned AS DOUBLE) / eligibl
 
 @query("Q02_churn_rate", sql("cust ord", f"{RATE} ({rate_sql(90)})"))
 def q02(shop):
-    table = labels.class_summary(labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders, 90)))
+    table = labels.class_summary(labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders, 90, last_date(shop.orders))))
     return table.select(
         F.lit(90).alias("window_days"),
         F.col("customers").alias("eligible"),
@@ -59,7 +61,7 @@ def q03(shop):
 
 @query("Q04_spend_features", sql("clv", "SELECT * FROM clv"))
 def q04(shop):
-    return features.spend_features(shop.customers, shop.orders, horizon(shop.orders))
+    return features.spend_features(shop.customers, shop.orders, horizon(shop.orders, as_of=last_date(shop.orders)))
 
 
 @query("Q05_retention", sql("retained", "SELECT * FROM retained"))

@@ -39,6 +39,11 @@ def horizon(orders: DataFrame, window_days: int = 90, as_of: dt.date | str | Non
     return Horizon(last, F.date_sub(last, window_days), window_days)
 
 
+def last_date(orders: DataFrame) -> dt.date | None:
+    """The last order date, found once: as `as_of` it makes every later cutoff a literal that filters a scan."""
+    return orders.agg(F.max("order_date")).first()[0]
+
+
 def observed(orders: DataFrame, span: Horizon) -> DataFrame:
     """Orders that features may use."""
     return orders.filter(span.seen())

@@ -6,7 +6,18 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from custoria.functions.columns import as_double, cents, cents_sum, money_sum, month_label, ratio
+from custoria.functions.columns import (
+    add_parts,
+    as_double,
+    cents,
+    cents_sum,
+    join_parts,
+    money_sum,
+    month_label,
+    month_of,
+    ratio,
+    sum_parts,
+)
 from custoria.sources.readers import Shop
 
 
@@ -47,6 +58,50 @@ def kpis(customers: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def order_totals(orders: DataFrame) -> DataFrame:
+    """Orders, priced orders and revenue parts per (month, payment method): all the overview needs, in one pass."""
+    return orders.groupBy(month_of("order_date").alias("first_day"), "payment_method").agg(
+        F.count(F.lit(1)).alias("orders"),
+        F.count("order_value").alias("priced"),
+        *sum_parts(cents("order_value"), "revenue"),
+    )
+
+
+def kpis_of(customers: DataFrame, totals: DataFrame) -> DataFrame:
+    """`kpis` from order totals."""
+    people = customers.agg(F.count(F.lit(1)).alias("n")).scalar()
+    parts = totals.agg(F.sum("orders").alias("orders"), F.sum("priced").alias("priced"), *add_parts("revenue"))
+    revenue = join_parts("revenue_high", "revenue_low")
+    return parts.select(
+        people.alias("total_customers"),
+        F.coalesce("orders", F.lit(0)).alias("total_orders"),
+        as_double(F.coalesce(revenue, F.lit(0))).alias("total_revenue"),
+        ratio(revenue, "priced").alias("avg_order_value"),
+    )
+
+
+def months_of(totals: DataFrame) -> DataFrame:
+    """`revenue_by_month` from order totals."""
+    revenue = F.coalesce(join_parts(*add_parts("revenue")), F.lit(0))
+    return (
+        totals.filter(F.col("first_day").isNotNull())
+        .groupBy("first_day")
+        .agg(as_double(revenue).alias("order_value"))
+        .select(month_label("first_day").alias("month"), "order_value")
+        .orderBy("month")
+    )
+
+
+def payments_of(totals: DataFrame) -> DataFrame:
+    """The payment mix from order totals."""
+    return (
+        totals.filter(F.col("payment_method").isNotNull())
+        .groupBy(F.col("payment_method").alias("method"))
+        .agg(F.sum("orders").alias("count"))
+        .orderBy(F.desc("count"), "method")
+    )
+
+
 def line_revenue(orders: DataFrame, order_items: DataFrame) -> DataFrame:
     """Items of existing orders with price x quantity, in hundredths."""
     return order_items.join(orders.select("order_id"), "order_id").withColumn(

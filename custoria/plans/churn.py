@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from custoria.operators import evaluation, explain, learners, matrix
 from custoria.operators.features import churn_features
-from custoria.operators.horizon import horizon
+from custoria.operators.horizon import horizon, last_date
 from custoria.operators.reshape import top_rows
 from custoria.operators.splits import stratified_split
 from custoria.sources.readers import Shop
@@ -90,7 +90,7 @@ class ChurnRun:
 
 
 def feature_table(shop: Shop, settings: ChurnSettings = ChurnSettings()) -> DataFrame:
-    span = horizon(shop.orders, settings.window_days, settings.as_of)
+    span = horizon(shop.orders, settings.window_days, settings.as_of or last_date(shop.orders))
     payment = "preferred_payment" in settings.categories
     return churn_features(shop.customers, shop.orders, shop.order_items, span, payment)
 

@@ -15,23 +15,27 @@ from custoria.sources.sinks import write_matrix, write_result
 
 
 def overview_page(shop: Shop) -> DataFrame:
-    """All numbers of the overview as (section, label, value)."""
+    """All numbers of the overview as (section, label, value).
+
+    Orders are read twice: once for the totals by month and payment method, which are saved, and once for the item join.
+    """
 
     def section(name: str, table: DataFrame, label: str, value: str) -> DataFrame:
         return table.select(F.lit(name).alias("section"), F.col(label).alias("label"), as_double(value).alias("value"))
 
-    totals = overview.kpis(shop.customers, shop.orders)
+    by_month = settle(overview.order_totals(shop.orders), "order-totals")
+    totals = overview.kpis_of(shop.customers, by_month)
     totals = totals.select(*[as_double(c).alias(c) for c in totals.columns])
     parts = [
         section("kpi", totals.unpivot([], totals.columns, "label", "value"), "label", "value"),
         section(
             "revenue_by_category", overview.revenue_by_category(shop.orders, shop.order_items), "category", "revenue"
         ),
-        section("revenue_by_month", overview.revenue_by_month(shop.orders), "month", "order_value"),
+        section("revenue_by_month", overview.months_of(by_month), "month", "order_value"),
         section(
             "customers_by_channel", overview.mix(shop.customers, "acquisition_channel", "channel"), "channel", "count"
         ),
-        section("orders_by_payment", overview.mix(shop.orders, "payment_method", "method"), "method", "count"),
+        section("orders_by_payment", overview.payments_of(by_month), "method", "count"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

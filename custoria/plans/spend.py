@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from custoria.functions.columns import as_double
 from custoria.operators import evaluation, explain, learners, matrix
 from custoria.operators.features import spend_features
-from custoria.operators.horizon import horizon
+from custoria.operators.horizon import horizon, last_date
 from custoria.operators.reshape import top_rows
 from custoria.operators.splits import random_split
 from custoria.plans.churn import Prepared
@@ -61,7 +61,7 @@ class SpendRun:
 
 
 def feature_table(shop: Shop, settings: SpendSettings = SpendSettings()) -> DataFrame:
-    span = horizon(shop.orders, settings.window_days, settings.as_of)
+    span = horizon(shop.orders, settings.window_days, settings.as_of or last_date(shop.orders))
     return spend_features(shop.customers, shop.orders, span)
 
 
