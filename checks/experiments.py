@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, sql, view
-from custoria.functions.probability import needed_shift, z_value
+from custoria.functions.probability import z_value
 from custoria.operators import experiment
 from custoria.plans import reports
 from custoria.sources import star
@@ -43,7 +43,7 @@ for _suffix in ("", "_all"):
         text=f"""
         SELECT experiment_id, variant, count(*) AS n, count(*) FILTER (converted = 1) AS c,
                CAST(count(*) FILTER (converted = 1) AS DOUBLE) / count(*) AS cr, count(order_value) AS o,
-               CAST(sum(CAST(order_value AS DECIMAL(18,2))) AS DOUBLE) / count(order_value) AS aov,
+               avg(order_value) AS aov,
                var_samp(order_value) AS v, stddev_pop(order_value) AS sd
         FROM visit{_suffix} GROUP BY 1, 2""",
     )
@@ -72,18 +72,30 @@ def numbers(values) -> str:
     return "[" + ", ".join(f"{float(v)!r}::DOUBLE" for v in values) + "]"
 
 
+# Normal quantiles of the menu, for 1 - alpha / 2 and for the power.
+CUT = {0.01: 2.5758293035489004, 0.05: 1.959963984540054, 0.10: 1.6448536269514722}
+REACH = {0.70: 0.5244005127080407, 0.80: 0.8416212335729143, 0.90: 1.2815515655446004}
+
+
+def case_sql(column: str, values: dict[float, float]) -> str:
+    return "CASE " + " ".join(f"WHEN {column} = {k!r}::DOUBLE THEN {v!r}::DOUBLE" for k, v in values.items()) + " END"
+
+
+def newton_sql(source: str) -> str:
+    """A better shift `d`: both tails together shall have the power."""
+    density = "(exp(-(d - cut) * (d - cut) / 2) - exp(-(d + cut) * (d + cut) / 2)) / sqrt(2 * pi())"
+    return f"""(SELECT * EXCLUDE (d), d - ({phi_sql('d - cut')} + {phi_sql('-d - cut')} - power) / ({density}) AS d FROM {source})"""
+
+
 def planned_sql(suffix: str, effects, alphas, powers) -> str:
-    shifts = " ".join(
-        f"WHEN alpha = {a!r}::DOUBLE AND power = {p!r}::DOUBLE THEN {needed_shift(a, p)!r}::DOUBLE"
-        for a in alphas
-        for p in powers
-    )
-    return f"""
-    SELECT *, CAST(ceil(2 * pow(CASE {shifts} END / nullif(h, 0), 2)) AS BIGINT) AS n_per_group
-    FROM (SELECT *, CASE WHEN target_cr <= 1 THEN 2 * (asin(sqrt(target_cr)) - asin(sqrt(baseline_cr))) END AS h
+    first = f"""(SELECT *, CASE WHEN target_cr <= 1 THEN 2 * (asin(sqrt(target_cr)) - asin(sqrt(baseline_cr))) END AS h,
+                 {case_sql('alpha', CUT)} AS cut, {case_sql('alpha', CUT)} + {case_sql('power', REACH)} AS d
           FROM (SELECT *, baseline_cr * (1 + mde_relative) AS target_cr
                 FROM base{suffix}, (SELECT unnest({numbers(effects)}) AS mde_relative),
                      (SELECT unnest({numbers(alphas)}) AS alpha), (SELECT unnest({numbers(powers)}) AS power)))"""
+    return f"""
+    SELECT * EXCLUDE (cut, d), CAST(ceil(2 * pow(d / nullif(h, 0), 2)) AS BIGINT) AS n_per_group
+    FROM {newton_sql(newton_sql(first))}"""
 
 
 view("planned", "base", text=planned_sql("", EFFECTS, ALPHAS, POWERS))
@@ -111,6 +123,11 @@ def r9(*names):
     return [F.round(name, 9).alias(name) for name in names]
 
 
+def r6(*names):
+    """Sums of order values depend on the order of the rows in their last digits."""
+    return [F.round(name, 6).alias(name) for name in names]
+
+
 KEYS = ("experiment_id", "mde_relative", "alpha", "power")
 
 # ---- design ---------------------------------------------------------------------------------
@@ -253,11 +270,11 @@ def x12(spark, folder):
 
 @query(
     "X13_order_value_error",
-    sql("arm", "SELECT experiment_id, variant, o AS orders, aov, round(sd / sqrt(o), 9) AS aov_se FROM arm"),
+    sql("arm", "SELECT experiment_id, variant, o AS orders, round(aov, 6) AS aov, round(sd / sqrt(o), 9) AS aov_se FROM arm"),
 )
 def x13(spark, folder):
     table = experiment.arms(star.visits(spark, folder))
-    return table.select("experiment_id", "variant", "orders", "aov", *r9("aov_se"))
+    return table.select("experiment_id", "variant", "orders", *r6("aov"), *r9("aov_se"))
 
 
 @query(
@@ -275,12 +292,13 @@ SIGN_SQL = "CASE WHEN net > 0 THEN 'positive' ELSE 'negative' END AS lift_sign"
     "X15_revenue_per_visitor",
     sql(
         "pair",
-        f"SELECT experiment_id, rev0 AS revenue_control, rev1 AS revenue_treatment, net AS net_lift, {SIGN_SQL} FROM pair",
+        f"""SELECT experiment_id, round(rev0, 6) AS revenue_control, round(rev1, 6) AS revenue_treatment,
+            round(net, 6) AS net_lift, {SIGN_SQL} FROM pair""",
     ),
 )
 def x15(spark, folder):
     return experiment.impact(pairs(spark, folder)).select(
-        "experiment_id", "revenue_control", "revenue_treatment", "net_lift", "lift_sign"
+        "experiment_id", *r6("revenue_control", "revenue_treatment", "net_lift"), "lift_sign"
     )
 
 
@@ -335,14 +353,14 @@ def x17(spark, folder):
             c1 AS treatment_conversions, cr0 AS control_conversion_rate, cr1 AS treatment_conversion_rate,
             gain AS absolute_lift, gain / nullif(cr0, 0) AS relative_lift, gain * 1000 AS incremental_per_1000,
             round(z, 9) AS z_stat, round({phi_sql('-z')}, 9) AS p_conversion, {WILSON_SQL},
-            aov0 AS control_aov, aov1 AS treatment_aov, round(t, 8) AS t_stat, dof, round({t_sql('t', 'dof')}, 8) AS p_aov,
-            rev0 AS revenue_control, rev1 AS revenue_treatment, net AS net_lift, {SIGN_SQL}, {ADVICE_SQL} FROM pair""",
+            round(aov0, 6) AS control_aov, round(aov1, 6) AS treatment_aov, round(t, 8) AS t_stat, dof, round({t_sql('t', 'dof')}, 8) AS p_aov,
+            round(rev0, 6) AS revenue_control, round(rev1, 6) AS revenue_treatment, round(net, 6) AS net_lift, {SIGN_SQL}, {ADVICE_SQL} FROM pair""",
     ),
 )
 def q10(spark, folder):
     table = experiment.readout(star.visits(spark, folder))
     exact = [
-        f"{arm}_{m}" for m in ("visitors", "conversions", "conversion_rate", "aov") for arm in ("control", "treatment")
+        f"{arm}_{m}" for m in ("visitors", "conversions", "conversion_rate") for arm in ("control", "treatment")
     ]
     return table.select(
         "experiment_id",
@@ -354,9 +372,7 @@ def q10(spark, folder):
         F.round("t_stat", 8).alias("t_stat"),
         "dof",
         F.round("p_aov", 8).alias("p_aov"),
-        "revenue_control",
-        "revenue_treatment",
-        "net_lift",
+        *r6("control_aov", "treatment_aov", "revenue_control", "revenue_treatment", "net_lift"),
         "lift_sign",
         "advice",
         "advice_detailed",

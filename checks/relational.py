@@ -397,7 +397,7 @@ def a14(shop):
     sql(
         "visit",
         """SELECT experiment_id, variant, avg(converted) AS conversion_rate,
-           CAST(sum(CAST(order_value AS DECIMAL(18,2))) AS DOUBLE) / count(order_value) AS aov,
+           round(avg(order_value), 6) AS aov,
            round(stddev_pop(order_value), 9) AS aov_std,
            round(stddev_pop(order_value) / sqrt(count(order_value)), 9) AS aov_se
         FROM visit GROUP BY 1, 2""",
@@ -408,7 +408,7 @@ def a15(spark, folder):
         "experiment_id",
         "variant",
         "conversion_rate",
-        "aov",
+        F.round("aov", 6).alias("aov"),
         F.round("aov_std", 9).alias("aov_std"),
         F.round("aov_se", 9).alias("aov_se"),
     )

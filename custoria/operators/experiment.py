@@ -8,14 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from custoria.functions.columns import as_double, money_sum, percent, ratio, thousands
-from custoria.functions.probability import (
-    normal_cdf,
-    power_shift,
-    t_p_value,
-    two_sided_power,
-    z_value,
-)
+from custoria.functions.columns import as_double, percent, ratio, thousands
+from custoria.functions.probability import add_normal_cdf, add_power, add_power_shift, t_p_value, z_value
+from custoria.sources.reuse import settle
 
 CONTROL, TREATMENT = "control", "treatment"
 ALPHA, POWER = 0.05, 0.80
@@ -35,11 +30,17 @@ def effect_size(design: DataFrame) -> DataFrame:
 
 
 def required_sample(design: DataFrame) -> DataFrame:
-    """Add visitors per arm and in total for a two-sided test at `alpha` with `power`."""
-    shift = power_shift(F.col("alpha"), F.col("power"))
-    n = F.ceil(2 * F.pow(F.try_divide(shift, "effect_size"), F.lit(2)))
-    return design.withColumn("n_per_group", n.cast("bigint")).withColumn(
-        "total_n", F.col("n_per_group") * 2
+    """Add visitors per arm and in total for a two-sided test at `alpha` with `power`.
+
+    Null unless 0 < alpha < power < 1 and the effect is not zero, and where the total is no 64-bit number any more.
+    """
+    step = add_power_shift(design, as_double("alpha"), as_double("power"), "_shift_needed")
+    step = step.withColumn("_n", F.ceil(2 * F.pow(F.try_divide("_shift_needed", "effect_size"), F.lit(2)).cast("decimal(38,4)")))
+    fits = F.col("_n") <= (2**63 - 1) // 2
+    return (
+        step.withColumn("n_per_group", F.when(fits, F.col("_n")).cast("bigint"))
+        .withColumn("total_n", F.col("n_per_group") * 2)
+        .drop("_shift_needed", "_n")
     )
 
 
@@ -66,6 +67,7 @@ def design_menu(
     )
 
 
+# The grid of the published power curve.
 def fixed_grid(planned: DataFrame, start: int = 500, stop: int = 20_000, step: int = 250) -> DataFrame:
     """Sample sizes from `start` up to, not including, `stop`."""
     return planned.withColumn("n", F.explode(F.sequence(F.lit(start), F.lit(stop - 1), F.lit(step))))
@@ -83,20 +85,24 @@ def relative_grid(planned: DataFrame) -> DataFrame:
 def power_at(grid: DataFrame) -> DataFrame:
     """Add the power reached with `n` visitors per arm."""
     shift = F.col("effect_size") * F.sqrt(F.col("n") / 2)
-    return grid.withColumn("power_at_n", two_sided_power(shift, F.col("alpha")))
+    return add_power(grid, shift, as_double("alpha"), "power_at_n")
 
 
 # ---- readout --------------------------------------------------------------------------------
 
 
 def arms(visits: DataFrame) -> DataFrame:
-    """Visitors, conversions and order values of the converters, per experiment and variant."""
+    """Visitors, conversions and order values of the converters, per experiment and variant.
+
+    Order values count as they are, unrounded. Visits without an experiment or a variant belong to none.
+    """
     value = F.when(F.col("converted") == 1, F.col("order_value"))
-    per_arm = visits.groupBy("experiment_id", "variant").agg(
+    named = visits.filter(F.col("experiment_id").isNotNull() & F.col("variant").isNotNull())
+    per_arm = named.groupBy("experiment_id", "variant").agg(
         F.count("converted").alias("visitors"),
         F.count_if(F.col("converted") == 1).alias("conversions"),
         F.count(value).alias("orders"),
-        money_sum(value).alias("revenue"),
+        F.avg(value).alias("aov"),
         F.stddev_pop(value).alias("aov_std"),
         F.var_samp(value).alias("aov_var"),
     )
@@ -107,7 +113,7 @@ def arms(visits: DataFrame) -> DataFrame:
         "conversions",
         "orders",
         ratio("conversions", "visitors").alias("conversion_rate"),
-        ratio("revenue", "orders").alias("aov"),
+        "aov",
         "aov_std",
         F.try_divide("aov_std", F.sqrt(as_double("orders"))).alias("aov_se"),
         "aov_var",
@@ -115,9 +121,15 @@ def arms(visits: DataFrame) -> DataFrame:
 
 
 def side_by_side(per_arm: DataFrame) -> DataFrame:
-    """One row per experiment with both arms, as `control_*` and `treatment_*`."""
+    """One row per experiment with both arms, as `control_*` and `treatment_*`.
+
+    Any other variant is an error: compare it on its own with `against_control`.
+    """
     measures = [c for c in per_arm.columns if c not in ("experiment_id", "variant")]
-    return per_arm.groupBy("experiment_id").agg(
+    told = F.concat(F.lit("no control or treatment: "), F.col("variant"))
+    known = F.col("variant").isin(CONTROL, TREATMENT)
+    checked = per_arm.withColumn("variant", F.when(known, F.col("variant")).otherwise(F.raise_error(told)))
+    return checked.groupBy("experiment_id").agg(
         *[
             F.max(F.when(F.col("variant") == arm, F.col(m))).alias(f"{arm}_{m}")
             for arm in (CONTROL, TREATMENT)
@@ -126,6 +138,16 @@ def side_by_side(per_arm: DataFrame) -> DataFrame:
     )
 
 
+def against_control(per_arm: DataFrame) -> DataFrame:
+    """Arms of an experiment with several treatments as one experiment per treatment, named `experiment/variant`."""
+    others = per_arm.filter(F.col("variant") != CONTROL)
+    control = per_arm.filter(F.col("variant") == CONTROL)
+    names = others.select("experiment_id", F.concat_ws("/", "experiment_id", "variant").alias("_name"))
+    renamed = others.withColumns({"experiment_id": F.concat_ws("/", "experiment_id", "variant"), "variant": F.lit(TREATMENT)})
+    paired = names.join(control, "experiment_id").withColumn("experiment_id", F.col("_name")).select(*per_arm.columns)
+    return renamed.unionByName(paired)
+
+
 def lift(pairs: DataFrame) -> DataFrame:
     """Add absolute and relative lift of the conversion rate."""
     gain = F.col("treatment_conversion_rate") - F.col("control_conversion_rate")
@@ -151,7 +173,7 @@ def conversion_z(pairs: DataFrame) -> DataFrame:
 
 def conversion_p(pairs: DataFrame) -> DataFrame:
     """Add the one-sided p-value of treatment > control."""
-    return pairs.withColumn("p_conversion", normal_cdf(-F.col("z_stat")))
+    return add_normal_cdf(pairs, -F.col("z_stat"), "p_conversion")
 
 
 def wilson(pairs: DataFrame, arm: str, alpha: float = ALPHA) -> DataFrame:
@@ -223,6 +245,7 @@ def impact(pairs: DataFrame) -> DataFrame:
 
 def recommendation(pairs: DataFrame) -> DataFrame:
     """Add the advice from `significant` and `net_lift`: two-way and three-way."""
+    # The wording of the advice.
     wins = F.col("significant") & (F.col("net_lift") > 0)
     return pairs.withColumns(
         {
@@ -244,14 +267,23 @@ def readout(visits: DataFrame, alpha: float = ALPHA) -> DataFrame:
     return recommendation(impact(conversion_flag(pairs, alpha)))
 
 
-def with_design(results: DataFrame, effect: float = 0.15, alpha: float = ALPHA, power: float = POWER) -> DataFrame:
-    """Add the design to every result; the control arm's rate is its baseline."""
+def with_design(
+    results: DataFrame,
+    effect: float = 0.15,
+    alpha: float = ALPHA,
+    power: float = POWER,
+    baseline: float | None = None,
+) -> DataFrame:
+    """Add the design to every result: for the planned `baseline` rate, or for the control arm's rate where none was."""
     chosen = {"mde_relative": F.lit(effect), "alpha": F.lit(alpha), "power": F.lit(power)}
-    return plan_experiments(results.withColumns({"baseline_cr": F.col("control_conversion_rate"), **chosen}))
+    rate = F.col("control_conversion_rate") if baseline is None else F.lit(float(baseline))
+    # Saved, one row per experiment: the optimiser would otherwise unfold the constants through every step of the design.
+    return plan_experiments(settle(results.withColumns({"baseline_cr": rate, **chosen}), "designed"))
 
 
 def summary(designed: DataFrame) -> DataFrame:
     """The eight report lines per experiment, as (experiment_id, metric, value)."""
+    # The labels of the published summary.
     lines = {
         "Baseline conversion rate": percent("baseline_cr"),
         "Target conversion rate (design)": percent("target_cr"),

@@ -41,10 +41,14 @@ def overview_page(shop: Shop) -> DataFrame:
 
 
 def experiment_summary(
-    visits: DataFrame, effect: float = 0.15, alpha: float = experiment.ALPHA, power: float = experiment.POWER
+    visits: DataFrame,
+    effect: float = 0.15,
+    alpha: float = experiment.ALPHA,
+    power: float = experiment.POWER,
+    baseline: float | None = None,
 ) -> DataFrame:
-    """The summary lines of every experiment; its control arm's rate is the design baseline."""
-    return experiment.summary(experiment.with_design(experiment.readout(visits, alpha), effect, alpha, power))
+    """The summary lines of every experiment, designed for `baseline` or else for its control arm's rate."""
+    return experiment.summary(experiment.with_design(experiment.readout(visits, alpha), effect, alpha, power, baseline))
 
 
 def write_churn(shop: Shop, out: str, settings: churn.ChurnSettings = churn.ChurnSettings()) -> churn.ChurnRun:
@@ -84,10 +88,17 @@ def write_overview(shop: Shop, out: str) -> None:
     write_result(overview_page(shop), f"{out}/overview")
 
 
-def write_experiment(visits: DataFrame, out: str) -> None:
+def write_experiment(
+    visits: DataFrame,
+    out: str,
+    effect: float = 0.15,
+    alpha: float = experiment.ALPHA,
+    power: float = experiment.POWER,
+    baseline: float | None = None,
+) -> None:
     """Readout, summary and power curve of every experiment."""
-    results = settle(experiment.readout(visits), "readout")
-    designed = experiment.with_design(results)
+    results = settle(experiment.readout(visits, alpha), "readout")
+    designed = experiment.with_design(results, effect, alpha, power, baseline)
     write_result(results, f"{out}/ab_test_readout")
     write_result(experiment.summary(designed), f"{out}/ab_test_summary")
     design = designed.select("experiment_id", "baseline_cr", "effect_size", "alpha", "power", "n_per_group")

@@ -1,11 +1,13 @@
 """Published constants, degenerate experiments and the three recommendations."""
 
 import math
+from statistics import NormalDist
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from custoria.functions.probability import needed_shift, phi, t_two_sided, z_value
+from custoria.functions.probability import add_normal_cdf, add_normal_quantile, t_two_sided, z_value
 from custoria.operators import experiment
 from custoria.plans import reports
 from tests import frames
@@ -90,25 +92,80 @@ def test_summary_lines(spark):
     assert len(lines) == 8
     assert lines["Observed control CR"] == "11.68%" and lines["Observed treatment CR"] == "13.20%"
     assert lines["Conversion z-test p-value"] == "0.00794"
-    assert lines["Required sample size per group"].replace(",", "").isdigit()
+    assert lines["Baseline conversion rate"] == "11.68%"
     assert lines["Revenue-per-visitor lift"].startswith("Rs.")
 
 
-def test_probability_functions():
-    assert phi(1.959963984540054) == pytest.approx(0.975, abs=1e-14)
-    assert phi(-10) == pytest.approx(7.61985302416e-24, rel=1e-9)
-    assert z_value(0.975) == pytest.approx(1.959963984540054, abs=1e-12)
+def test_published_summary_from_the_planned_baseline(spark):
+    table = frames.visits(spark, a=((5438, 635, [1800, 1900]), (5438, 718, [1650, 1700])))
+    lines = {r["metric"]: r["value"] for r in reports.experiment_summary(table, baseline=0.12).collect()}
+    assert lines["Baseline conversion rate"] == "12.00%"
+    assert lines["Target conversion rate (design)"] == "13.80%"
+    assert lines["Required sample size per group"] == "5,438"
+    assert lines["Observed control CR"] == "11.68%" and lines["Observed treatment CR"] == "13.20%"
+    assert lines["Conversion z-test p-value"] == "0.00794"
+
+
+def test_normal_functions(spark):
+    points = [-30.0, -10.0, -3.0, -1e-9, 0.0, 0.4, 1.959963984540054, 6.0, 12.0, None]
+    frame = spark.createDataFrame([(z,) for z in points], "z double")
+    for row in add_normal_cdf(frame, F.col("z"), "p").collect():
+        if row["z"] is None:
+            assert row["p"] is None
+        else:
+            assert row["p"] == pytest.approx(0.5 * math.erfc(-row["z"] / math.sqrt(2)), rel=2e-13)
+    levels = [1e-300, 1e-20, 0.001, 0.07, 0.2, 0.5, 0.925, 0.93, 1 - 1e-12, 0.0, 1.0, -1.0, None]
+    frame = spark.createDataFrame([(p,) for p in levels], "p double")
+    for row in add_normal_quantile(frame, F.col("p"), "z").collect():
+        if row["p"] is None or not 0 < row["p"] < 1:
+            assert row["z"] is None
+        else:
+            assert row["z"] == pytest.approx(NormalDist().inv_cdf(row["p"]), rel=1e-14, abs=1e-15)
+
+
+def test_t_probabilities():
     # Student's t has closed forms for one and two degrees of freedom.
     for t in (0.1, 1.0, 3.0, 40.0):
-        assert t_two_sided(t, 1) == pytest.approx(1 - 2 * math.atan(t) / math.pi, abs=1e-13)
-        assert t_two_sided(t, 2) == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-13)
+        one, two = t_two_sided([t, t], [1, 2])
+        assert one == pytest.approx(1 - 2 * math.atan(t) / math.pi, abs=1e-13)
+        assert two == pytest.approx(1 - t / math.sqrt(2 + t * t), abs=1e-13)
     for t in (0.0, 0.5, 2.0, 4.0):
-        assert t_two_sided(t, 1e7) == pytest.approx(2 * phi(-t), abs=1e-6)
-        assert t_two_sided(-t, 30) == t_two_sided(t, 30)
-    for alpha in (0.01, 0.05, 0.1):
-        for power in (0.7, 0.8, 0.9):
-            cut, shift = z_value(1 - alpha / 2), needed_shift(alpha, power)
-            assert phi(shift - cut) + phi(-shift - cut) == pytest.approx(power, abs=1e-12)
+        assert t_two_sided([t], [1e12])[0] == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-9)
+        assert t_two_sided([-t], [30])[0] == t_two_sided([t], [30])[0]
+        below, above = t_two_sided([t, t], [99_999, 100_001])
+        assert below == pytest.approx(above, rel=2e-8)
+    assert math.isnan(t_two_sided([1.0], [0])[0])
+
+
+def test_a_design_outside_its_domain_is_null_and_spoils_no_other(spark):
+    rows = [(0.12, 0.15, 0.05, p) for p in (0.8, 0.03, 1.0)] + [(0.12, 0.15, 0.0, 0.8), (0.12, 1e-11, 0.05, 0.8)]
+    found = experiment.plan_experiments(design(spark, *rows)).collect()
+    sizes = {(r["mde_relative"], r["alpha"], r["power"]): r["n_per_group"] for r in found}
+    assert sizes.pop((0.15, 0.05, 0.8)) == 5438 and set(sizes.values()) == {None}
+
+
+def test_order_values_are_not_rounded(spark):
+    row = experiment.readout(frames.visits(spark, a=((50, 2, [0.004, 0.004]), (50, 2, [1234.5678, 1234.5678])))).first()
+    assert row["control_aov"] == pytest.approx(0.004) and row["treatment_aov"] == pytest.approx(1234.5678)
+
+
+def test_no_python_in_the_design(spark):
+    menu = design(spark, (0.12, 0.15, 0.05, 0.80)).repartition(2)
+    text = experiment.power_at(experiment.fixed_grid(experiment.plan_experiments(menu)))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "Arrow" not in text
+
+
+def test_other_variants_and_null_keys(spark):
+    rows = [("a", v, c, 10.0 if c else None) for v in ("control", "treatment", "third") for c in (0, 1, 1)]
+    rows += [(None, "control", 1, 5.0)]
+    visits = spark.createDataFrame(rows, "experiment_id string, variant string, converted int, order_value double")
+    arms = experiment.arms(visits)
+    assert arms.filter("experiment_id is null").count() == 0
+    with pytest.raises(PySparkException, match="no control or treatment"):
+        experiment.side_by_side(arms).collect()
+    pairs = experiment.side_by_side(experiment.against_control(arms)).collect()
+    assert sorted(r["experiment_id"] for r in pairs) == ["a/third", "a/treatment"]
+    assert all(r["control_visitors"] == r["treatment_visitors"] == 3 for r in pairs)
 
 
 def test_impossible_targets_give_nulls(spark):
