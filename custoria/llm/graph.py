@@ -16,8 +16,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of `edges` (u, v): the label is the smallest node of its component.
 
     Alternating large-star and small-star steps; each hangs neighbours onto the smallest one around and combines before
-    it shuffles. Edges are written to the shared folder after every round. Self loops give a node of its own.
+    it shuffles. Edges are written to the shared folder first, as they are read twice, and after every round. Self loops give
+    a node of its own.
     """
+    edges = settle(edges.select("u", "v"), "edges")
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     edges = settle(
         edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
