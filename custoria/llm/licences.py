@@ -223,7 +223,9 @@ def _scan(model: Families):
                 for number, line in enumerate(words_of(lines)):
                     best = None
                     for window in windows(line) if len(templates.hits(line)) else ():
-                        if len(templates.hits(window)):
+                        hits = templates.hits(window)
+                        if len(hits):
+                            window = window[max(0, hits[0] - 6) : hits[-1] + 8]
                             p = model.probability(window)
                             place = int(p.argmax())
                             if p[place] >= model.level:

@@ -129,6 +129,11 @@ def base_spans(documents: DataFrame) -> DataFrame:
 
 
 def _shape(body: Column) -> Column:
+    """Tokens with an at sign are alike; in others, runs of letters and every digit are."""
+    return F.when(F.contains(body, F.lit("@")), F.lit("@")).otherwise(_masked(body))
+
+
+def _masked(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(body), r"\p{L}+", "a"), "[0-9]", "9")
 
 
