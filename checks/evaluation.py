@@ -148,6 +148,15 @@ view(
 )
 
 
+def split_table(spark, folder):
+    """The stratified split, saved on first use: fits read its train rows, applications all of it."""
+
+    def build():
+        return splits.stratified_split(feature_table(spark, folder), "customer_id", "churned")
+
+    return ResultStore(spark).get("split", build, folder=folder)
+
+
 @query("M01_stratified_split", sql("part_of", "SELECT customer_id, churned, is_test FROM part_of"))
 def m01(spark, folder):
     table = feature_table(spark, folder).select("customer_id", "churned")
@@ -177,7 +186,7 @@ def m02(spark, folder):
     ),
 )
 def m03(spark, folder):
-    table = splits.stratified_split(feature_table(spark, folder), "customer_id", "churned")
+    table = split_table(spark, folder)
     columns = {c: as_double(c) for c in matrix.CHURN_NUMERIC}
     scaler = matrix.Scaler.fit(table.filter(~F.col("is_test")), columns)
     return table.select(
@@ -216,28 +225,31 @@ def m04(spark, folder):
 @query(
     "M05_balanced_weight",
     sql(
-        "feat",
+        "part_of",
         """SELECT customer_id, churned, CAST(total AS DOUBLE) / (2 * n) AS balanced
-        FROM feat JOIN (SELECT churned, count(*) AS n, sum(count(*)) OVER () AS total FROM feat GROUP BY 1) USING (churned)""",
+        FROM part_of JOIN (SELECT churned, count(*) AS n, sum(count(*)) OVER () AS total
+                           FROM part_of WHERE NOT is_test GROUP BY 1) USING (churned)""",
     ),
 )
 def m05(spark, folder):
-    table = feature_table(spark, folder).select("customer_id", "churned")
-    return matrix.balanced_weights(table, table, "churned").select("customer_id", "churned", "balanced")
+    table = split_table(spark, folder)
+    weighted = matrix.balanced_weights(table, table.filter(~F.col("is_test")), "churned")
+    return weighted.select("customer_id", "churned", "balanced")
 
 
 @query(
     "M06_positive_weight",
     sql(
-        "feat",
+        "part_of",
         """SELECT customer_id, churned, CASE WHEN churned = 1 THEN w ELSE 1 END AS positive_weight
-        FROM feat, (SELECT CAST(count(*) FILTER (churned = 0) AS DOUBLE)
-                           / greatest(count(*) FILTER (churned = 1), 1) AS w FROM feat)""",
+        FROM part_of, (SELECT CAST(count(*) FILTER (churned = 0) AS DOUBLE)
+                              / greatest(count(*) FILTER (churned = 1), 1) AS w FROM part_of WHERE NOT is_test)""",
     ),
 )
 def m06(spark, folder):
-    table = feature_table(spark, folder).select("customer_id", "churned")
-    return matrix.positive_weights(table, table, "churned")
+    table = split_table(spark, folder)
+    weighted = matrix.positive_weights(table, table.filter(~F.col("is_test")), "churned")
+    return weighted.select("customer_id", "churned", "positive_weight")
 
 
 # ---- evaluation -----------------------------------------------------------------------------

@@ -1,20 +1,23 @@
-"""Learners, whole model runs and explanations. No SQL can say them; tests check their properties.
+"""Learners, whole model runs and explanations. SQL cannot say their values; it says properties of them.
 
-They train on every eligible customer, with fewer rounds than the default to keep checks short.
+They train at the published sizes: 1,000 iterations at most, 300 trees, 300 rounds.
 """
 
 from __future__ import annotations
 
 from functools import lru_cache
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.evaluation import HASH
+from checks.registry import query, sql
+from custoria.operators import evaluation
 from custoria.plans import churn, spend
 from custoria.sources import star
 
-CHURN = churn.ChurnSettings(max_iter=100, trees=20, rounds=10)
-SPEND = spend.SpendSettings(rounds=10)
+CHURN = churn.ChurnSettings()
+SPEND = spend.SpendSettings()
 
 
 @lru_cache(maxsize=8)
@@ -39,67 +42,176 @@ def scores_of(spark, folder, model):
     return churn_run(spark, folder).scores.filter(F.col("model") == model)
 
 
-@query("L01_logistic_regression")
+# Each trained operator states properties that SQL can state as well, on the rows of its real run: which rows are scored,
+# that probabilities are probabilities, that equations of the optimum hold, that parts add up. They are not the values.
+TEST_ROWS = "SELECT customer_id, churned AS label FROM part_of WHERE is_test"
+SPEND_ROWS = f"SELECT customer_id, future_90d_spend AS label FROM clv WHERE {HASH} < {2**58}"
+CHURN_MODELS, SPEND_MODELS = (churn.LOGISTIC, churn.FOREST, churn.BOOSTED), (spend.LINEAR, spend.BOOSTED)
+
+
+def scored_sql(source: str, rows: str, models, value: str) -> str:
+    parts = (f"SELECT customer_id, label, '{m}' AS model, TRUE AS {value} FROM ({rows})" for m in models)
+    return sql(source, " UNION ALL ".join(parts))
+
+
+def probabilities(scores):
+    sound = F.col("prob").between(0.0, 1.0) & ~F.isnan("prob")
+    return scores.select("customer_id", "label", "model", sound.alias("is_probability"))
+
+
+def amounts(scores):
+    sound = F.col("prediction").isNotNull() & ~F.isnan("prediction") & (F.abs("prediction") < float("inf"))
+    return scores.select("customer_id", "label", "model", sound.alias("is_finite"))
+
+
+@query("L01_logistic_regression", scored_sql("part_of", TEST_ROWS, CHURN_MODELS[:1], "is_probability"))
 def l01(spark, folder):
-    return scores_of(spark, folder, churn.LOGISTIC)
+    return probabilities(scores_of(spark, folder, churn.LOGISTIC))
 
 
-@query("L02_random_forest")
+@query("L01_gradient", "SELECT CAST(0 AS BIGINT) AS slopes_off, TRUE AS settled FROM customer LIMIT 1")
+def l01_gradient(spark, folder):
+    """The penalised loss is flat at the fit: per feature and for the intercept, over the train rows."""
+    run = churn_run(spark, folder)
+    model, train = run.models[churn.LOGISTIC], run.prepared.train
+    total = train.agg(F.sum("balanced")).first()[0]
+    scored = model.transform(train).withColumn("error", F.col("balanced") * (vector_to_array("probability")[1] - F.col(churn.LABEL)))
+    weights = model.coefficients.toArray().tolist()
+    x = vector_to_array("scaled")
+    sums = scored.agg(F.sum("error").alias("b"), *[F.sum(F.col("error") * x[i]).alias(f"g{i}") for i in range(len(weights))])
+    slopes = F.array(F.col("b") / total, *[(F.col(f"g{i}") + w) / total for i, w in enumerate(weights)])
+    off = F.size(F.filter(slopes, lambda g: F.abs(g) > 1e-4)).cast("bigint")
+    return sums.select(off.alias("slopes_off"), F.lit(model.summary.totalIterations < CHURN.max_iter).alias("settled"))
+
+
+@query("L02_random_forest", scored_sql("part_of", TEST_ROWS, CHURN_MODELS[1:2], "is_probability"))
 def l02(spark, folder):
-    return scores_of(spark, folder, churn.FOREST)
+    return probabilities(scores_of(spark, folder, churn.FOREST))
 
 
-@query("L03_boosted_classifier")
+@query("L03_boosted_classifier", scored_sql("part_of", TEST_ROWS, CHURN_MODELS[2:], "is_probability"))
 def l03(spark, folder):
-    return scores_of(spark, folder, churn.BOOSTED)
+    return probabilities(scores_of(spark, folder, churn.BOOSTED))
 
 
-@query("L04_linear_regression")
+@query("L04_linear_regression", scored_sql("clv", SPEND_ROWS, SPEND_MODELS[:1], "is_finite"))
 def l04(spark, folder):
-    return spend_run(spark, folder).scores.filter(F.col("model") == spend.LINEAR)
+    return amounts(spend_run(spark, folder).scores.filter(F.col("model") == spend.LINEAR))
+
+
+@query("L04_normal_equations", "SELECT CAST(0 AS BIGINT) AS equations_off FROM customer LIMIT 1")
+def l04_equations(spark, folder):
+    """Residuals of the train rows are orthogonal to every feature and to the constant."""
+    run = spend_run(spark, folder)
+    scored = run.models[spend.LINEAR].transform(run.prepared.train)
+    error, x = F.col(SPEND.label) - F.col("prediction"), vector_to_array("features")
+    names = run.prepared.design.names
+    sums = scored.agg(
+        F.sum(error).alias("b"),
+        F.sum(F.abs(error)).alias("size"),
+        *[F.sum(error * x[i]).alias(f"g{i}") for i in range(len(names))],
+        *[F.sum(F.abs(error * x[i])).alias(f"s{i}") for i in range(len(names))],
+    )
+    shares = F.array(F.col("b") / F.col("size"), *[F.try_divide(f"g{i}", f"s{i}") for i in range(len(names))])
+    return sums.select(F.size(F.filter(shares, lambda s: F.abs(s) > 1e-6)).cast("bigint").alias("equations_off"))
 
 
-@query("L05_boosted_regressor")
+@query("L05_boosted_regressor", scored_sql("clv", SPEND_ROWS, SPEND_MODELS[1:], "is_finite"))
 def l05(spark, folder):
-    return spend_run(spark, folder).scores.filter(F.col("model") == spend.BOOSTED)
+    return amounts(spend_run(spark, folder).scores.filter(F.col("model") == spend.BOOSTED))
 
 
-@query("L06_scores")
+@query(
+    "L06_scores",
+    scored_sql("part_of", "SELECT customer_id, churned AS label FROM part_of", CHURN_MODELS, "is_probability"),
+)
 def l06(spark, folder):
     run = churn_run(spark, folder)
-    return churn.score(run.models, run.prepared.table)
+    return probabilities(churn.score(run.models, run.prepared.table))
+
+
+def importance_sum(table):
+    return table.agg(F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
+
+
+SUM_SQL = "SELECT CAST(1 AS DOUBLE) AS total, CAST(0 AS BIGINT) AS negative FROM customer LIMIT 1"
 
 
-@query("E10_feature_importance")
+@query("E10_feature_importance", SUM_SQL)
 def e10(spark, folder):
-    return churn_run(spark, folder).forest_importance(10)
+    run = churn_run(spark, folder)
+    return importance_sum(run.forest_importance(len(run.prepared.design.names)))
 
 
-@query("E10_spend_importance")
+@query("E10_spend_importance", SUM_SQL)
 def e10_spend(spark, folder):
-    return spend_run(spark, folder).importance(8)
+    run = spend_run(spark, folder)
+    return importance_sum(run.importance(len(run.prepared.design.names)))
 
 
-@query("E11_attributions")
+@query("E11_attributions", "SELECT 12 AS features, TRUE AS ordered FROM customer LIMIT 1")
 def e11(spark, folder):
-    return churn_run(spark, folder).top_attributions(12)
+    top = churn_run(spark, folder).top_attributions(12)
+    ranked = top.agg(F.collect_list("mean_abs").alias("m"))
+    return ranked.select(F.size("m").alias("features"), (F.col("m") == F.reverse(F.array_sort("m"))).alias("ordered"))
 
 
-@query("E11_attribution_rows")
+@query("E11_attribution_rows", sql("part_of", "SELECT customer_id, TRUE AS adds_up FROM part_of WHERE is_test"))
 def e11_rows(spark, folder):
+    """Attributions and base add up to the margin, which the probability tells."""
     run = churn_run(spark, folder)
-    names = F.array(*[F.lit(name) for name in run.prepared.design.names])
-    cells = F.explode(F.arrays_zip(names.alias("feature"), F.col("phi").alias("phi")))
-    return run.attributions().select("customer_id", "base", cells.alias("cell")).select(
-        "customer_id", "cell.feature", "cell.phi", "base"
-    )
+    margin = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
+    told = run.scores.filter(F.col("model") == churn.BOOSTED).select("customer_id", "prob")
+    meant = 1 / (1 + F.exp(-2 * margin))
+    return run.attributions().join(told, "customer_id").select("customer_id", (F.abs(meant - F.col("prob")) < 1e-6).alias("adds_up"))
+
+
+def names_sql(models) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}' AS model" for m in models)
 
 
-@query("Q08_churn_models")
+@query(
+    "Q08_churn_models",
+    sql("part_of", f"SELECT model, TRUE AS in_range, count(*) AS tested FROM part_of, ({names_sql(CHURN_MODELS)}) WHERE is_test GROUP BY 1"),
+)
 def q08(spark, folder):
-    return churn_run(spark, folder).comparison()
+    run = churn_run(spark, folder)
+    cells = evaluation.confusion(evaluation.outcome_counts(run.scores)).groupBy("model").agg(F.sum("n").alias("tested"))
+    fits = [F.col(m).between(0.0, 1.0) | F.col(m).isNull() for m in ("roc_auc", "precision", "recall", "f1")]
+    return run.comparison().join(cells, "model").select("model", (fits[0] & fits[1] & fits[2] & fits[3]).alias("in_range"), "tested")
+
+
+@query("Q08_roc_points", names_sql(CHURN_MODELS).replace("AS model", "AS model, TRUE AS spans_the_square"))
+def q08_roc(spark, folder):
+    ends = churn_run(spark, folder).roc().groupBy("model").agg(
+        (F.min("fpr") + F.min("tpr") == 0).alias("low"), ((F.max("fpr") == 1) & (F.max("tpr") == 1)).alias("high")
+    )
+    return ends.select("model", (F.col("low") & F.col("high")).alias("spans_the_square"))
+
+
+@query(
+    "Q08_class_report",
+    sql("part_of", f"SELECT model, CAST(churned AS VARCHAR) AS class, count(*) AS support FROM part_of, ({names_sql(CHURN_MODELS)}) WHERE is_test GROUP BY 1, 2"),
+)
+def q08_report(spark, folder):
+    return churn_run(spark, folder).report().filter(F.col("class").isin("0", "1")).select("model", "class", "support")
+
 
+@query("Q08_best_confusion", sql("part_of", "SELECT churned AS actual, count(*) AS n FROM part_of WHERE is_test GROUP BY 1"))
+def q08_best(spark, folder):
+    return churn_run(spark, folder).best_confusion().groupBy("actual").agg(F.sum("n").alias("n"))
 
-@query("Q09_spend_models")
+
+@query(
+    "Q09_spend_models",
+    sql("clv", f"SELECT model, TRUE AS in_range, count(*) AS tested FROM ({SPEND_ROWS}), ({names_sql(SPEND_MODELS)}) GROUP BY 1"),
+)
 def q09(spark, folder):
-    return spend_run(spark, folder).comparison()
+    run = spend_run(spark, folder)
+    tested = run.scores.groupBy("model").agg(F.count(F.lit(1)).alias("tested"))
+    return run.comparison().join(tested, "model").select("model", ((F.col("mae") >= 0) & (F.col("r2") <= 1)).alias("in_range"), "tested")
+
+
+@query("Q09_best_pairs", sql("clv", SPEND_ROWS))
+def q09_pairs(spark, folder):
+    return spend_run(spark, folder).best_pairs().select("customer_id", "label")

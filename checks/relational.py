@@ -23,7 +23,7 @@ from custoria.session import scratch_path
 from custoria.sources import sinks, star
 from custoria.sources.readers import read_table
 from custoria.sources.reuse import ResultStore, settle
-from custoria.sources.schemas import ORDERS
+from custoria.sources.schemas import CUSTOMERS, ORDER_ITEMS, ORDERS
 
 ORDER_COLUMNS = "order_id, customer_id, order_date, order_value, discount_applied, payment_method"
 
@@ -41,6 +41,20 @@ def s01(spark, folder):
     return read_table(spark, path, ORDERS)
 
 
+@query("S01_csv_scan_customers", sql("cust", "SELECT * FROM cust"))
+def s01_customers(spark, folder):
+    path = sinks.write_result(star.customers(spark, folder), scratch_path(spark, "customers-csv"))
+    return read_table(spark, path, CUSTOMERS)
+
+
+@query("S01_csv_scan_order_items", sql("item", "SELECT order_id, category, quantity, item_price FROM item"))
+def s01_items(spark, folder):
+    items = star.shop(spark, folder).order_items
+    path = sinks.write_result(items, scratch_path(spark, "items-csv"))
+    fields = [f for f in ORDER_ITEMS if f.name in items.columns]
+    return read_table(spark, path, T.StructType(fields)).select("order_id", "category", "quantity", "item_price")
+
+
 @query(
     "S02_csv_sink",
     sql(

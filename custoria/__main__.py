@@ -42,6 +42,11 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None) -> None:
     given = parser().parse_args(arguments)
     spark = session.tune(session.build("custoria"))
+    with session.scratch_scope(spark):
+        run(spark, given)
+
+
+def run(spark, given: argparse.Namespace) -> None:
     if given.command == "experiment":
         visits = open_visits(spark, given.data, given.format)
         reports.write_experiment(visits, given.out, given.effect, given.alpha, given.power, given.baseline)

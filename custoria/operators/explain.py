@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-import sys
 from collections import defaultdict
 from dataclasses import astuple, dataclass
 from math import factorial
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from custoria.session import scratch_path
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
 def importances(spark: SparkSession, model, names: list[str]) -> DataFrame:
     """One row per matrix column with the model's impurity importance."""
     values = model.featureImportances.toArray().tolist()

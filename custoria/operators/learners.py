@@ -8,8 +8,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, functions as F
 
 SEED = 42
-# More candidate splits than Spark's default of 32, as the models compared here split exactly.
-_BINS = 128
+# Candidate splits per feature: more than Spark's default of 32, as the models compared here split exactly. Features with
+# more distinct values are split at this many quantiles; every tree learner takes another number as `bins`.
+BINS = 128
 
 
 def logistic_regression(train: DataFrame, label: str, weight: str, total_weight: float, max_iter: int = 1000):
@@ -25,24 +26,34 @@ def logistic_regression(train: DataFrame, label: str, weight: str, total_weight:
         regParam=1.0 / total_weight,
         elasticNetParam=0.0,
         standardization=False,
-        tol=1e-8,
+        tol=1e-6,
     ).fit(train)
 
 
-def random_forest(train: DataFrame, label: str, weight: str, trees: int = 300, depth: int = 6, seed: int = SEED):
+def random_forest(
+    train: DataFrame, label: str, weight: str, trees: int = 300, depth: int = 6, seed: int = SEED, bins: int = BINS
+):
     return RandomForestClassifier(
         featuresCol="features",
         labelCol=label,
         weightCol=weight,
         numTrees=trees,
         maxDepth=depth,
-        maxBins=_BINS,
+        maxMemoryInMB=512,
+        maxBins=bins,
         seed=seed,
     ).fit(train)
 
 
 def boosted_classifier(
-    train: DataFrame, label: str, weight: str, rounds: int = 300, depth: int = 4, rate: float = 0.05, seed: int = SEED
+    train: DataFrame,
+    label: str,
+    weight: str,
+    rounds: int = 300,
+    depth: int = 4,
+    rate: float = 0.05,
+    seed: int = SEED,
+    bins: int = BINS,
 ):
     """Boosted trees on the logistic loss; every round is at least one job over the rows."""
     return GBTClassifier(
@@ -52,8 +63,10 @@ def boosted_classifier(
         maxIter=rounds,
         maxDepth=depth,
         stepSize=rate,
-        maxBins=_BINS,
-        checkpointInterval=10,
+        maxBins=bins,
+        cacheNodeIds=True,
+        checkpointInterval=20,
+        maxMemoryInMB=512,
         seed=seed,
     ).fit(train)
 
@@ -64,7 +77,7 @@ def linear_regression(train: DataFrame, label: str):
 
 
 def boosted_regressor(
-    train: DataFrame, label: str, rounds: int = 300, depth: int = 3, rate: float = 0.05, seed: int = SEED
+    train: DataFrame, label: str, rounds: int = 300, depth: int = 3, rate: float = 0.05, seed: int = SEED, bins: int = BINS
 ):
     return GBTRegressor(
         featuresCol="features",
@@ -72,8 +85,10 @@ def boosted_regressor(
         maxIter=rounds,
         maxDepth=depth,
         stepSize=rate,
-        maxBins=_BINS,
-        checkpointInterval=10,
+        maxBins=bins,
+        cacheNodeIds=True,
+        checkpointInterval=20,
+        maxMemoryInMB=512,
         lossType="squared",
         seed=seed,
     ).fit(train)

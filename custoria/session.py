@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Settings that every plan here relies on; a value the cluster already set wins.
@@ -15,8 +19,8 @@ _WANTED = {
     # Split a hot join partition even when the next step then needs one more exchange.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Hash instead of sort for joins whose build side is at most this large in every partition,
-    # as measured after the shuffle.
-    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # as measured after the shuffle; the hash map cannot spill, so this stays small.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "16MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
@@ -36,11 +40,17 @@ def build(app: str = "custoria", master: str | None = None, **conf: str) -> Spar
 
 
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime-settable wanted settings to a session someone else built."""
-    submitted = dict(spark.sparkContext.getConf().getAll())
-    for key, value in _WANTED.items():
-        if key not in submitted and spark.conf.get(key) != value:
-            spark.conf.set(key, value)
+    """Prepare a session someone else built: once, and only settings that nobody has set.
+
+    Task code of this package travels by value, so executors need not have it installed.
+    """
+    if not getattr(spark, "_custoria_tuned", False):
+        chosen = {row["key"] for row in spark.sql("SET").collect()}
+        for key, value in _WANTED.items():
+            if key not in chosen:
+                spark.conf.set(key, value)
+        cloudpickle.register_pickle_by_value(sys.modules["custoria"])
+        spark._custoria_tuned = True
     shared_dir(spark)
     return spark
 
@@ -73,4 +83,20 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def run_dir(spark: SparkSession) -> str:
     """One sub-folder per application, so no run reads what another one left."""
     context = spark.sparkContext
-    return f"{shared_dir(spark)}/custoria/{context.applicationId}-{os.getpid()}"
+    scope = getattr(context, "_custoria_scope", "")
+    return f"{shared_dir(spark)}/custoria/{context.applicationId}-{os.getpid()}{scope}"
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """What is saved inside the block is deleted at its end: for runs that leave only their written results."""
+    context = spark.sparkContext
+    before = getattr(context, "_custoria_scope", "")
+    context._custoria_scope = f"{before}/run-{uuid.uuid4().hex[:12]}"
+    folder = run_dir(spark)
+    try:
+        yield
+    finally:
+        context._custoria_scope = before
+        target = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
