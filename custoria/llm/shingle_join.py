@@ -2,8 +2,8 @@
 
 1. Candidates. The hash space of shingles is cut into as many parts as two linked sets can differ in, plus one and some
    spare, so two linked sets agree in at least one part that is not nearly empty (pigeonhole; see `Band`). A document sends
-   one 64-bit key per part. Keys agree on several shingles together, so a passage that many documents share does not tie
-   them. A task keeps one row per key and ties its other documents to that one, so a hot key costs a row per task.
+   one 64-bit key per part. Parts of nothing but hot shingles, those of passages that many documents share, count as nearly
+   empty (see `hot_shingles`; any set of shingles may be called hot without losing a link). A task keeps one row per key and ties its other documents to that one, so a hot key costs a row per task.
    Documents tied by keys form clusters; a link never leaves a cluster.
 2. Verification. Only documents in clusters send their sets, equal sets once per task. A cluster that fits a block is
    joined by one dual traversal of its signature tree. A larger one is dealt to blocks by hash: blocks are joined inside;
@@ -23,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from custoria.llm.common import prepare, settle, with_text
 from custoria.llm.graph import components
@@ -35,6 +34,12 @@ from custoria.llm.signature_tree import join
 BLOCK_BYTES = 4 << 20
 #: Keys a task holds before it sends them on.
 HELD_KEYS = 1 << 20
+#: A shingle is hot if at least so many of a few thousand documents in a task share it; at most so many are hot.
+HOT_SHARE, MOST_HOT = 3, 500_000
+#: Tokens a task counts together, in search of hot ones.
+COUNTED = 1 << 21
+#: Share of the parts that may hold hot shingles only before a set is weak.
+HOT_SPARE = 0.05
 #: Growth of the largest set size from one band to the next.
 GROWTH = 1.3
 
@@ -44,7 +49,7 @@ class Band(NamedTuple):
 
     Sets a <= b with 100 |a & b| >= percent |a | b| differ in at most (a + b)(100 - percent)/(100 + percent) shingles, so
     of `parts` parts at least parts - differ agree. A part with fewer than `light` shingles is light. At most `spare` parts
-    of most sets are light; then one of the agreeing parts is not. A set with more light parts is weak: it also sends the
+    of most sets are light, or hot throughout; then one of the agreeing parts is not. A set with more light parts is weak: it also sends the
     keys of its light parts, and one key for its empty parts if those alone exceed `spare`, so two weak sets meet as well.
     """
 
@@ -58,10 +63,10 @@ class Band(NamedTuple):
 
 def _cut(least: int, differ: int) -> tuple[int, int, int]:
     for light in (4, 3, 2, 1):
-        for parts in range(differ + 1, 2 * differ + 8):
+        for parts in range(differ + 1, 3 * differ + 8):
             mean, spare = least / parts, parts - differ - 1
             rare = parts * sum(math.exp(-mean) * mean**i / math.factorial(i) for i in range(light))
-            if (parts == 1 and least >= light) or spare >= rare + 3 * math.sqrt(rare):
+            if (parts == 1 and least >= light) or spare >= rare + 3 * math.sqrt(rare) + HOT_SPARE * parts:
                 return parts, light, spare
     return differ + 1, 1, 0
 
@@ -84,9 +89,26 @@ def bands_of(size: int, percent: int) -> list[Band]:
     return found
 
 
-def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
+class Hot:
+    """Membership in a sorted array of hot shingles."""
+
+    def __init__(self, hot: np.ndarray):
+        self.hot, self.near = hot, np.zeros(1 << 22, bool)
+        self.near[hot % np.uint64(1 << 22)] = True
+
+    def cold(self, tokens: np.ndarray) -> np.ndarray:
+        maybe = self.near[tokens % np.uint64(1 << 22)]
+        if maybe.any():
+            at = np.flatnonzero(maybe)
+            place = np.minimum(np.searchsorted(self.hot, tokens[at]), len(self.hot) - 1)
+            maybe[at] = self.hot[place] == tokens[at]
+        return ~maybe
+
+
+def part_keys(tokens: np.ndarray, percent: int, hot: Hot | None = None) -> np.ndarray:
     """Keys of a sorted set of shingle hashes."""
     keys = []
+    cold = hot.cold(tokens) if hot else np.ones(len(tokens), bool)
     with np.errstate(over="ignore"):
         for one in bands_of(len(tokens), percent):
             part = ((tokens >> np.uint64(32)) * np.uint64(one.parts)) >> np.uint64(32)
@@ -95,7 +117,7 @@ def part_keys(tokens: np.ndarray, percent: int) -> np.ndarray:
             sums = np.add.reduceat(mix(tokens ^ np.uint64(0x9E3779B97F4A7C15)), at)
             tag = np.uint64((one.number + 1) * 0xD1342543DE82EF95 & (2**64 - 1))
             key = mix(mix(sums + part[at] * np.uint64(0xDA942042E4DD58B5) + count.astype("u8")) ^ tag)
-            heavy = count >= one.light
+            heavy = (count >= one.light) & np.logical_or.reduceat(cold, at)
             if one.parts - int(heavy.sum()) <= one.spare:
                 keys.append(key[heavy])
             else:
@@ -119,7 +141,39 @@ def _ties(keys: np.ndarray, nodes: np.ndarray):
 _KEYS = "key bigint, node bigint"
 
 
-def _send(words: int, percent: int):
+def _counted(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, sets, held = Shingler(words), [], 0
+
+        def flush():
+            token, n = np.unique(np.concatenate(sets), return_counts=True)
+            token, n = token[n >= HOT_SHARE], n[n >= HOT_SHARE]
+            return pa.RecordBatch.from_arrays([pa.array(token.view("i8")), pa.array(n)], ["token", "n"])
+
+        for batch in batches:
+            for tokens in shingler.sets(batch.column(0).cast(pa.binary()).to_pylist()):
+                sets.append(tokens)
+                held += len(tokens)
+                if held > COUNTED:
+                    yield flush()
+                    sets, held = [], 0
+        if sets:
+            yield flush()
+
+    return run
+
+
+def hot_shingles(rows: DataFrame, words: int) -> np.ndarray:
+    """Sorted shingles that many documents share: counted in every task over all documents, summed, the most frequent kept.
+
+    The result is bounded by MOST_HOT. It steers which keys are sent, never which links are found.
+    """
+    local = rows.select("text").mapInArrow(_counted(words), "token bigint, n bigint")
+    total = local.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(MOST_HOT)
+    return np.sort(total.select("token").toPandas()["token"].to_numpy("i8").view("u8"))
+
+
+def _send(words: int, percent: int, sent_hot):
     def flush(keys, nodes):
         key, node, pairs = _ties(np.concatenate(keys), np.concatenate(nodes))
         with np.errstate(over="ignore"):  # a tie travels as two rows under a key of its own
@@ -131,11 +185,12 @@ def _send(words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, keys, nodes, held = Shingler(words), [], [], 0
+        hot = Hot(sent_hot.value) if len(sent_hot.value) else None
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for doc, tokens in zip(ids, shingler.sets(batch.column(1).cast(pa.binary()).to_pylist())):
                 if len(tokens):
-                    own = part_keys(tokens, percent)
+                    own = part_keys(tokens, percent, hot)
                     keys.append(own)
                     nodes.append(np.full(len(own), doc, "i8"))
                     held += len(own)
@@ -219,16 +274,18 @@ def _cross(percent: int, frame: DataFrame, keys: list[str]) -> DataFrame:
     return spread.mapInArrow(_join_runs(percent, len(keys)), _LINKS)
 
 
-def _cluster_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame:
-    """Connecting links inside every cluster of `sets` (cluster, node, bytes, body); nodes are distinct."""
-    spark = sets.sparkSession
-    totals = sets.groupBy("cluster").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+def _cluster_links(members: DataFrame, bodies: DataFrame, percent: int, block_bytes: int) -> DataFrame:
+    """Connecting links inside every cluster of `members` (cluster, node, carrier, bytes); nodes are distinct.
+
+    The sets come from `bodies` (carrier, body) when the members have been dealt to blocks.
+    """
+    totals = members.groupBy("cluster").agg(F.sum("bytes").alias("total"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     blocks = totals.select("cluster", F.ceil(F.col("total") / F.lit(block_bytes)).cast("int").alias("blocks"))
-    dealt = sets.join(blocks, "cluster").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = settle(
+        members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "dealt"
     ).withColumns({"side": F.lit(0), "label": F.lit(-1).cast("bigint")})
-    links = settle(_cross(percent, dealt, ["cluster", "block"]), "links")
-    large = settle(dealt.filter("blocks > 1"), "large")
+    links = settle(_cross(percent, dealt.join(bodies, "carrier"), ["cluster", "block"]), "links")
+    large = dealt.filter("blocks > 1")
     if not large.limit(1).count():
         return links
 
@@ -238,9 +295,9 @@ def _cluster_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame
 
     inside = pieces(links.join(large.select(F.col("node").alias("u")), "u", "left_semi"))
     lead = inside.groupBy("cluster", "label").agg(F.min("node").alias("node"))
-    leaders = settle(large.join(lead.select("node"), "node", "left_semi").select("cluster", "node", "bytes", "body"), "leaders")
+    leaders = settle(large.join(lead.select("node"), "node", "left_semi").select("cluster", "node", "carrier", "bytes"), "leaders")
     if 2 * leaders.count() <= large.count():
-        links = links.unionByName(_cluster_links(leaders, percent, block_bytes))
+        links = links.unionByName(_cluster_links(leaders, bodies, percent, block_bytes))
     merged = settle(pieces(links.join(large.select(F.col("node").alias("u")), "u", "left_semi")), "merged")
 
     # Documents outside the largest piece of their cluster meet every block.
@@ -258,8 +315,8 @@ def _cluster_links(sets: DataFrame, percent: int, block_bytes: int) -> DataFrame
         .withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
         .withColumn("side", F.lit(1))
     )
-    columns = ["cluster", "group", "block", "node", "side", "label", "body"]
-    across = left.select(columns).unionByName(right.select(columns))
+    columns = ["cluster", "group", "block", "node", "side", "label", "carrier"]
+    across = left.select(columns).unionByName(right.select(columns)).join(bodies, "carrier")
     return links.unionByName(settle(_cross(percent, across, ["cluster", "group", "block"]), "links"))
 
 
@@ -275,7 +332,8 @@ def shingle_groups(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     prepare(documents.sparkSession)
     rows = with_text(documents)
     named = rows.filter("doc_id is not null")
-    sent = named.mapInArrow(_send(words, percent), _KEYS)
+    hot = named.sparkSession.sparkContext.broadcast(hot_shingles(named, words))
+    sent = named.mapInArrow(_send(words, percent, hot), _KEYS)
     ties = sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _LINKS).distinct()
     clusters = settle(components(ties).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "clusters")
     sets = settle(
@@ -284,20 +342,16 @@ def shingle_groups(documents: DataFrame, words: int = 5, percent: int = 80, bloc
         ),
         "sets",
     )
-    # Equal sets: the smallest document stands for all, and any row that carries the set may bring it along.
-    least = sets.groupBy("cluster", "digest").agg(F.min("node").alias("least"))
-    copies = sets.join(least, ["cluster", "digest"]).select(F.col("least").alias("u"), F.col("node").alias("v"))
-    carried = sets.filter("body is not null")
-    carrier = carried.groupBy("cluster", "digest").agg(F.min("node").alias("node"))
-    one = Window.partitionBy("cluster", "digest", "node").orderBy("bytes")
-    distinct = (
-        carried.join(carrier, ["cluster", "digest", "node"])
-        .withColumn("n", F.row_number().over(one))
-        .filter("n = 1")
-        .join(least, ["cluster", "digest"])
-        .select("cluster", F.col("least").alias("node"), "bytes", "body")
+    # Equal sets: the smallest document stands for all, and a row that carries the set brings it along.
+    brought = F.when(F.col("body").isNotNull(), F.col("node"))
+    alike = settle(
+        sets.groupBy("cluster", "digest").agg(F.min("node").alias("least"), F.min(brought).alias("carrier"), F.max("bytes").alias("bytes")),
+        "alike",
     )
-    links = _cluster_links(settle(distinct, "distinct-sets"), percent, block_bytes)
+    copies = sets.join(alike, ["cluster", "digest"]).select(F.col("least").alias("u"), F.col("node").alias("v"))
+    members = alike.select("cluster", F.col("least").alias("node"), F.struct("carrier", "digest").alias("carrier"), "bytes")
+    bodies = sets.filter("body is not null").select(F.struct(F.col("node").alias("carrier"), "digest").alias("carrier"), "body")
+    links = _cluster_links(members, bodies, percent, block_bytes)
     found = settle(components(copies.unionByName(links)), "components")
 
     sized = rows.mapInArrow(_sizes(words), "doc_id bigint, n_shingles bigint")
