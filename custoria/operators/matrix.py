@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from custoria.functions.columns import as_double, ratio
@@ -26,14 +28,12 @@ SPEND_NUMERIC = ("total_orders", "total_spend", "avg_order_value", "recency_days
 SPEND_CATEGORIES = ("gender", "acquisition_channel", "city")
 SHORT_CATEGORIES = ("gender", "acquisition_channel")
 
-MAX_LEVELS = 500
+#: Beyond this many dummies they are a sparse vector instead of a column each.
+WIDE = 300
 
 
-def category_levels(table: DataFrame, columns: tuple[str, ...], most: int = MAX_LEVELS) -> dict[str, list[str]]:
-    """Sorted distinct values of every category column, in one job.
-
-    They become columns, so more than `most` of them is an error rather than a silent cut.
-    """
+def category_levels(table: DataFrame, columns: tuple[str, ...]) -> dict[str, list[str]]:
+    """Sorted distinct values of every category column, in one job: the names of the matrix columns."""
     if not columns:
         return {}
     pairs = (
@@ -41,11 +41,8 @@ def category_levels(table: DataFrame, columns: tuple[str, ...], most: int = MAX_
         .unpivot([], list(columns), "column", "level")
         .filter(F.col("level").isNotNull())
         .distinct()
-        .limit(most + 1)
         .collect()
     )
-    if len(pairs) > most:
-        raise ValueError(f"more than {most} category levels; encode {columns} in another way")
     return {c: sorted(p["level"] for p in pairs if p["column"] == c) for c in columns}
 
 
@@ -82,6 +79,20 @@ class Scaler:
         return (as_double(value) - self.mean[name]) / self.deviation[name]
 
 
+@dataclass(frozen=True)
+class VectorScaler:
+    """Population deviations of sparse features. They are not centred, which keeps them sparse and leaves every fit with an
+    unpenalised intercept as it is."""
+
+    deviation: tuple[float, ...]
+
+    @staticmethod
+    def fit(vectors: DataFrame) -> VectorScaler:
+        row = vectors.agg(Summarizer.variance(F.col("features")).alias("v"), F.count(F.lit(1)).alias("n")).first()
+        variance = row["v"].toArray() * ((row["n"] - 1) / row["n"]) if row["n"] else []
+        return VectorScaler(tuple(float(v) ** 0.5 or 1.0 for v in variance))
+
+
 @dataclass(frozen=True)
 class Design:
     """The ordered matrix columns: numeric ones, then the dummies."""
@@ -99,10 +110,46 @@ class Design:
 
     @property
     def names(self) -> list[str]:
-        return list(self.columns)
+        return [*self.numeric, *(f"{c}_{level}" for c, values in self.levels.items() for level in values[1:])]
 
-    def assemble(self, table: DataFrame, keep: list[str], scaler: Scaler | None = None) -> DataFrame:
+    @property
+    def wide(self) -> bool:
+        return sum(map(len, self.levels.values())) > WIDE
+
+    def fit_scaler(self, train: DataFrame) -> Scaler | VectorScaler:
+        return VectorScaler.fit(self._sparse(train, [])) if self.wide else Scaler.fit(train, self.columns)
+
+    def _sparse(self, table: DataFrame, keep: list[str]) -> DataFrame:
+        """`keep` columns and `features`, each category looked up in its level table and encoded as a sparse vector."""
+        spark = table.sparkSession
+        flat = table.select(
+            *keep,
+            *[as_double(c).alias(f"x{i}") for i, c in enumerate(self.numeric)],
+            *[F.col(c).cast("string").alias(f"c{i}") for i, c in enumerate(self.levels)],
+        )
+        used = []
+        for i, values in enumerate(self.levels.values()):
+            if len(values) < 2:
+                continue
+            # The first level, null and unknown values take the last code, which the encoder drops.
+            codes = spark.createDataFrame([(v, k) for k, v in enumerate(values[1:])], f"level{i} string, code{i} int")
+            nominal = {"ml_attr": {"type": "nominal", "num_vals": len(values)}}
+            code = F.coalesce(F.col(f"code{i}"), F.lit(len(values) - 1)).cast("double")
+            flat = flat.join(codes, F.col(f"c{i}") == F.col(f"level{i}"), "left").withColumn(f"d{i}", code.alias("d", metadata=nominal))
+            used.append(i)
+        encoder = OneHotEncoder(inputCols=[f"d{i}" for i in used], outputCols=[f"v{i}" for i in used], dropLast=True)
+        flat = encoder.fit(flat).transform(flat) if used else flat
+        parts = [f"x{i}" for i in range(len(self.numeric))] + [f"v{i}" for i in used]
+        return VectorAssembler(inputCols=parts, outputCol="features").transform(flat).select(*keep, "features")
+
+    def assemble(self, table: DataFrame, keep: list[str], scaler: Scaler | VectorScaler | None = None) -> DataFrame:
         """`keep` columns, the vector `features` and, given a scaler, the vector `scaled`."""
+        if self.wide:
+            vectors = self._sparse(table, keep)
+            if scaler is None:
+                return vectors
+            by = Vectors.dense([1.0 / d for d in scaler.deviation])
+            return ElementwiseProduct(scalingVec=by, inputCol="features", outputCol="scaled").transform(vectors)
         columns = self.columns
         # Short internal names: a level may hold dots or blanks.
         parts = {f"x{i}": as_double(columns[n]) for i, n in enumerate(columns)}

@@ -16,6 +16,7 @@ from custoria.sources.readers import Shop
 from custoria.sources.reuse import settle
 
 LABEL = "churned"
+# The model names and sizes of the published comparison.
 LOGISTIC, FOREST, BOOSTED = "Logistic Regression", "Random Forest", "Boosted Trees"
 
 
@@ -102,7 +103,7 @@ def prepare(features: DataFrame, settings: ChurnSettings = ChurnSettings()) -> P
     split = settle(stratified_split(features.select(*columns), "customer_id", LABEL, seed=settings.seed), "split")
     train = split.filter(~F.col("is_test"))
     design = matrix.Design.fit(split, matrix.CHURN_NUMERIC, settings.categories)
-    scaler = matrix.Scaler.fit(train, design.columns)
+    scaler = design.fit_scaler(train)
     weighted = matrix.positive_weights(matrix.balanced_weights(split, train, LABEL), train, LABEL)
     keep = ["customer_id", LABEL, "is_test", "balanced", "positive_weight"]
     return Prepared(settle(design.assemble(weighted, keep, scaler), "churn-matrix"), design)

@@ -91,9 +91,19 @@ def test_report_lines(spark):
     assert lines["1"]["f1"] == pytest.approx(2 * p * r / (p + r))
 
 
-def test_published_f1_follow_from_precision_and_recall():
+def test_published_f1_follow_from_precision_and_recall(spark):
+    """Counts with the published precision and recall give the published F1."""
     for p, r, f1 in ((0.986, 0.849, 0.912), (0.978, 0.871, 0.921), (0.979, 0.883, 0.928)):
-        assert 2 * p * r / (p + r) == pytest.approx(f1, abs=1.5e-3)
+        hits = 100_000
+        counts = spark.createDataFrame([("m", hits, round(hits / p) - hits, round(hits / r) - hits, 5)], "model string, tp long, fp long, fn long, tn long")
+        row = evaluation.precision_recall(counts).first()
+        assert (row["precision"], row["recall"]) == (pytest.approx(p, abs=1e-5), pytest.approx(r, abs=1e-5))
+        assert row["f1"] == pytest.approx(f1, abs=1.5e-3)
+
+
+def test_undefined_measures_take_the_chosen_value(spark):
+    counts = evaluation.outcome_counts(scored(spark, (0.1, 0), (0.2, 0)))
+    assert evaluation.precision_recall(counts, 0.0).first()["precision"] == 0.0
 
 
 def test_regression_errors_equal_the_evaluator(spark):
@@ -163,10 +173,26 @@ def test_dummies_drop_the_first_level_and_take_unknowns(spark):
     assert found == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 1), 9: (0, 0)}
 
 
-def test_too_many_levels_is_an_error(spark):
-    table = spark.range(50).select(F.col("id").cast("string").alias("g"))
-    with pytest.raises(ValueError, match="levels"):
-        matrix.category_levels(table, ("g",), most=20)
+def test_thousands_of_levels_become_a_sparse_vector(spark):
+    """Slots, names and scaled fits are those of the narrow encoding."""
+    n = 2000
+    table = spark.range(n + 2).select(
+        F.col("id").alias("k"),
+        F.when(F.col("id") < n, F.format_string("L%05d", "id")).alias("g"),
+        F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("h"),
+        (F.col("id") % 5).alias("v"),
+    )
+    design = matrix.Design.fit(table, ("v",), ("g", "h"))
+    assert design.wide and len(design.names) == 1 + n - 1 + 1
+    rows = {r["k"]: r["features"] for r in design.assemble(table, ["k"]).collect()}
+    slot = {name: i for i, name in enumerate(design.names)}
+    assert rows[0].toArray().nonzero()[0].tolist() == []
+    assert rows[7].toArray().nonzero()[0].tolist() == [slot["v"], slot["g_L00007"], slot["h_b"]]
+    assert rows[n].toArray().nonzero()[0].tolist() == [] and rows[7].size == len(design.names)
+    scaler = design.fit_scaler(table)
+    scaled = design.assemble(table, ["k"], scaler).filter("k = 7").first()["scaled"]
+    share = 1 / (n + 2)
+    assert scaled[slot["g_L00007"]] == pytest.approx(1 / math.sqrt(share * (1 - share)), rel=1e-9)
 
 
 def test_scaling_and_vectors(spark):

@@ -192,3 +192,12 @@ def test_money_sums_are_exact_beyond_one_long(spark):
     values = [0.1, 0.2, 1e9 + 0.07, 1013.7, 2.675, -3.01]
     row = spark.createDataFrame([(v,) for v in values], "v double").agg(money_sum("v").alias("s")).first()
     assert row["s"] == sum(round(Decimal(repr(v)) * 100) for v in values) / Decimal(100)
+
+
+def test_matrix_columns_follow_from_the_data(spark):
+    cells = spark.createDataFrame([("a", 0, 1.0), ("a", 95, 2.0), ("b", 3, 4.0)], "row string, col int, v double")
+    wide = reshape.to_matrix(cells, "row", "col", "v")
+    assert wide.columns == ["row", "0", "3", "95"]
+    assert {r["row"]: r["95"] for r in wide.collect()} == {"a": 2.0, "b": None}
+    with pytest.raises(Exception, match="no column is named"):
+        reshape.to_matrix(cells, "row", "col", "v", [0, 3]).collect()
