@@ -336,8 +336,8 @@ def shingle_groups(documents: DataFrame, words: int = 5, percent: int = 80, bloc
     sent = named.mapInArrow(_send(words, percent, hot), _KEYS)
     ties = sent.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_meet, _LINKS).distinct()
     clusters = settle(components(ties).select(F.col("node").alias("doc_id"), F.col("label").alias("cluster")), "clusters")
-    sets = settle(
-        named.join(clusters, "doc_id").select("cluster", "doc_id", "text").mapInArrow(
+    sets = settle(  # the clusters grow with the corpus, so they are never broadcast
+        named.join(clusters.hint("merge"), "doc_id").select("cluster", "doc_id", "text").mapInArrow(
             _sets(words), "cluster bigint, node bigint, digest binary, bytes bigint, body binary"
         ),
         "sets",
