@@ -143,6 +143,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CL
         return float(next(iter(counts), 0.5))
     share = F.create_map(*[F.lit(v) for label, n in counts.items() for v in (label, min(1.0, per_class / n))])
     drawn = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.element_at(share, F.col("label")) * 1_000_000)
+    drawn = F.broadcast(drawn.limit(4 * per_class))  # bounded, so the texts stay where they are
     sample = documents.select("doc_id", text_column().alias("text")).join(drawn, "doc_id").select("doc_id", "label", "text").limit(4 * per_class)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
