@@ -6,10 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from custoria.__main__ import main
-from custoria.operators import explain, matrix
+from custoria.operators import explain, learners, matrix
 from custoria.plans import churn, reports, spend
 from custoria.sources import sinks, star
 from custoria.sources.reuse import settle
@@ -152,3 +153,16 @@ def test_command_line_leaves_the_result_files(spark, tmp_path):
     assert read("profile").count() == 3 and read("ab_test_power_curve").count() == 78
     assert {f.name for f in tmp_path.joinpath("out").iterdir()} >= {"churn_roc_curve", "churn_attributions", "overview"}
     assert reports.overview_page(shop).count() == read("overview").count()
+
+
+def test_logistic_regression_converges(spark, planted):
+    """The solver settles by itself, and the penalised gradient is zero there."""
+    prepared = churn.prepare(planted, FAST)
+    total = prepared.train.agg(F.sum("balanced")).first()[0]
+    model = learners.logistic_regression(prepared.train, churn.LABEL, "balanced", total)
+    assert model.summary.totalIterations < 1000
+    error = F.col("balanced") * (vector_to_array("probability")[1] - F.col(churn.LABEL))
+    x = vector_to_array("scaled")
+    weights = model.coefficients.toArray()
+    sums = model.transform(prepared.train).agg(*[F.sum(error * x[i]) for i in range(len(weights))]).first()
+    assert max(abs(s + w) / total for s, w in zip(sums, weights)) < 1e-4

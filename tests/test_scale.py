@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from checks import QUERIES
 from custoria.operators import cohorts, evaluation, experiment, features, labels, ordered, overview
 from custoria.operators.bounds import sized
-from custoria.operators.horizon import horizon, observed
+from custoria.operators.horizon import horizon, last_date, observed
 from custoria.operators.reshape import best_row
+from custoria.plans.reports import overview_page
 from custoria.sources import star
+from custoria.sources.readers import Shop
 from tests.conftest import SMALL
 
 MODELS = ("L0", "E10", "E11", "Q08", "Q09")
@@ -189,6 +191,26 @@ def test_orders_are_scanned_once_for_both_slices(spark, tmp_path):
     assert plan(history).count("Scan parquet") == 1 and plan(history).count("Exchange") == 1
 
 
+def test_overview_scans_orders_once_next_to_the_item_join(spark, tmp_path):
+    """The totals by month and payment method are saved from one scan; the other is the join with items."""
+    shop = star.shop(spark, SMALL)
+    saved = [f"{tmp_path}/{name}" for name in ("customers", "orders", "order_items")]
+    for frame, path in zip((shop.customers, shop.orders, shop.order_items), saved):
+        frame.write.parquet(path)
+    text = plan(overview_page(Shop(*map(spark.read.parquet, saved))))
+    scans = [line for line in text.split("\n") if "FileScan parquet" in line and saved[1].rsplit("/", 1)[-1] + "]" in line]
+    assert all("order_value:double" not in line and "order_date:date" not in line for line in text.split("\n"))
+    assert len(scans) <= 1
+
+
+def test_the_resolved_last_date_reaches_the_scan(spark, tmp_path):
+    path = f"{tmp_path}/orders"
+    star.orders(spark, SMALL).write.parquet(path)
+    placed = spark.read.parquet(path)
+    text = plan(features.rfm(placed, horizon(placed, as_of=last_date(placed))))
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(order_date,", text)
+
+
 def test_visits_are_aggregated_before_the_only_large_shuffle(spark):
     text = plan(experiment.readout(star.visits(spark, SMALL)))
     scan = text.split("\n").index(next(line for line in text.split("\n") if "Scan parquet" in line))
