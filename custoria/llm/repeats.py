@@ -245,8 +245,8 @@ def _merge(starts: list[int], stops: list[int]) -> list[tuple[int, int]]:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
-        for doc, raw, whole, starts, stops in zip(*(batch.column(i).to_pylist() for i in range(5))):
-            raw = raw.encode()
+        raws = batch.column(1).cast(pa.binary()).to_pylist()
+        for doc, raw, whole, starts, stops in zip(batch.column(0).to_pylist(), raws, *(batch.column(i).to_pylist() for i in range(2, 5))):
             spans = [(0, len(raw))] if whole else _merge(starts or [], stops or [])
             kept, at = [], 0
             for start, stop in spans:
