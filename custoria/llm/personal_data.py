@@ -1,10 +1,12 @@
 """Personal data by patterns and by bootstrapped contexts, in DataFrame expressions only.
 
-Base spans come from one regular expression per kind with a validity check. They are the seeds: every seed and every other
-token with a digit or an at sign is an instance with two lexical patterns, the token on its left with its own shape and the
-token on its right with its shape. Patterns and instances form a graph. In rounds, a pattern is scored by the share of its
-occurrences that trusted instances of a kind make up, and an instance by the patterns around it; instances that enough
-good patterns support become trusted. New trusted instances are added as spans; base spans stay.
+Base spans come from one regular expression per kind with a validity check. They are the seeds. Candidates are other tokens
+with a digit or an at sign, runs of number tokens, and addresses in words (name at host dot org), where no base span is.
+Every seed and candidate is an instance with lexical patterns: the token on its left and the token on its right, each with
+the instance's coarse shape and with its exact one. Patterns and instances form a graph. In rounds, a pattern is scored by
+the share of its occurrences that known instances of a kind make up, and an instance by the patterns around it; instances
+that enough good patterns support become known and support patterns in turn. A known instance is added as a span wherever it
+occurs; one that mostly stands elsewhere (as a short number does) only where its own context says so. Base spans stay.
 
 Texts are scanned once; the spans and contexts, which are small, are written to the shared folder and read back for the
 rounds. Frequent patterns are combined before they are shuffled.
@@ -14,13 +16,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from custoria.llm.common import prepare, settle, text_column
 
 KINDS = ("email", "ip", "card", "phone")
-OTHER = "other"
+OTHER, RUN, WORDED = "other", "run", "worded"
+CANDIDATES = (OTHER, RUN, WORDED)
+#: A number token inside a run.
+INSIDE = "inside"
+_NUMBER = r"[^\s\p{L}0-9@]*+[0-9][^\s\p{L}@]*+(?!\S)"
+_AT, _DOT = (rf"(?:[\x20\t]++{word}[\x20\t]++|[\x20\t]*+[\[({{<][\x20\t]*+{word}[\x20\t]*+[\])}}>][\x20\t]*+)" for word in ("at", "dot"))
 # The same matches as the plain patterns, written so that long runs of equal characters take linear time: a match starts
 # where its first run of characters starts (or, for e-mail, where the last match ended), and runs are never given back.
 _MATCH = {
@@ -29,11 +36,13 @@ _MATCH = {
     "card": r"(?<![0-9])[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     OTHER: r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+",
+    RUN: rf"(?<!\S){_NUMBER}(?:(?<![,;:!?])[\x20\t]{_NUMBER})++",
+    WORDED: rf"(?i)(?<!\S)[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:(?:\.|{_DOT})[A-Za-z0-9-]++)*+",
 }
 #: Texts that hold no match for sure are not searched.
-_MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", OTHER: "[0-9@]"}
+_MAY = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]", OTHER: "[0-9@]", RUN: r"[0-9]\S*[\x20\t]", WORDED: r"(?i)[\x20\t\[({<]at[\x20\t\])}>]"}
 
-#: Rounds of scoring, least score of a pattern and of a new instance, distinct seeds behind a pattern.
+#: Rounds of scoring, least score of a pattern and of a new instance, distinct known instances behind a pattern.
 ROUNDS, PATTERN_SCORE, TRUST, SEEDS = 3, 0.8, 0.9, 5
 #: Characters next to a span in which its neighbour token is looked for.
 CONTEXT = 48
@@ -98,7 +107,7 @@ def _found(frame: DataFrame, kind: str) -> DataFrame:
 
     def span(body: Column, i: Column) -> Column:
         start, kept = F.get(F.col(at), i), body
-        if kind == OTHER:  # punctuation around a token does not belong to it
+        if kind in (OTHER, RUN):  # punctuation around a token does not belong to it
             open_ = F.regexp_extract(body, r"^[\"'(\[{<,;:]*+", 0)
             start = start + F.char_length(open_)
             kept = F.regexp_replace(F.substring(body, F.char_length(open_) + 1, F.char_length(body)), r"[\"')\]}>,;:.!?]++$", "")
@@ -114,9 +123,9 @@ def _found(frame: DataFrame, kind: str) -> DataFrame:
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """row, doc_id, base (spans by start, then kind) and other (tokens with a digit or an at sign outside of them)."""
+    """row, doc_id, base (spans by start, then kind) and other (candidates, those over base spans too)."""
     frame = documents.select("doc_id", text_column().alias("text"), F.monotonically_increasing_id().alias("row"))
-    for kind in (*KINDS, OTHER):
+    for kind in (*KINDS, *CANDIDATES):
         frame = _found(frame, kind)
     order = F.create_map(*[F.lit(v) for i, kind in enumerate(KINDS) for v in (kind, i)])
 
@@ -125,7 +134,22 @@ def base_spans(documents: DataFrame) -> DataFrame:
         return F.when(key(a) < key(b), -1).when(key(a) > key(b), 1).otherwise(0)
 
     merged = F.concat(*KINDS)
-    return frame.select("row", "doc_id", F.array_sort(merged, first).alias("base"), F.col(OTHER).alias("other"))
+    return frame.select("row", "doc_id", F.array_sort(merged, first).alias("base"), F.concat(*CANDIDATES).alias("other"))
+
+
+def _instances(spans: DataFrame) -> DataFrame:
+    """row, kind, start, end, body, left, right of base spans and of candidates that overlap none; `inside` where in a free run."""
+    flat = spans.select("row", F.explode(F.concat("base", "other")).alias("s")).select("row", "s.*")
+    flat = flat.filter(F.col("end") > F.col("start"))
+    based = F.col("kind").isin(*KINDS)
+    upto = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy("row").orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    ends, starts = F.max(F.when(based, F.col("end"))).over(upto), F.min(F.when(based, F.col("start"))).over(after)
+    over = F.coalesce(ends > F.col("start"), F.lit(False)) | F.coalesce(starts < F.col("end"), F.lit(False))
+    flat = flat.withColumn("over", over).filter(based | ~F.col("over"))
+    runs = F.max(F.when(F.col("kind") == RUN, F.col("end"))).over(upto)
+    inside = (F.col("kind") == OTHER) & F.coalesce(runs > F.col("start"), F.lit(False))
+    return flat.withColumn("kind", F.when(inside, INSIDE).otherwise(F.col("kind"))).drop("over")
 
 
 def _shape(body: Column) -> Column:
@@ -137,45 +161,75 @@ def _masked(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(body), r"\p{L}+", "a"), "[0-9]", "9")
 
 
-def _instances(spans: DataFrame) -> DataFrame:
-    """One row per span and pattern: row, kind, start, end, body, pattern."""
-    flat = spans.select("row", F.explode(F.concat("base", "other")).alias("s")).select("row", "s.*")
-    shape = _shape(F.col("body"))
-    sides = F.array(F.concat_ws("\t", F.lit("left"), "left", shape), F.concat_ws("\t", F.lit("right"), "right", shape))
-    return flat.select("row", "kind", "start", "end", "body", F.explode(sides).alias("pattern"))
+def _edges(graph: DataFrame) -> DataFrame:
+    """`graph` with a row per pattern: side, token, exact, pattern.
+
+    Exact shapes are those of tokens. Coarse ones tell only addresses, addresses in words and all else apart.
+    Where no token stands there is no pattern.
+    """
+    kind, body = F.col("kind"), F.col("body")
+    at = F.contains(body, F.lit("@"))
+    coarse = F.when(kind == WORDED, F.array(F.lit("words"))).when(kind == INSIDE, F.array().cast("array<string>"))
+    coarse = coarse.when((kind == "email") & at, F.array(F.lit("words"), F.lit("@"))).when(at, F.array(F.lit("@"))).otherwise(F.array(F.lit("number")))
+    exact = F.when(kind.isin(RUN, WORDED), F.array().cast("array<string>")).otherwise(F.array(_shape(body)))
+
+    def patterns(side: str) -> Column:
+        name = lambda level, shape: F.concat_ws("\t", F.lit(side), F.lit(level), F.col(side), shape)
+        edge = lambda level: lambda shape: F.struct(F.lit(side).alias("side"), F.col(side).alias("token"), F.lit(level == "exact").alias("exact"), name(level, shape).alias("pattern"))
+        return F.when(F.col(side) != "", F.concat(F.transform(exact, edge("exact")), F.transform(coarse, edge("coarse"))))
+
+    return graph.withColumn("e", F.explode(F.flatten(F.array_compact(F.array(patterns("left"), patterns("right")))))).select(*graph.columns, "e.*")
 
 
 def trusted_instances(graph: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """(body, kind) of instances outside the seeds that the contexts of seeds reveal.
+    """(body, left, right, form, kind) of candidates outside the seeds that contexts reveal.
 
-    `graph` has an edge (body, pattern, kind, n) per instance and pattern, kind `other` for instances that are no seeds.
+    `graph` has a row (body, left, right, kind, n) per instance and context; the kinds of candidates are their forms. A
+    seed's occurrences count twice, as by its pattern and by its context.
     """
-    total = graph.groupBy("pattern").agg(F.sum("n").alias("total"))
-    seeds = graph.filter(F.col("kind") != OTHER).select("body", "kind").distinct().withColumn("trust", F.lit(1.0))
-    unseen = graph.filter(F.col("kind") == OTHER).select("body", "pattern", "n")
-    edges = graph.groupBy("body", "pattern").agg(F.sum("n").alias("n"))
-    known = seeds
+    based = F.col("kind").isin(*KINDS)
+    edges = settle(_edges(graph.withColumn("n", F.when(based, 2 * F.col("n")).otherwise(F.col("n")))), "edges")
+    total = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
+    seeds = graph.filter(based).select("body", "kind").distinct().withColumn("trust", F.lit(1.0))
+    unseen = edges.filter(~based).withColumnRenamed("kind", "form")
+    occurs = graph.filter(~based).groupBy("body").agg(F.sum("n").alias("occurs"))
+    by_body = edges.groupBy("body", "pattern").agg(F.sum("n").alias("n"))
+    known, context = seeds, ["body", "left", "right", "form", "n"]
+
+    def joint(column: str) -> Column:
+        return 1 - F.exp(F.sum(F.log(1 - F.least(F.coalesce(F.col(column), F.lit(0.0)), F.lit(0.999)))))
+
+    placed = None
     for _ in range(rounds):
         scored = (
-            edges.join(known, "body")
+            by_body.join(known, "body")
             .groupBy("pattern", "kind")
-            .agg(F.sum(F.col("n") * F.col("trust")).alias("mass"), F.count_if(F.col("trust") == 1.0).alias("seeds"))
-            .filter(F.col("seeds") >= SEEDS)
+            .agg(F.sum(F.col("n") * F.col("trust")).alias("mass"), F.count(F.lit(1)).alias("bodies"))
+            .filter(F.col("bodies") >= SEEDS)
             .join(total, "pattern")
             .withColumn("score", F.col("mass") / (F.col("total") + 1))
             .filter(F.col("score") >= PATTERN_SCORE)
         )
-        doubt = F.exp(F.sum(F.log(1 - F.least(F.col("score"), F.lit(0.999)))))
-        found = (
-            unseen.join(scored.select("pattern", "kind", "score"), "pattern")
-            .groupBy("body", "kind")
-            .agg((1 - doubt).alias("trust"))
-            .filter(F.col("trust") >= TRUST)
-            .join(seeds.select("body"), "body", "left_anti")
-        )
-        known = settle(seeds.unionByName(found.select("body", "kind", F.least(F.col("trust"), F.lit(0.999)).alias("trust"))), "known")
-    best = known.filter("trust < 1.0").groupBy("body").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
-    return best
+        levels = (F.max("score").alias("score"), F.max(F.when(F.col("exact"), F.col("score"))).alias("firm"))
+        sides = unseen.join(scored.select("pattern", "kind", "score"), "pattern").groupBy(*context, "kind", "side", "token").agg(*levels)
+        sides = sides.join(seeds.select("body").distinct(), "body", "left_anti")
+        places = settle(sides.groupBy(*context, "kind").agg(joint("score").alias("trust"), F.collect_list(F.struct("side", "token", "score", "firm")).alias("sides")), "places")
+        # A body is trusted for its exact patterns, or for all of them where most of its occurrences have one.
+        held = places.groupBy("body", "kind").agg(F.sum("n").alias("held"))
+        apart = places.select("body", "kind", F.explode("sides").alias("s")).groupBy("body", "kind", "s.side", "s.token")
+        apart = apart.agg(F.max("s.score").alias("score"), F.max("s.firm").alias("firm"))
+        bodies = apart.groupBy("body", "kind").agg(joint("score").alias("trust"), joint("firm").alias("firm"))
+        mostly = F.when(F.col("held") * 2 >= F.col("occurs"), F.col("trust")).otherwise(0.0)
+        bodies = bodies.join(held, ["body", "kind"]).join(occurs, "body").select("body", "kind", F.greatest("firm", mostly).alias("trust"))
+        found = bodies.filter(F.col("trust") >= TRUST)
+        known = settle(seeds.unionByName(found.withColumn("trust", F.least(F.col("trust"), F.lit(0.999)))), "known")
+        placed = places.filter(F.col("trust") >= TRUST).select("body", "left", "right", "form", "kind", "trust")
+    if placed is None:
+        return graph.filter(F.lit(False)).select("body", "left", "right", F.col("kind").alias("form"), "kind")
+    everywhere = graph.filter(~based).select("body", "left", "right", F.col("kind").alias("form")).join(known.filter("trust < 1.0"), "body")
+    everywhere = everywhere.withColumn("trust", F.col("trust") + 1)
+    chosen = everywhere.unionByName(placed.select(*everywhere.columns))
+    return chosen.groupBy("body", "left", "right", "form").agg(F.max_by("kind", F.struct("trust", "kind")).alias("kind"))
 
 
 def _text(spans: Column) -> Column:
@@ -192,21 +246,23 @@ def find_personal_data(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """
     prepare(documents.sparkSession)
     spans = settle(base_spans(documents), "spans")
-    instances = _instances(spans)
-    graph = settle(instances.groupBy("body", "pattern", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
+    instances = settle(_instances(spans), "instances")
+    graph = settle(instances.groupBy("body", "left", "right", "kind").agg(F.count(F.lit(1)).alias("n")), "graph")
     new = trusted_instances(graph, rounds)
-    tokens = spans.select("row", F.explode("other").alias("s")).select("row", "s.start", "s.end", "s.body")
+    tokens = instances.filter(~F.col("kind").isin(*KINDS)).withColumnRenamed("kind", "form")
     order = reduce(lambda so_far, k: so_far.when(F.col("kind") == k[1], k[0]), enumerate(KINDS), F.when(F.lit(False), 0))
+    place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1
+    plain = lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
+    # Of found spans that overlap, the one that reaches further stays: a run or an address in words, not a token in it.
+    before = Window.partitionBy("row").orderBy("start", F.desc("end")).rowsBetween(Window.unboundedPreceding, -1)
+    found = tokens.join(new, ["body", "left", "right", "form"]).withColumn("reached", F.max("end").over(before))
     added = (
-        tokens.join(new, "body")
+        found.filter(F.coalesce(F.col("reached") <= F.col("start"), F.lit(True)))
         .groupBy("row")
-        .agg(F.collect_list(F.struct("start", order.alias("place"), "end", "kind")).alias("added"))
+        .agg(F.collect_list(F.struct("start", order.alias("place"), "end", "kind")).alias("free"))
     )
-    place = lambda s: F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).cast("int") - 1
-    plain = lambda s: F.struct(s["start"].alias("start"), place(s).alias("place"), s["end"].alias("end"), s["kind"].alias("kind"))
     joined = spans.join(added, "row", "left").withColumn("base_plain", F.transform("base", plain))
-    free = F.filter("added", lambda a: ~F.exists("base_plain", lambda b: (b["start"] < a["end"]) & (b["end"] > a["start"])))
-    joined = joined.withColumn("free", F.coalesce(free, F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")))
+    joined = joined.withColumn("free", F.coalesce("free", F.array().cast("array<struct<start:bigint,place:int,end:bigint,kind:string>>")))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
     return joined.select(
         "doc_id",

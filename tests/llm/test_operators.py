@@ -292,6 +292,26 @@ def test_contexts_reveal_unseen_identifiers(spark, documents):
     assert "Python" not in nodes and "Arrow" not in nodes
 
 
+def test_contexts_reveal_other_formats_and_further_hops(spark, documents):
+    rng = random.Random(2)
+    rows = [(1000 + i, f"{prose(rng, 6)} tel: +1 {rng.randint(200, 999)} 555-{rng.randint(1000, 9999)} {prose(rng, 4)}") for i in range(600)]
+    cards = [f"4{rng.randint(0, 10**14 - 1):014d}" for _ in range(60)]
+    for i, body in enumerate(cards):
+        last = next(d for d in "0123456789" if plain.valid("card", body + d))
+        rows.append((100 + i, f"{prose(rng, 6)} card: {body}{last} {prose(rng, 4)}"))
+    rows += [(200 + i, f"{prose(rng, 6)} mailto: user{i}@host.org {prose(rng, 4)}") for i in range(60)]
+    rows += [(300 + i, f"{prose(rng, 6)} about {rng.randint(1000000, 9999999)} {prose(rng, 4)} in {5 + i % 2} parts") for i in range(60)]
+    first = {400 + i: f"tel: 030{i:02d}5551{i:02d}" for i in range(30)}
+    second = {450 + i: f"ring 030{i:02d}5551{i:02d}" for i in range(30)}
+    third = {490: "ring 0404444 maybe"}
+    spaced = {491: "tel: 555 123 4567 now", 492: "card: 4111 1111 1111 1112 now", 493: "mailto: anna at host dot org now", 494: "tel: 5 now"}
+    want = {491: "phone:5:17", 492: "card:6:25", 493: "email:8:28", 494: "phone:5:6", 490: "phone:5:12"}
+    want |= {d: "phone:5:16" for d in (*first, *second)}
+    rows += [*first.items(), *second.items(), *third.items(), *spaced.items()]
+    found = personal_data.find_personal_data(documents(*rows)).filter("n_found > 0").collect()
+    assert {r["doc_id"]: r["spans"] for r in found} == want
+
+
 # ---- trained operators ----------------------------------------------------------------------
 
 
