@@ -1,6 +1,7 @@
 """Licence notices by a trained paragraph classifier, confirmed against templates.
 
-A paragraph is a line of text; long lines are read in overlapping windows of words. One logistic classifier per licence
+Windows of words are read over every line, over the whole text (notices may be wrapped) and wherever a template's word pairs
+gather; a notice counts to the line it begins in. One logistic classifier per licence
 family works on hashed word n-grams. It is trained on varied copies of the notice templates and, as the unknown class, on
 paragraphs of the corpus that resemble no template. A prediction needs a probability above the level at which held-out
 unknown paragraphs stay unknown, and a template of the family whose word pairs are mostly found in the paragraph.
@@ -150,6 +151,8 @@ class Templates:
         self.words = list(words_of([t.encode() for own in TEMPLATES.values() for t in own]))
         self.pairs = [pairs_of(w) for w in self.words]
         self.known = np.unique(np.concatenate(self.pairs))
+        self.has = np.stack([np.isin(self.known, p) for p in self.pairs])
+        self.size = self.has.sum(1)
         self.near = np.zeros(1 << 20, bool)
         self.near[self.known % np.uint64(1 << 20)] = True
 
@@ -210,6 +213,63 @@ def train(documents: DataFrame, near: int = TRAIN_DOCUMENTS) -> Families:
     return Families(*pickle.loads(bytes(found[0].model))) if found else fit([])
 
 
+@dataclass
+class Notice:
+    family: str
+    score: float
+    similarity: float
+    places: np.ndarray
+
+    def within(self, other: Notice) -> bool:
+        """Whether a likelier notice of another family has all word pairs of this one."""
+        return self.family != other.family and self.score < other.score and bool(np.isin(self.places, other.places).all())
+
+
+def notices(model: Families, templates: Templates, words: np.ndarray, starts: np.ndarray) -> list[Notice]:
+    """Every confirmed notice of a text; `starts` are the places of the first words of its lines."""
+    at = templates.hits(words)
+    code = np.searchsorted(templates.known, seeds_at(words, 2)[at])
+    size = templates.size
+
+    def shares(part: np.ndarray) -> np.ndarray:
+        return templates.has[:, np.unique(part)].sum(1) / size
+
+    able = np.flatnonzero(shares(code) >= CONFIRM)  # no window holds more of a template than the text
+    crops: set[tuple[int, int]] = set()
+    if len(able):
+        bounds = [*starts.tolist(), len(words)]
+        for low, high in {(0, len(words)), *zip(bounds[:-1], bounds[1:])}:
+            for start in range(low, max(low + 1, high - WINDOW + STRIDE), STRIDE):
+                i, j = np.searchsorted(at, (start, min(start + WINDOW, high) - 1))
+                if j > i:
+                    crops.add((max(start, int(at[i]) - 6), min(start + WINDOW, high, int(at[j - 1]) + 8)))
+    for t in able.tolist():
+        own = at[templates.has[t][code]]
+        for first in own.tolist():
+            last = own[np.searchsorted(own, first + len(templates.words[t]) * 3 // 2 + 4) - 1]
+            crops.add((first, int(last) + 2))
+    found: list[Notice] = []
+    for low, high in sorted(crops, key=lambda c: (c[1] - c[0], c)):
+        i, j = np.searchsorted(at, (low, high - 1))
+        share = shares(code[i:j])
+        fit_ = able[share[able] >= CONFIRM]
+        if not len(fit_):
+            continue
+        p = model.probability(words[low:high])
+        for name in sorted({templates.family[t] for t in fit_}):
+            score = float(p[model.names.index(name)])
+            if score >= model.level:
+                t = max((t for t in fit_ if templates.family[t] == name), key=lambda t: share[t])
+                found.append(Notice(name, score, float(share[t]), at[i:j][templates.has[t][code[i:j]]]))
+    found = [n for n in found if not any(n.within(m) for m in found)]
+    # The best of overlapping ones of a family stays; of equal ones the shortest.
+    kept: list[Notice] = []
+    for n in sorted(found, key=lambda n: -n.similarity):
+        if not any(m.family == n.family and m.places[0] <= n.places[-1] + 1 and n.places[0] <= m.places[-1] + 1 for m in kept):
+            kept.append(n)
+    return sorted(kept, key=lambda n: (int(n.places[0]), n.family))
+
+
 def _scan(model: Families):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
@@ -219,21 +279,9 @@ def _scan(model: Families):
             for doc, raw, words in zip(ids, raws, words_of(raws)):
                 if not len(templates.hits(words)):
                     continue
-                lines = raw.split(b"\n")
-                for number, line in enumerate(words_of(lines)):
-                    best = None
-                    for window in windows(line) if len(templates.hits(line)) else ():
-                        hits = templates.hits(window)
-                        if len(hits):
-                            window = window[max(0, hits[0] - 6) : hits[-1] + 8]
-                            p = model.probability(window)
-                            place = int(p.argmax())
-                            if p[place] >= model.level:
-                                alike = templates.similarity(window, model.names[place])
-                                if alike >= CONFIRM and (best is None or (alike, p[place]) > best[2:0:-1]):
-                                    best = (model.names[place], float(p[place]), alike)
-                    if best:
-                        rows.append((doc, number, *best))
+                starts = np.cumsum([0, *(len(line) for line in words_of(raw.split(b"\n")))])[:-1]
+                for n in notices(model, templates, words, starts):
+                    rows.append((doc, int(np.searchsorted(starts, n.places[0], "right")) - 1, n.family, n.score, n.similarity))
             columns = list(zip(*rows)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "paragraph", "family", "score", "similarity"])
@@ -242,9 +290,10 @@ def _scan(model: Families):
 
 
 def find_licences(documents: DataFrame, near: int = TRAIN_DOCUMENTS) -> DataFrame:
-    """One row per row of `documents` and paragraph with a confirmed notice: doc_id, paragraph, family, score, similarity.
+    """One row per row of `documents` and confirmed notice in it: doc_id, paragraph, family, score, similarity.
 
-    Paragraphs count from 0; of a long one the best window is reported. Documents without a notice, with a null or an empty
+    paragraph is the line, from 0, that the notice begins in; it may go on in the next. Overlapping windows of a family are
+    one notice. Where all word pairs of a notice belong to a likelier one, only the latter is reported. Documents without a notice, with a null or an empty
     text give no row. Rows that repeat are reported as often as they occur.
     """
     prepare(documents.sparkSession)

@@ -399,6 +399,16 @@ def test_licences(spark, documents):
     assert sorted(found) == [(100, 1, "MIT"), (101, 0, "Apache-2.0"), (102, 0, "GPL-3.0")]
 
 
+def test_wrapped_licences(spark, documents):
+    rng = random.Random(15)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    gpl = "This work is licensed under the GNU General\n * Public License, version 3."
+    rows = [(i, "\n".join(prose(rng, 12) for _ in range(4))) for i in range(60)]
+    rows += [(100, f"{prose(rng, 9)}\n# {mit}\n{prose(rng, 9)}"), (101, f"{prose(rng, 9)}\n\n * {gpl}\n")]
+    found = rows_of(licences.find_licences(documents(*rows)), "doc_id", "paragraph", "family")
+    assert sorted(found) == [(100, 1, "MIT"), (101, 2, "GPL-3.0")]
+
+
 def test_decontamination(spark, documents):
     rng = random.Random(14)
     items = [(i, prose(rng, rng.randint(12, 50))) for i in range(60)]
