@@ -409,6 +409,17 @@ def test_wrapped_licences(spark, documents):
     assert sorted(found) == [(100, 1, "MIT"), (101, 2, "GPL-3.0")]
 
 
+def test_several_licences_in_a_line(spark, documents):
+    rng = random.Random(16)
+    rows = [(i, "\n".join(prose(rng, 12) for _ in range(4))) for i in range(60)]
+    rows += [
+        (102, f"{prose(rng, 90)} Released under the MIT License. {prose(rng, 90)} Licensed under the Apache License, Version 2.0. {prose(rng, 9)}"),
+        (103, "SPDX-License-Identifier: MIT OR Apache-2.0"),
+    ]
+    found = rows_of(licences.find_licences(documents(*rows)), "doc_id", "paragraph", "family")
+    assert sorted(found) == [(102, 0, "Apache-2.0"), (102, 0, "MIT"), (103, 0, "Apache-2.0"), (103, 0, "MIT")]
+
+
 def test_decontamination(spark, documents):
     rng = random.Random(14)
     items = [(i, prose(rng, rng.randint(12, 50))) for i in range(60)]
