@@ -31,7 +31,7 @@ def even(shards: int) -> dict[int, float]:
     return {shard: 1.0 for shard in range(shards)}
 
 
-def _number(text: Column) -> Column:
+def hash_number(text: Column) -> Column:
     """The first 52 bits of the SHA-256 of a text."""
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, BITS // 4), 16, 10).cast("bigint")
 
@@ -47,7 +47,7 @@ def shard_of(key: Column, weights: dict[int, float]) -> Column:
     shards = F.array(*(F.struct(F.lit(s).alias("shard"), F.lit(float(w)).alias("weight")) for s, w in sorted(weights.items()) if w))
 
     def scored(shard: Column) -> Column:
-        u = (_number(F.concat_ws(":", key, shard["shard"].cast("string"))) + 0.5) / float(1 << BITS)
+        u = (hash_number(F.concat_ws(":", key, shard["shard"].cast("string"))) + 0.5) / float(1 << BITS)
         return F.struct((-F.log(u) / shard["weight"]).alias("score"), shard["shard"].alias("shard"))
 
     return F.array_min(F.transform(shards, scored))["shard"]
@@ -107,7 +107,7 @@ def placed(documents: DataFrame, shards: int = 40, key: str = "doc_id") -> DataF
         F.crc32(text.cast("binary")).alias("text_crc32"),
         shard_of(now, even(shards)).alias("shard"),
         shard_of(now, even(shards + 1)).alias("grown_shard"),
-        _number(now).alias("place"),
+        hash_number(now).alias("place"),
     )
     return slots(rows, "place", ["doc_id", "size", "text_crc32"]).select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", "slot", "grown_shard"
