@@ -54,6 +54,10 @@ def scored_sql(source: str, rows: str, models, value: str) -> str:
     return sql(source, " UNION ALL ".join(parts))
 
 
+def names_sql(models) -> str:
+    return " UNION ALL ".join(f"SELECT '{m}' AS model" for m in models)
+
+
 def probabilities(scores):
     sound = F.col("prob").between(0.0, 1.0) & ~F.isnan("prob")
     return scores.select("customer_id", "label", "model", sound.alias("is_probability"))
@@ -130,6 +134,45 @@ def l06(spark, folder):
     return probabilities(churn.score(run.models, run.prepared.table))
 
 
+@query("L03_stage_loss", f"SELECT CAST(range + 1 AS INT) AS round, TRUE AS falls, TRUE AS gains FROM range({CHURN.rounds})")
+def l03_losses(spark, folder):
+    """Every round lowers the loss of the train rows, and the last lies below that of the best constant."""
+    return falling(spark, churn_run(spark, folder).models[churn.BOOSTED])
+
+
+@query("L05_stage_loss", f"SELECT CAST(range + 1 AS INT) AS round, TRUE AS falls, TRUE AS gains FROM range({SPEND.rounds})")
+def l05_losses(spark, folder):
+    return falling(spark, spend_run(spark, folder).models[spend.BOOSTED])
+
+
+def falling(spark, model):
+    losses = model.losses
+    rows = [(at, after < before, after < losses[0]) for at, (before, after) in enumerate(zip(losses, losses[1:]), 1)]
+    return spark.createDataFrame(rows, "round int, falls boolean, gains boolean")
+
+
+@query("L06_train_auc", names_sql(CHURN_MODELS).replace("AS model", "AS model, TRUE AS above_recency"))
+def l06_auc(spark, folder):
+    """On its train rows every model ranks better than days since the last order; a constant one would not."""
+    run = churn_run(spark, folder)
+    place = run.prepared.design.names.index("recency_days")
+    recency = vector_to_array("features")[place] / (vector_to_array("features")[place] + 90)
+    plain = run.prepared.train.select("customer_id", F.col(churn.LABEL).alias("label"), F.lit("recency").alias("model"), recency.alias("prob"))
+    scores = churn.score(run.models, run.prepared.train)
+    table = evaluation.compare_classifiers(scores.unionByName(plain.select(*scores.columns)))
+    least = table.filter("model = 'recency'").select("roc_auc").scalar()
+    return table.filter("model <> 'recency'").select("model", (F.col("roc_auc") > least).alias("above_recency"))
+
+
+@query("L06_train_error", "SELECT TRUE AS below_linear, TRUE AS below_mean FROM customer LIMIT 1")
+def l06_error(spark, folder):
+    """On the train rows boosting explains more of the spend than the line, and the line more than the mean."""
+    run = spend_run(spark, folder)
+    table = evaluation.regression_errors(spend.score(run.models, run.prepared.train, SPEND.label))
+    r2 = {name: F.max(F.when(F.col("model") == name, F.col("r2"))) for name in SPEND_MODELS}
+    return table.agg((r2[spend.BOOSTED] > r2[spend.LINEAR]).alias("below_linear"), (r2[spend.LINEAR] > 0).alias("below_mean"))
+
+
 def importance_sum(table):
     return table.agg(F.round(F.sum("importance"), 6).alias("total"), F.count_if(F.col("importance") < 0).alias("negative"))
 
@@ -162,14 +205,10 @@ def e11_rows(spark, folder):
     run = churn_run(spark, folder)
     margin = F.aggregate("phi", F.col("base"), lambda a, x: a + x)
     told = run.scores.filter(F.col("model") == churn.BOOSTED).select("customer_id", "prob")
-    meant = 1 / (1 + F.exp(-2 * margin))
+    meant = 1 / (1 + F.exp(-margin))
     return run.attributions().join(told, "customer_id").select("customer_id", (F.abs(meant - F.col("prob")) < 1e-6).alias("adds_up"))
 
 
-def names_sql(models) -> str:
-    return " UNION ALL ".join(f"SELECT '{m}' AS model" for m in models)
-
-
 @query(
     "Q08_churn_models",
     sql("part_of", f"SELECT model, TRUE AS in_range, count(*) AS tested FROM part_of, ({names_sql(CHURN_MODELS)}) WHERE is_test GROUP BY 1"),

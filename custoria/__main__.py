@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
             one.add_argument("--interactive", action="store_true", help="the settings of the interactive page")
             one.add_argument("--window-days", type=int, default=90)
             one.add_argument("--rounds", type=int)
+            one.add_argument("--resume", help="shared folder where boosting saves its trees and goes on after an interruption")
             one.add_argument("--as-of", help="last date of the data; saves the scan that looks it up")
         if name == "churn":
             one.add_argument("--trees", type=int)
@@ -57,13 +58,13 @@ def run(spark, given: argparse.Namespace) -> None:
     elif given.command == "cohorts":
         reports.write_cohorts(shop, given.out)
     elif given.command == "churn":
-        named = {"trees": given.trees, "rounds": given.rounds, "as_of": given.as_of}
+        named = {"trees": given.trees, "rounds": given.rounds, "as_of": given.as_of, "resume": given.resume}
         named = {"window_days": given.window_days, **{k: v for k, v in named.items() if v is not None}}
         make = churn.ChurnSettings.interactive if given.interactive else churn.ChurnSettings
         settings = make(**named)
         reports.write_churn(shop, given.out, settings)
     else:
-        named = {"rounds": given.rounds, "as_of": given.as_of}
+        named = {"rounds": given.rounds, "as_of": given.as_of, "resume": given.resume}
         named = {"window_days": given.window_days, **{k: v for k, v in named.items() if v is not None}}
         settings = (spend.SpendSettings.interactive if given.interactive else spend.SpendSettings)(**named)
         reports.write_spend(shop, given.out, settings)

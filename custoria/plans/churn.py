@@ -31,6 +31,8 @@ class ChurnSettings:
     rate: float = 0.05
     seed: int = 42
     as_of: dt.date | str | None = None
+    #: A lasting shared folder: a run that was cut off goes on from what its boosting saved there.
+    resume: str | None = None
 
     @staticmethod
     def interactive(window_days: int = 90, **changes) -> ChurnSettings:
@@ -118,7 +120,7 @@ def train_models(prepared: Prepared, settings: ChurnSettings = ChurnSettings())
             train, LABEL, "balanced", settings.trees, settings.tree_depth, settings.seed
         ),
         BOOSTED: learners.boosted_classifier(
-            train, LABEL, "positive_weight", settings.rounds, rate=settings.rate, seed=settings.seed
+            train, LABEL, "positive_weight", settings.rounds, rate=settings.rate, folder=settings.resume
         ),
     }
 

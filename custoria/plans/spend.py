@@ -28,6 +28,8 @@ class SpendSettings:
     rate: float = 0.05
     seed: int = 42
     as_of: dt.date | str | None = None
+    #: A lasting shared folder: a run that was cut off goes on from what its boosting saved there.
+    resume: str | None = None
 
     @property
     def label(self) -> str:
@@ -77,7 +79,7 @@ def train_models(prepared: Prepared, settings: SpendSettings = SpendSettings())
     return {
         LINEAR: learners.linear_regression(prepared.train, settings.label),
         BOOSTED: learners.boosted_regressor(
-            prepared.train, settings.label, settings.rounds, rate=settings.rate, seed=settings.seed
+            prepared.train, settings.label, settings.rounds, rate=settings.rate, folder=settings.resume
         ),
     }
 

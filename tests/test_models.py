@@ -69,19 +69,20 @@ def test_runs_repeat(run, planted):
 
 def test_attributions_add_up_to_the_margin(run):
     model = run.models[churn.BOOSTED]
-    margins = {
-        r["customer_id"]: (r["rawPrediction"][1], r["probability"][1])
-        for r in model.transform(run.prepared.test).select("customer_id", "rawPrediction", "probability").collect()
-    }
+    scored = run.prepared.test.select("customer_id", model.margin_of().alias("margin"), model.score().alias("p"))
+    margins = {r["customer_id"]: (r["margin"], r["p"]) for r in scored.collect()}
     rows = run.attributions().collect()
     assert len(rows) == len(margins) == 300
     for row in rows:
         margin, probability = margins[row["customer_id"]]
         assert sum(row["phi"]) + row["base"] == pytest.approx(margin, abs=1e-9)
-        assert probability == pytest.approx(1 / (1 + math.exp(-2 * margin)), abs=1e-9)
+        assert probability == pytest.approx(1 / (1 + math.exp(-margin)), abs=1e-9)
 
 
-def test_attributions_equal_the_sum_over_all_coalitions():
+@pytest.mark.parametrize("tabled", [0, explain.TABLED])
+def test_attributions_equal_the_sum_over_all_coalitions(monkeypatch, tabled):
+    """With patterns tabulated per leaf, and without."""
+    monkeypatch.setattr(explain, "TABLED", tabled)
     leaves = [
         explain.Leaf(2.0, (0, 1), (-np.inf, 0.5), (1.0, np.inf), (0.4, 0.3)),
         explain.Leaf(-1.0, (1, 2), (-np.inf, -np.inf), (0.5, 2.0), (0.7, 0.6)),
