@@ -9,14 +9,17 @@ of equal capacity are handled as one run. The plan is a bounded table of runs; t
 from __future__ import annotations
 
 import os
+import re
 import sys
 import types
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -25,7 +28,7 @@ from custoria.llm.common import prepare, settle, with_text
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
-#: Word encodings a task remembers before it starts again, and the longest word remembered.
+#: Word encodings a worker remembers, about, and the longest word remembered.
 REMEMBERED_WORDS, LONGEST_WORD = 1_000_000, 64
 #: Pieces of one length that one task ranks.
 SLICE_ROWS = 50_000
@@ -112,10 +115,37 @@ def plan_bins(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return plan
 
 
+# The tokenizer cuts words into runs of letters, single digits and runs of other marks, and some contractions first.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~]+")
+_CAPITAL = re.compile("[A-Z]")
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+#: Pieces encoded in one call, and bytes of text whose new words are learned together.
+_JOINED, _TEXT_BYTES = 256, 1 << 23
+
+
+def _pieces(word: str) -> list[str] | None:
+    """The pieces of a word that is not all letters, if they are certain: letters, ASCII digits and ASCII marks."""
+    if not word.isascii():  # as the tokenizer does first: some letters become a letter and a mark
+        word = unicodedata.normalize("NFC", word)
+        if word != word.lower():
+            word = "".join(map(str.lower, word))
+    letters = word.rstrip(_MARKS)
+    if letters.isalpha():
+        return [p for p in (letters, word[len(letters) :]) if p]
+    pieces = _PIECE.findall(word)
+    # Capitals are left in texts that hold "<|" only; the tokenizer lowers them before it looks for contractions.
+    if "<|" in word or _CAPITAL.search(word) or sum(map(len, pieces)) != len(word) or not all(p.isalpha() or p.isascii() for p in pieces):
+        return None
+    return pieces
+
+
 class Tokens:
     """Encodes texts word by word: the tokenizer splits at white space anyway, so equal words have equal ids.
 
-    A Python worker outlives its tasks, so the words it knows are kept in its process for the tasks to come.
+    New words are cut into pieces that the tokenizer never joins, and new pieces are encoded many at a time, with blanks
+    between them; the ids that end a piece tell them apart. Each has one end at least, so as many ends as pieces are one
+    each; where there are more, and for words whose pieces are not certain, every word is encoded by itself. A Python worker outlives its tasks, so the words
+    it knows are kept in its process for the tasks to come.
     """
 
     def __init__(self, path: str | None, name: str = TOKENIZER):
@@ -128,27 +158,106 @@ class Tokens:
             from tokenizers import Tokenizer
 
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            kept[path] = (Tokenizer.from_file(path), {})
-        self.model, self.known = kept[path]
+            model = Tokenizer.from_file(path)
+            ends = np.zeros(max(model.get_vocab().values()) + 1, bool)
+            suffix = getattr(model.model, "end_of_word_suffix", None)
+            for token, at in model.get_vocab().items():
+                ends[at] = bool(suffix) and token.endswith(suffix)
+            kept[path] = (model, {}, {}, ends)
+        self.model, self.known, self.older, self.ends = kept[path]
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.array(f.ids, "<u4").tobytes() for f in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        chunks = [pieces[at : at + _JOINED] for at in range(0, len(pieces), _JOINED)]
+        out: list[bytes] = []
+        for own, found in zip(chunks, self.model.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)):
+            ids = np.array(found.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(own) or cuts[-1] != 4 * len(ids):
+                out += self._alone(own)
+                continue
+            body = ids.tobytes()
+            out += [body[i:j] for i, j in zip([0, *cuts], cuts)]
+        return out
 
     def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = self.model.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return {w: np.array(f.ids, "<u4").tobytes() for w, f in zip(words, found)}
-
-    def encode(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        # The tokenizer lower-cases all but its special tokens, which start with "<|".
-        words = (text if b"<|" in text else text.lower()).split()
+        if not words:
+            return {}
+        names = b"\n".join(words).decode().split("\n")
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            new = self._learn(list({w for w in words if w not in known}))
-        if len(known) > REMEMBERED_WORDS:
-            new |= self._learn(list({w for w in words if w not in new}))
+        have: dict[str, bytes] = {name: b"" for name in names if name.isalpha()}
+        new, cut, alone = list(have), [], []
+        for word, name in zip(words, names):
+            if name in have and name.isalpha():
+                continue
+            pieces = _pieces(name)
+            if pieces is None:
+                alone.append((word, name))
+                continue
+            cut.append((word, pieces))
+            for piece in pieces:
+                if piece not in have:
+                    ids = known.get(piece.encode())
+                    have[piece] = ids or b""
+                    if not ids:
+                        new.append(piece)
+        ids = self._joined(new)
+        have.update(zip(new, ids))
+        found = dict(zip("\n".join(new).encode().split(b"\n"), ids)) if new else {}
+        take = have.__getitem__
+        found.update((word, b"".join(map(take, pieces))) for word, pieces in cut)
+        if alone:
+            found.update(zip((word for word, _ in alone), self._alone([name for _, name in alone])))
+        return found
+
+    def encode_all(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit numbers.
+
+        Words are split and numbered by Arrow, so only distinct ones are looked up; their ids are gathered by number.
+        """
+        # The tokenizer lower-cases all but its special tokens, which start with "<|".
+        lists = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.cast(pa.binary()).to_pylist()
+        known, older = self.known, self.older
+        ids = list(map(known.get, distinct))
+        absent = [at for at, found in enumerate(ids) if found is None]
+        for at in absent:
+            ids[at] = older.get(distinct[at])
+        new = self._learn([distinct[at] for at in absent if ids[at] is None])
+        for at in absent:
+            if ids[at] is None:
+                ids[at] = new[distinct[at]]
+            if len(distinct[at]) <= LONGEST_WORD:
+                known[distinct[at]] = ids[at]
+        if len(known) > REMEMBERED_WORDS // 2:  # words not seen since the last time are forgotten
+            older.clear()
+            older.update(known)
             known.clear()
-        known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST_WORD)
-        return b"".join([new[w] if w in new else known[w] for w in words])
+
+        flat, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), "i8", len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        number = numbered.indices.to_numpy()
+        n = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        body = flat[np.repeat(starts[number] - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        return [body[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _groups(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    """Consecutive texts of a few megabytes together; a longer one is a group of its own."""
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    first, held = 0, 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > first and held + size > _TEXT_BYTES:
+            yield texts.slice(first, at - first)
+            first, held = at, 0
+        held += size
+    if len(texts) > first:
+        yield texts.slice(first)
 
 
 def _cut(path: str | None, capacity: int, with_ids: bool):
@@ -157,8 +266,9 @@ def _cut(path: str | None, capacity: int, with_ids: bool):
         width = 4 * capacity
         for batch in batches:
             ids, pieces, starts, lengths, crcs, bodies = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
-                body = tokens.encode(text) + bytes(4)
+            encoded = (body for group in _groups(batch.column(1)) for body in tokens.encode_all(group))
+            for doc, body in zip(batch.column(0).to_pylist(), encoded):
+                body += bytes(4)
                 for piece, at in enumerate(range(0, len(body), width)):
                     part = body[at : at + width]
                     ids.append(doc)
@@ -218,7 +328,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_RO
     documents are packed as often as they occur; no pieces give no rows.
     """
     spark = prepare(pieces.sparkSession)
-    pieces = settle(pieces, "pieces")
+    columns = pieces.columns
+    # Where a row stands in the saved pieces spreads equal rows, of a document that repeats, over the slices.
+    pieces = settle(pieces.withColumn("_place", F.monotonically_increasing_id()), "pieces")
     counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table: dict[int, tuple[np.ndarray, ...]] = {}
     for length in counts:
@@ -231,20 +343,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slice_rows: int = SLICE_RO
 
     slices = max(1, max(counts.values(), default=0) // slice_rows)
     order = ["doc_id", "piece", *(c for c in ("start", "ids_crc32") if c in pieces.columns)]
-    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(*order), F.lit(slices)))
+    sliced = pieces.withColumn("slice", F.pmod(F.xxhash64(*order, "_place"), F.lit(slices)))
     before = (
         sliced.groupBy("length", "slice")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("slice")) - F.col("n"))
         .drop("n")
     )
-    within = Window.partitionBy("length", "slice").orderBy(*order)
+    within = Window.partitionBy("length", "slice").orderBy(*order, "_place")
     ranked = (
         sliced.join(before, ["length", "slice"])
         .withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-        .select(*pieces.columns, F.col("rank").cast("bigint"))
+        .select(*columns, F.col("rank").cast("bigint"))
     )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ranked.schema if f.name != "rank")
     return ranked.mapInArrow(_place(table), f"{schema}, sequence_id bigint, offset bigint")
 
 

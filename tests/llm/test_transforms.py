@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from custoria.llm import fill_in_middle as fim
-from custoria.llm import filter_audit, sharding
+from custoria.llm import filter_audit, packing, sharding
 
 EDGE = [(1, None), (2, ""), (3, " \n"), (None, "a b c"), (5, "a b c"), (5, "a b c"), (6, "x" * 300_000), (7, "é ß 😀 1")]
 ALPHABET = ["a", "é", "ß", "語", "😀", "\n", " ", "<", "P>", "́", "\x00"]
@@ -204,3 +204,29 @@ def test_the_recursion_has_a_row_per_part_and_prefix(spark, documents):
     masks = filter_audit.failures(documents(*rows))
     walk = filter_audit.prefix_metrics(filter_audit.cells(masks, spark.createDataFrame([], "doc_id long, quality int, toxic int")))
     assert walk.count() == 40 * 325 and walk.select("part", "prefix").distinct().count() == 40 * 325
+
+
+# ---- words of the packing tokenizer -------------------------------------------------------------
+
+ODD = [
+    "don't 'sabc I'll it's ÉCOLE ÑAÑO naïve² x_y_z 12ab3.4 “quoted” İstanbul K'M K áb 가 가 😀😀a ß ﬁ Ⅷ ①",
+    "<|startoftext|> <|EndOfText|>x K'M 'RE <| ' '' 's's '''re", "a\x1cb a b \u0085 word x", "\x00 \x7f a\x01b", "ſ ẞ Ω Å",
+    "क्षि ไทย 中文字 العربية", "", " \n", "a" * 5000 + " " + "é" * 100 + "!?" * 50,
+]
+
+
+def test_words_are_encoded_as_whole_texts_are(monkeypatch):
+    """Also when what is remembered is dropped in between, and with words whose pieces are not certain."""
+    rng = random.Random(21)
+    alphabet = ["a", "b", "é", "ß", "İ", "'", "s", "t", "1", "²", ".", "-", "_", "語", "😀", "́", " ", " ", "\n", "B"]
+    texts = [*ODD, *("".join(rng.choice(alphabet) for _ in range(rng.randrange(80))) for _ in range(3000))]
+    tokens = packing.Tokens(None)
+    tokens.known.clear()
+    tokens.older.clear()
+    wanted = [np.array(e.ids, "<u4").tobytes() for e in tokens.model.encode_batch(texts, add_special_tokens=False)]
+    raws = pa.array(texts)
+    assert tokens.encode_all(raws) == wanted and tokens.encode_all(raws) == wanted
+    assert max(map(len, tokens.known)) <= packing.LONGEST_WORD
+    monkeypatch.setattr(packing, "REMEMBERED_WORDS", 200)
+    assert [tokens.encode_all(raws.slice(i, 1))[0] for i in range(len(raws))] == wanted
+    assert [len(g) for g in packing._groups(pa.array(["x" * 10, "y" * packing._TEXT_BYTES, "z", ""]))] == [1, 1, 2]
