@@ -3,7 +3,7 @@
 Windows of words are read over every line, over the whole text (notices may be wrapped) and wherever a template's word pairs
 gather; a notice counts to the line it begins in. One logistic classifier per licence
 family works on hashed word n-grams. It is trained on varied copies of the notice templates and, as the unknown class, on
-paragraphs of the corpus that resemble no template. A prediction needs a probability above the level at which held-out
+windows and lines of texts that nowhere resemble a template: halves of wrapped notices would teach it the wrong thing. A prediction needs a probability above the level at which held-out
 unknown paragraphs stay unknown, and a template of the family whose word pairs are mostly found in the paragraph.
 
 Confirmation needs word pairs of a template, so paragraphs without any cannot be confirmed; they are passed over before
@@ -114,6 +114,8 @@ CELLS = 1 << 12
 WINDOW, STRIDE = 48, 24
 #: Share of a template's word pairs that confirm a prediction, and share of held-out unknown paragraphs that may pass.
 CONFIRM, FALSE_RATE = 0.75, 0.001
+#: A text with a window or line that has this share of a template's word pairs is no example of the unknown class.
+RESEMBLES = 0.4
 #: Documents whose paragraphs are the unknown class in training, about.
 TRAIN_DOCUMENTS = 400
 #: Training paragraphs at most, and varied copies per template.
@@ -173,10 +175,22 @@ def windows(words: np.ndarray) -> Iterator[np.ndarray]:
         yield words[start : start + WINDOW]
 
 
-def fit(paragraphs: list[np.ndarray]) -> Families:
+def unknown_paragraphs(texts: list[str]) -> list[np.ndarray]:
+    """Word hashes of the windows and lines of all texts that resemble no template anywhere; at most MOST_PARAGRAPHS."""
+    templates = Templates()
+    found: dict[bytes, np.ndarray] = {}
+    for text in sorted(set(texts)):
+        parts = list(words_of([text.encode(), *(line.encode() for line in text.split("\n"))]))
+        own = [w for part in parts for w in windows(part) if len(w)]
+        if not any(len(templates.hits(w)) and templates.similarity(w) >= RESEMBLES for w in own):
+            found.update((w.tobytes(), w) for w in own)
+    kept = list(found.values())
+    return kept[:: max(1, -(-len(kept) // MOST_PARAGRAPHS))]
+
+
+def fit(unknown: list[np.ndarray]) -> Families:
     """Classifiers and level from unknown paragraphs (word hashes); every fifth is held out for the level."""
     templates, rng = Templates(), np.random.default_rng(31)
-    unknown = [w for p in paragraphs for w in windows(p) if len(w) and (not len(templates.hits(w)) or templates.similarity(w) < CONFIRM)]
     held, unknown = unknown[::5], [w for i, w in enumerate(unknown) if i % 5]
     names = list(TEMPLATES)
     x, label = [features(w) for w in unknown], [-1] * len(unknown)
@@ -204,9 +218,7 @@ def train(documents: DataFrame, near: int = TRAIN_DOCUMENTS) -> Families:
     sample = documents.select(F.col("doc_id").cast("string").alias("doc_id"), text_column().alias("text")).filter(draw).select("text").limit(4 * near)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines = sorted({line for batch in batches for text in batch["text"] for line in text.split("\n") if line.strip()})
-        lines = lines[:: max(1, -(-len(lines) // MOST_PARAGRAPHS))]
-        model = fit(list(words_of([line.encode() for line in lines])))
+        model = fit(unknown_paragraphs([text for batch in batches for text in batch["text"]]))
         yield pd.DataFrame({"model": [pickle.dumps((model.names, model.weights, model.level))]})
 
     found = sample.coalesce(1).mapInPandas(run, "model binary").collect()

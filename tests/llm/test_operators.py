@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -262,6 +263,30 @@ def test_repeats(spark, documents, hot):
 
 # ---- personal data --------------------------------------------------------------------------
 
+
+def test_long_runs_of_digits_take_linear_time(spark, documents):
+    """A text of 100,000 digits, of digits and marks, and of short numbers: each would end after minutes if rescanned."""
+    rng = random.Random(18)
+    digits = "".join(rng.choice("0123456789") for _ in range(100_000))
+    texts = [digits, "1." * 50_000, "1-" * 50_000, "+1 " * 30_000, "4111 1111 1111 1111 " * 5_000, "a1@" * 30_000]
+    begin = time.perf_counter()
+    rows = personal_data.base_spans(documents(*enumerate(texts), parts=6)).collect()
+    assert time.perf_counter() - begin < 60
+    for row in rows:
+        wanted = plain.personal_data(texts[row["doc_id"]])[1] if row["doc_id"] != 1 else None
+        if wanted is not None:
+            assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in row["base"]) == wanted
+
+
+def test_luhn_of_any_length(spark):
+    rng = random.Random(19)
+    numbers = ["", "0", "18", "79927398713", "4111 1111-1111 1111", *("".join(rng.choice("0123456789") for _ in range(rng.randrange(1, 40))) for _ in range(200))]
+    frame = spark.createDataFrame([(n,) for n in numbers], "n string")
+    for r in frame.select("n", personal_data.luhn(F.col("n")).alias("ok")).collect():
+        digits = [int(c) for c in reversed(r["n"]) if c.isdigit()]
+        assert r["ok"] == (sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(digits)) % 10 == 0)
+
+
 PII = [
     (10, "mail bob@x.org, a@b.c+d@e.ff and +1 (017) 555-7713."),
     (11, "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 0001.2.3.255 4111 1111-1111 1111 4111111111111112"),
@@ -409,6 +434,17 @@ def test_wrapped_licences(spark, documents):
     assert sorted(found) == [(100, 1, "MIT"), (101, 2, "GPL-3.0")]
 
 
+def test_wrapped_licences_in_every_source_header(spark, documents):
+    """Halves of wrapped notices are the rule in such a corpus, yet are no examples of the unknown class."""
+    rng = random.Random(17)
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files"
+    rows = [(i, f"# {mit}\n{prose(rng, 30)}") for i in range(60)] + [(100 + i, prose(rng, 60)) for i in range(30)] + [(100, None)]
+    table = documents(*rows, rows[0])
+    found = rows_of(licences.find_licences(table), "doc_id", "paragraph", "family")
+    assert sorted(found) == sorted([(i, 0, "MIT") for i in range(60)] + [(0, 0, "MIT")])
+    assert licences.find_licences(table.limit(0)).count() == 0
+
+
 def test_several_licences_in_a_line(spark, documents):
     rng = random.Random(16)
     rows = [(i, "\n".join(prose(rng, 12) for _ in range(4))) for i in range(60)]
@@ -446,7 +482,7 @@ def test_decontamination(spark, documents):
 # ---- queries --------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op4_licences", "op7_decontamination"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op4_licences", "op7_decontamination", "op13_filter_audit"}))
 def test_every_document_is_in_the_result(spark, name):
     ids = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id").distinct().count()
     assert QUERIES[name](spark, SMALL).select("doc_id").distinct().count() == ids
