@@ -71,14 +71,25 @@ def s02(spark, folder):
     return read_table(spark, path, schema)
 
 
-def wide_sql(source: str, value: str, row: str = "cohort_month") -> str:
-    """The columns follow from the data here as well: DuckDB finds the labels on its own."""
+def lines_sql(source: str, value: str, row: str = "cohort_month", scale: int = 1) -> str:
+    """The matrix as a text per row, empty cells included; the columns follow from the data here as well."""
     return f"""
-    SELECT * FROM (PIVOT (SELECT {row} AS cohort_month, cohort_index, {value} AS v FROM {source})
-                   ON cohort_index USING max(v) GROUP BY cohort_month)"""
+    SELECT {row} AS cohort_month, string_agg(coalesce(CAST(CAST(floor({value} * {scale} + 0.5) AS BIGINT) AS VARCHAR), ''), ',' ORDER BY i) AS line
+    FROM (SELECT DISTINCT cohort_month FROM {source}) CROSS JOIN (SELECT DISTINCT cohort_index AS i FROM {source})
+         LEFT JOIN (SELECT cohort_month, cohort_index AS i, {value} FROM {source}) USING (cohort_month, i)
+    GROUP BY 1"""
 
 
-@query("S03_matrix_sink", sql("retained", wide_sql("retained", "retention", "strftime(cohort_month, '%Y-%m')")))
+MILLION = 1_000_000
+
+
+def lines(matrix, scale: int = 1, row: str = "cohort_month"):
+    """A wide matrix as (row, line): scaled whole numbers by commas, so that no number depends on how it is printed."""
+    whole = lambda c: F.floor(F.col(f"`{c}`") * scale + 0.5).cast("bigint").cast("string")
+    return matrix.select(row, F.concat_ws(",", *[F.coalesce(whole(c), F.lit("")) for c in matrix.columns if c != row]).alias("line"))
+
+
+@query("S03_matrix_sink", sql("retained", lines_sql("retained", "retention", "strftime(cohort_month, '%Y-%m')", MILLION)))
 def s03(spark, folder):
     table = settle(cohorts.retention(cells(star.shop(spark, folder))), "retention")
     path = sinks.write_matrix(table, scratch_path(spark, "retention-csv"), "cohort_month", "cohort_index", "retention")
@@ -86,7 +97,22 @@ def s03(spark, folder):
     schema = T.StructType(
         [T.StructField("cohort_month", T.StringType())] + [T.StructField(str(m), T.DoubleType()) for m in labels_]
     )
-    return read_table(spark, path, schema)
+    return lines(read_table(spark, path, schema), MILLION)
+
+
+@query("S03_matrix_tiles", sql("retained", lines_sql("retained", "retention", "strftime(cohort_month, '%Y-%m')", MILLION)))
+def s03_tiles(spark, folder):
+    """The same matrix in tiles of five months, read back tile by tile and put side by side."""
+    table = settle(cohorts.retention(cells(star.shop(spark, folder))), "retention")
+    path = sinks.write_tiles(table, scratch_path(spark, "retention-tiles"), "cohort_month", "cohort_index", "retention", tile=5)
+    tiles = spark.read.csv(f"{path}/labels", header=True).count()
+    beside = None
+    for tile in range(-(-tiles // 5)):
+        part = sinks.read_tile(spark, path, tile).withColumnRenamed("cells", f"t{tile}")
+        beside = part if beside is None else beside.join(part, "label")
+    every = F.concat(*[c for c in beside.columns if c != "label"])
+    whole = F.transform(every, lambda v: F.coalesce(F.floor(v.cast("double") * MILLION + 0.5).cast("bigint").cast("string"), F.lit("")))
+    return beside.select(F.col("label").alias("cohort_month"), F.array_join(whole, ",").alias("line"))
 
 
 def label_sql(days: int) -> str:
@@ -99,13 +125,13 @@ def label_sql(days: int) -> str:
 @query("S04_result_reuse", sql("cust ord span", label_sql(60)))
 def s04(spark, folder):
     shop = star.shop(spark, folder)
-    store = ResultStore(spark)
+    store, inputs = ResultStore(spark), [shop.customers, shop.orders]
 
     def build():
         return labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders, 60))
 
-    store.get("churn-labels", build, folder=folder, window_days=60)
-    return store.get("churn-labels", build, folder=folder, window_days=60)
+    store.get("churn-labels", build, inputs, window_days=60)
+    return store.get("churn-labels", build, inputs, window_days=60)
 
 
 @query(
@@ -477,9 +503,9 @@ def o04(shop):
 # ---- reshape --------------------------------------------------------------------------------
 
 
-@query("R01_pivot", sql("retained", wide_sql("retained", "active_customers")))
+@query("R01_pivot", sql("retained", lines_sql("retained", "active_customers")))
 def r01(shop):
-    return reshape.to_matrix(settle(cells(shop), "cells"), "cohort_month", "cohort_index", "active_customers")
+    return lines(reshape.to_matrix(settle(cells(shop), "cells"), "cohort_month", "cohort_index", "active_customers"))
 
 
 @query(

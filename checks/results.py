@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.registry import query, sql
-from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, cells, wide_sql
+from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, MILLION, cells, lines, lines_sql
 from custoria.operators import cohorts, features, labels, reshape
 from custoria.operators.horizon import horizon, last_date
 from custoria.plans import reports
@@ -69,10 +69,10 @@ def q05(shop):
     return cohorts.retention(cells(shop))
 
 
-@query("Q05_retention_matrix", sql("retained", wide_sql("retained", "retention")))
+@query("Q05_retention_matrix", sql("retained", lines_sql("retained", "retention", scale=MILLION)))
 def q05_wide(shop):
     table = settle(cohorts.retention(cells(shop)), "retention")
-    return reshape.to_matrix(table, "cohort_month", "cohort_index", "retention")
+    return lines(reshape.to_matrix(table, "cohort_month", "cohort_index", "retention"), MILLION)
 
 
 @query("Q06_cumulative_revenue", sql("cumulated", "SELECT * FROM cumulated"))
@@ -80,10 +80,10 @@ def q06(shop):
     return cohorts.cumulative_revenue(cells(shop))
 
 
-@query("Q06_cumulative_revenue_matrix", sql("cumulated", wide_sql("cumulated", "avg_cumulative_revenue")))
+@query("Q06_cumulative_revenue_matrix", sql("cumulated", lines_sql("cumulated", "avg_cumulative_revenue", scale=MILLION)))
 def q06_wide(shop):
     table = settle(cohorts.cumulative_revenue(cells(shop)), "revenue")
-    return reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue")
+    return lines(reshape.to_matrix(table, "cohort_month", "cohort_index", "avg_cumulative_revenue"), MILLION)
 
 
 @query(

@@ -114,14 +114,14 @@ def add_power(frame: DataFrame, shift: Column, alpha: Column, name: str) -> Data
 def add_power_shift(frame: DataFrame, alpha: Column, power: Column, name: str) -> DataFrame:
     """Add the shift at which a two-sided test at `alpha` has `power`; null unless 0 < alpha < power < 1.
 
-    The closed form neglects the far tail; a few Newton steps on both tails account for it.
+    The closed form neglects the far tail; two Newton steps on both tails account for it.
     """
     sound = (alpha > 0) & (power > alpha) & (power < 1)
     step = frame.withColumns({"_alpha": F.when(sound, alpha), "_power": F.when(sound, power)})
     step = add_normal_quantile(step, 1.0 - F.col("_alpha") / 2.0, "_cut")
     step = add_normal_quantile(step, F.col("_power"), "_reach")
     step = step.withColumn("_d", F.greatest(F.col("_cut") + F.col("_reach"), F.lit(0.05)))
-    for _ in range(4):
+    for _ in range(2):
         step = add_normal_cdf(step, F.col("_d") - F.col("_cut"), "_upper")
         step = add_normal_cdf(step, -F.col("_d") - F.col("_cut"), "_lower")
         density = lambda x: F.exp(-x * x / 2.0) / math.sqrt(2.0 * math.pi)

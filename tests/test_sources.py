@@ -7,7 +7,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from custoria import session
-from custoria.sources import sinks, star
+from custoria.operators import reshape
+from custoria.sources import files, sinks, star
 from custoria.sources.readers import SchemaError, open_shop, open_visits, read_table
 from custoria.sources.reuse import ResultStore, settle
 from custoria.sources.schemas import CUSTOMERS, ORDERS, TABLES
@@ -133,3 +134,58 @@ def test_a_cluster_must_name_the_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(Session())
+
+
+def test_changed_inputs_and_racing_writers(spark, tmp_path):
+    """A result is built anew when its input files change; of two writers one sound result is left; old ones go."""
+    data, built = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(data)
+    store = ResultStore(spark, str(tmp_path / "kept"))
+
+    def build():
+        built.append(spark.read.parquet(data).count())
+        return spark.read.parquet(data).selectExpr("count(*) AS n")
+
+    def n():
+        return store.get("size", build, [spark.read.parquet(data)], kind=1).first()["n"]
+
+    assert n() == n() == 3 and built == [3]
+    spark.range(2).write.mode("append").parquet(data)
+    assert n() == n() == 5 and built == [3, 5]
+    spark.range(7).write.mode("overwrite").parquet(data)
+    assert n() == 7
+
+    def slower():
+        inner = store.get("race", lambda: spark.range(1).selectExpr("'first' AS who"))
+        assert inner.first()["who"] == "first"
+        return spark.range(1).selectExpr("'second' AS who")
+
+    assert store.get("race", slower).first()["who"] == "first"
+    assert [p.name for p in (tmp_path / "kept" / "race").iterdir() if "." in p.name] == []
+    assert store.evict("size", 1) == 2 and len(files.names(spark, str(tmp_path / "kept" / "size"))) == 1
+    assert n() == 7 and built == [3, 5, 7]
+
+
+def test_a_matrix_of_25000_labels(spark, tmp_path):
+    """Beyond Spark's pivot limit: tiles side by side hold every cell at its label's place, empty ones included."""
+    cells = spark.range(25_000).select(F.col("id").alias("c"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(None))).alias("r"), (F.col("id") * 2).alias("v"))
+    cells = cells.filter("r is null or r = 1 or c % 1000 = 3")
+    path = sinks.write_tiles(cells, str(tmp_path / "wide"), "r", "c", "v", tile=10_000)
+    places = spark.read.csv(f"{path}/labels", header=True, inferSchema=True)
+    assert places.count() == 25_000 and places.filter("c <> place").count() == 0
+    widths = []
+    for tile in range(3):
+        rows = {r["label"]: r["cells"] for r in sinks.read_tile(spark, path, tile).collect()}
+        assert set(rows) == {"1", "2", ""}
+        widths.append(len(rows["1"]))
+        for at, (full, few, none) in enumerate(zip(rows["1"], rows["2"], rows[""])):
+            place = tile * 10_000 + at
+            assert full == none == str(2 * place) and few == (str(2 * place) if place % 1000 == 3 else None)
+    assert widths == [10_000, 10_000, 5_000]
+
+
+def test_numbers_follow_the_order(spark):
+    table = spark.createDataFrame([(f"v{i % 700:04d}",) for i in range(5000)] + [(None,)], "v string").repartition(7)
+    found = {r["v"]: r["place"] for r in reshape.numbered(table, "v").collect()}
+    assert found == {f"v{i:04d}": i for i in range(700)}
+    assert reshape.numbered(table.limit(0), "v").count() == 0
