@@ -29,7 +29,7 @@ from custoria.llm.common import prepare, settle, with_text
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 2048
 #: Word encodings a worker remembers, about, and the longest word remembered.
-REMEMBERED_WORDS, LONGEST_WORD = 1_000_000, 64
+REMEMBERED_WORDS, LONGEST_WORD = 600_000, 64
 #: Pieces of one length that one task ranks.
 SLICE_ROWS = 50_000
 
@@ -120,7 +120,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|[0-9]|[!-/:-@\[-`{-~]+")
 _CAPITAL = re.compile("[A-Z]")
 _MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 #: Pieces encoded in one call, and bytes of text whose new words are learned together.
-_JOINED, _TEXT_BYTES = 256, 1 << 23
+_JOINED, _TEXT_BYTES = 256, 1 << 21
 
 
 def _pieces(word: str) -> list[str] | None:
