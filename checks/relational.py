@@ -18,7 +18,7 @@ from custoria.functions.columns import (
     thousands,
 )
 from custoria.operators import cohorts, experiment, features, labels, overview, reshape
-from custoria.operators.horizon import eligible, horizon, observed, outcome
+from custoria.operators.horizon import eligible, horizon, last_date_in_files, observed, outcome
 from custoria.session import scratch_path
 from custoria.sources import sinks, star
 from custoria.sources.readers import read_table
@@ -194,6 +194,18 @@ def p06(shop):
     return first.select("first_date", span.max_date.alias("max_date"), span.cutoff.alias("cutoff"))
 
 
+@query(
+    "P06_cutoff_from_footers",
+    sql("ord span", "SELECT max(max_date) AS max_date, max(cutoff) AS cutoff, count(*) FILTER (order_date <= cutoff) AS seen FROM ord, span"),
+)
+def p06_footers(shop):
+    spark = shop.orders.sparkSession
+    path = sinks.write_result(shop.orders, scratch_path(spark, "orders"), "parquet")
+    placed = spark.read.parquet(path)
+    span = horizon(placed, as_of=last_date_in_files(spark, path))
+    return placed.agg(span.max_date.alias("max_date"), span.cutoff.alias("cutoff"), F.count_if(span.seen()).alias("seen"))
+
+
 @query("P07_observation_filter", sql("hist", f"SELECT {ORDER_COLUMNS} FROM hist"))
 def p07(shop):
     return observed(shop.orders, horizon(shop.orders))
@@ -647,3 +659,28 @@ def r03(shop):
         for place, level in enumerate(levels[column], start=1)
     }
     return table.select("customer_id", *[value.alias(names[name]) for name, value in columns.items()])
+
+
+@query(
+    "R03_wide_matrix",
+    sql(
+        "ord",
+        """SELECT 'discount_applied' AS feature, CAST(sum(discount_applied) AS DOUBLE) AS total FROM ord
+        UNION ALL SELECT 'order_date_' || strftime(order_date, '%Y-%m-%d'), CAST(count(*) AS DOUBLE) FROM ord
+                  WHERE order_date > (SELECT min(order_date) FROM ord) GROUP BY 1
+        UNION ALL SELECT 'payment_method_' || payment_method, CAST(count(*) AS DOUBLE) FROM ord
+                  WHERE payment_method > (SELECT min(payment_method) FROM ord) GROUP BY 1""",
+    ),
+)
+def r03_wide(shop):
+    """Column sums of a matrix with a column per order date."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from custoria.operators.matrix import Design
+
+    placed = settle(shop.orders, "orders")
+    design = Design.fit(placed, ("discount_applied",), ("order_date", "payment_method"))
+    sums = design.assemble(placed, ["order_id"]).agg(Summarizer.sum(F.col("features")).alias("v"))
+    each = sums.select(F.posexplode(vector_to_array("v")).alias("place", "total"))
+    return design.name_table(placed.sparkSession).join(each, "place").select("feature", "total")

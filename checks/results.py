@@ -9,6 +9,8 @@ from checks.relational import CATEGORY_SQL, KPI_SQL, MONTH_SQL, MILLION, cells,
 from custoria.operators import cohorts, features, labels, reshape
 from custoria.operators.horizon import horizon, last_date
 from custoria.plans import reports
+from custoria.session import scratch_path
+from custoria.sources.layout import write_layout
 from custoria.sources.reuse import settle
 
 FEATURE_COLUMNS = """customer_id, signup_date, city, age, gender, acquisition_channel, total_orders, total_spend,
@@ -40,6 +42,14 @@ def rate_sql(days: int) -> str:
 RATE = "SELECT window_days, eligible, churned, CAST(churned AS DOUBLE) / eligible AS churn_rate FROM"
 
 
+@query("Q01_customer_features_buckets", sql("feat", f"SELECT {FEATURE_COLUMNS} FROM feat"))
+def q01_buckets(shop):
+    """The same table over a layout in buckets of customers."""
+    saved = write_layout(shop, scratch_path(shop.orders.sparkSession, "layout"))
+    span = horizon(saved.orders, as_of=last_date(saved.orders))
+    return features.churn_features(saved.customers, saved.orders, saved.order_items, span)
+
+
 @query("Q02_churn_rate", sql("cust ord", f"{RATE} ({rate_sql(90)})"))
 def q02(shop):
     table = labels.class_summary(labels.churn_labels(shop.customers, shop.orders, horizon(shop.orders, 90, last_date(shop.orders))))

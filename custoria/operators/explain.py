@@ -20,8 +20,17 @@ TABLED = 10
 _AT_ONCE = 1 << 18
 
 
-def importances(spark: SparkSession, model, names: list[str]) -> DataFrame:
-    """One row per matrix column with the model's impurity importance."""
+def importances(spark: SparkSession, model, names: list[str] | DataFrame) -> DataFrame:
+    """One row per matrix column with the model's impurity importance.
+
+    The names of a wide matrix are a table (place, feature), with which the columns a model uses at all are joined.
+    """
+    if isinstance(names, DataFrame):
+        values = model.featureImportances.toArray()
+        rows = [(int(i), float(values[i])) for i in np.flatnonzero(values)]
+        split_on = spark.createDataFrame(rows, "place bigint, importance double")
+        joined = names.join(F.broadcast(split_on), "place", "left")  # no more than the model has nodes
+        return joined.select("feature", F.coalesce("importance", F.lit(0.0)).alias("importance"))
     values = model.featureImportances.toArray().tolist()
     return spark.createDataFrame(list(zip(names, values)), "feature string, importance double")
 

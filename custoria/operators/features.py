@@ -11,13 +11,15 @@ NO_PAYMENT = "None"
 DAYS_PER_MONTH = 30
 
 
-def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> DataFrame:
+def order_history(orders: DataFrame, span: Horizon, payment: bool = False, together: bool = False) -> DataFrame:
     """One row per customer with both time slices, from one scan of `orders`.
 
     History and outcome are conditional aggregates of the same grouping, so orders are read and
     shuffled once. With `payment` the grouping is first by (customer, payment method), which
     leaves a handful of rows per customer to merge and from which the most used method falls
     out; even a customer with most of the orders is then cheap. Ties take the lowest name.
+
+    `together` says that orders lie in buckets of customers, so that nothing needs to be shuffled.
     """
     slices = orders.filter(F.col("customer_id").isNotNull()).select(
         "customer_id",
@@ -50,7 +52,7 @@ def order_history(orders: DataFrame, span: Horizon, payment: bool = False) -> Da
         votes = F.when(used, F.struct(-F.col("payments"), F.col("payment_method")))
         # Choosing a name needs a sort by customer. Repartitioning first lets one sort serve both
         # halves of the aggregate and the join that follows.
-        base = base.repartition("customer_id").groupBy("customer_id").agg(
+        base = (base if together else base.repartition("customer_id")).groupBy("customer_id").agg(
             *[F.sum(c).alias(c) for c in ("total_orders", "priced_orders", "discount_orders", "future_orders")],
             *add_parts("spend"),
             *add_parts("future_spend"),
@@ -89,16 +91,23 @@ def rfm(orders: DataFrame, span: Horizon) -> DataFrame:
     return table.drop("future_orders", "future_spend")
 
 
+def carries_customer(order_items: DataFrame) -> bool:
+    """Whether items name their customer, as they do in the layout of `custoria.sources.layout`."""
+    return "customer_id" in order_items.columns
+
+
 def category_diversity(orders: DataFrame, order_items: DataFrame, span: Horizon) -> DataFrame:
     """Number of distinct categories per customer in the history.
 
     Only keys cross the join. The distinct count merges (customer, category) pairs before they
-    are shuffled by customer, so its shuffle is bounded by the pairs, not the items.
+    are shuffled by customer, so its shuffle is bounded by the pairs, not the items. Items that carry their customer are
+    joined by it, too: with both tables in buckets of customers neither join nor count shuffles anything.
     """
     placed = observed(orders, span).filter(F.col("customer_id").isNotNull()).select("order_id", "customer_id")
-    bought = order_items.select("order_id", "category")
+    keys = ["customer_id", "order_id"] if carries_customer(order_items) else ["order_id"]
+    bought = order_items.select(*keys, "category")
     return (
-        placed.join(bought, "order_id")
+        placed.join(bought, keys)
         .groupBy("customer_id")
         .agg(F.count_distinct("category").alias("category_diversity"))
     )
@@ -146,7 +155,7 @@ def churn_features(
 
     `payment=False` is the variant without the payment method, which needs one shuffle less.
     """
-    history = derived(order_history(orders, span, payment), span)
+    history = derived(order_history(orders, span, payment, carries_customer(order_items)), span)
     diversity = category_diversity(orders, order_items, span)
     table = (
         eligible(customers, span)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 @dataclass(frozen=True)
@@ -44,6 +44,32 @@ def last_date(orders: DataFrame) -> dt.date | None:
     return orders.agg(F.max("order_date")).first()[0]
 
 
+def last_date_in_files(spark: SparkSession, path: str, column: str = "order_date") -> dt.date | None:
+    """The last date of the Parquet files at `path`, from the statistics in their footers: no page is read.
+
+    Null dates do not count; a table without any date, or without rows, has none. Where a part of a file has no statistics,
+    since it holds nulls only or was written without them, the column is read instead.
+    """
+    try:
+        return newest_in_files(spark, path, column).first()[0]
+    except Exception as error:
+        if "No min/max found" not in str(error):
+            raise
+        return spark.read.parquet(path).agg(F.max(column)).first()[0]
+
+
+def newest_in_files(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """The largest value of a column as an aggregate that the Parquet source answers itself.
+
+    Only the second version of the source can do that. It is chosen in a session of its own, which shares this one's
+    executors but not its settings, so no other scan changes its plan.
+    """
+    footers = spark.newSession()
+    footers.conf.set("spark.sql.sources.useV1SourceList", "")
+    footers.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return footers.read.parquet(path).agg(F.max(column).alias(column))
+
+
 def observed(orders: DataFrame, span: Horizon) -> DataFrame:
     """Orders that features may use."""
     return orders.filter(span.seen())

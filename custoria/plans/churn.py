@@ -80,7 +80,7 @@ class ChurnRun:
 
     def forest_importance(self, k: int = 10) -> DataFrame:
         spark = self.scores.sparkSession
-        ranked = explain.importances(spark, self.models[FOREST], self.prepared.design.names)
+        ranked = explain.importances(spark, self.models[FOREST], self.prepared.design.named(spark))
         return top_rows(ranked, "importance", "feature", k)
 
     def attributions(self) -> DataFrame:

@@ -58,7 +58,7 @@ class SpendRun:
 
     def importance(self, k: int = 10) -> DataFrame:
         spark = self.scores.sparkSession
-        ranked = explain.importances(spark, self.models[BOOSTED], self.prepared.design.names)
+        ranked = explain.importances(spark, self.models[BOOSTED], self.prepared.design.named(spark))
         return top_rows(ranked, "importance", "feature", k)
 
 
