@@ -1,14 +1,16 @@
 """Exact duplicates through an extendible-hash index on shared files.
 
 One scan normalises every text (white space of ASCII removed), hashes it and writes a staged Parquet table below the
-shared folder: a small record per row, and the normalised bytes once per task and text. The byte counts per hash prefix
-build the directory: it doubles until no bucket is over its capacity, splitting only overfull buckets. The directory is
-saved next to the staged table. Owner tasks each take a range of buckets, sorted by key; entries with the same 64-bit key
-form a chain, and an entry joins a link of the chain only if all bytes are equal. Rows then look up their class.
+shared folder: a small record per row that names the first row of its task with the same text, and the normalised bytes
+with that first row only: an entry. The byte counts per hash prefix build the directory: it doubles until no bucket is over
+its capacity, splitting only overfull buckets. The directory is saved next to the staged table. Owner tasks each take a
+range of buckets, sorted by key; entries with the same 64-bit key form a chain, and an entry joins a link of the chain only
+if all bytes are equal. Every owner writes its buckets, in order, as one file of the index: (bucket, key, link, first).
+A class of equal texts is a link of a chain, so groups come from compared bytes and from no digest.
 
 Copies within a task send their bytes once, so a text that a third of all rows share costs one entry per task. The owner
-keeps the chain of one key at a time, so its memory is the distinct texts of one key. The class look-up is a plain join
-that AQE can split for a hot class.
+keeps the chain of one key at a time, so its memory is the distinct texts of one key. Rows find their class through the
+first row of their task, so no value of the join has more rows than a scan task, however often a text occurs.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ BUCKET_BYTES = 64 << 20
 #: The directory has at most 2**MAX_BITS cells, so it stays within a few megabytes at any size of corpus.
 MAX_BITS = 20
 
-_STAGED = "doc_id bigint, row bigint, n_points bigint, key bigint, sha binary, entry binary, n_bytes bigint"
+_STAGED = "doc_id bigint, row bigint, n_points bigint, first bigint, key bigint, sha binary, entry binary, n_bytes bigint"
+_INDEX = "bucket int, key bigint, link int, first bigint, sha binary"
 
 
 def bucket_plan(cell_bytes: dict[int, int], bits: int, capacity: int) -> list[tuple[int, int]]:
@@ -74,23 +77,27 @@ def _scan(key_bits: int):
     mask = (1 << key_bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, bytes] = {}
+        seen: dict[bytes, tuple[bytes, int]] = {}
         held = 0
         for batch in batches:
-            keys, shas, entries, sizes = [], [], [], []
-            for raw in batch.column(2).cast(pa.binary()).to_pylist():
+            firsts, keys, shas, entries, sizes = [], [], [], [], []
+            for row, raw in zip(batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
                 body = raw.translate(None, WHITE)
                 sha = hashlib.sha256(body).digest()
-                keys.append((int.from_bytes(sha[:8], "big") & mask) - (1 << 63) if key_bits == 64 else int.from_bytes(sha[:8], "big") & mask)
-                shas.append(sha)
-                if seen.get(sha) == body:
-                    entries.append(None)
-                    sizes.append(None)
+                known = seen.get(sha)
+                if known and known[0] == body:
+                    firsts.append(known[1])
+                    for column in (keys, shas, entries, sizes):
+                        column.append(None)
                     continue
                 if held > REMEMBERED_BYTES:
                     seen, held = {}, 0
-                seen[sha] = body
+                seen[sha] = (body, row)
                 held += len(body)
+                key = int.from_bytes(sha[:8], "big")
+                firsts.append(row)
+                keys.append(key - (1 << 63) if key_bits == 64 else key & mask)
+                shas.append(sha)
                 entries.append(body)
                 sizes.append(len(body) + 64)
             yield pa.RecordBatch.from_arrays(
@@ -98,49 +105,35 @@ def _scan(key_bits: int):
                     batch.column(0),
                     batch.column(1),
                     pc.utf8_length(batch.column(2)).cast(pa.int64()),
+                    pa.array(firsts, pa.int64()),
                     pa.array(keys, pa.int64()),
                     pa.array(shas, pa.binary()),
                     pa.array(entries, pa.binary()),
                     pa.array(sizes, pa.int64()),
                 ],
-                ["doc_id", "row", "n_points", "key", "sha", "entry", "n_bytes"],
+                ["doc_id", "row", "n_points", "first", "key", "sha", "entry", "n_bytes"],
             )
 
     return run
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chains of the entries of an owner, which come sorted by key."""
+    """The entries of an owner, which come sorted by key, with the link of its key's chain that holds the same bytes."""
     current, chain = None, []
-    done: list[tuple[int, bytes, int, int]] = []
-
-    def close():
-        done.extend((current, sha, place, n) for place, (sha, _, n) in enumerate(chain))
-
-    def flush():
-        columns = list(zip(*done)) if done else [[], [], [], []]
-        kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(c, k) for c, k in zip(columns, kinds)], ["key", "sha", "link", "entries"]
-        )
-
     for batch in batches:
-        for key, sha, entry in zip(*(batch.column(i).to_pylist() for i in range(3))):
+        links = []
+        for key, entry in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist()):
             if key != current:
-                close()
                 current, chain = key, []
-            for link in chain:
-                if link[1] == entry:
-                    link[2] += 1
-                    break
-            else:
-                if any(link[0] == sha for link in chain):
-                    raise ValueError("two different texts have the same SHA-256")
-                chain.append([sha, entry, 1])
-        yield flush()
-        done.clear()
-    close()
-    yield flush()
+            try:
+                links.append(chain.index(entry))
+            except ValueError:
+                links.append(len(chain))
+                chain.append(entry)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(links, pa.int32()), batch.column(2), batch.column(3)],
+            ["bucket", "key", "link", "first", "sha"],
+        )
 
 
 def exact_groups(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bits: int = 64) -> DataFrame:
@@ -179,28 +172,30 @@ def exact_groups(documents: DataFrame, bucket_bytes: int = BUCKET_BYTES, key_bit
     directory = spark.read.parquet(path)  # at most 2**MAX_BITS rows
 
     owned = (
-        entries.select("key", "sha", "entry", cell.alias("cell"))
+        entries.select("key", "first", "sha", "entry", cell.alias("cell"))
         .join(F.broadcast(directory), "cell")
         .repartitionById(owners, F.col("owner"))
         .sortWithinPartitions("bucket", "key")
-        .select("key", "sha", "entry")
+        .select("bucket", "key", "first", "sha", "entry")
     )
-    links = owned.mapInArrow(_own, "key bigint, sha binary, link int, entries bigint")
-    best = staged.groupBy("key", "sha").agg(
-        F.count(F.lit(1)).alias("group_size"),
-        # not(x) = -x - 1 turns the order around without overflow; null ids come last.
-        F.max(F.struct("n_points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))).alias("best"),
+    index = settle(owned.mapInArrow(_own, _INDEX), "index-buckets")
+
+    # not(x) = -x - 1 turns the order around without overflow; null ids come last.
+    order = F.struct("n_points", F.bitwise_not("doc_id").alias("id"), F.bitwise_not("row").alias("row"))
+    copies = staged.groupBy("first").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("best"))
+    classes = copies.join(index, "first").groupBy("key", "link").agg(
+        F.sum("n").alias("group_size"), F.max(F.struct("best", "sha")).alias("top")
     )
-    classes = settle(best.join(links, ["key", "sha"]), "index-classes")
+    found = settle(index.select("key", "link", "first").join(classes, ["key", "link"]), "index-classes")
     return (
-        staged.select("doc_id", "row", "n_points", "key", "sha")
-        .join(classes, ["key", "sha"])
+        staged.select("doc_id", "row", "n_points", "first")
+        .join(found, "first")
         .select(
             "doc_id",
-            F.bitwise_not("best.id").alias("keep_id"),
+            F.bitwise_not("top.best.id").alias("keep_id"),
             "group_size",
-            (F.col("row") == F.bitwise_not("best.row")).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
+            (F.col("row") == F.bitwise_not("top.best.row")).alias("kept"),
+            F.lower(F.hex("top.sha")).alias("text_sha256"),
             "n_points",
             "link",
         )

@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,6 +63,13 @@ def test_exact_groups(spark, documents, key_bits):
     assert {r["count"] for r in kept} == {1} and len(kept) == len({r[3] for r in found})
 
 
+def test_chains_tell_texts_of_one_digest_apart():
+    """Key and digest agree, bytes do not; a chain goes on over batches and ends with its key."""
+    batch = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("bucket", "key", "first", "sha", "entry"), row)) for row in rows])
+    out = exact_dedup._own(iter([batch((0, 5, 1, b"s", b"a"), (0, 5, 2, b"s", b"b")), batch((0, 5, 3, b"s", b"a"), (1, 6, 4, b"s", b"b"))]))
+    assert [(r["bucket"], r["key"], r["link"], r["first"]) for b in out for r in b.to_pylist()] == [(0, 5, 0, 1), (0, 5, 1, 2), (0, 5, 0, 3), (1, 6, 0, 4)]
+
+
 def test_drop_exact_keeps_one_row_and_all_columns(spark, documents):
     table = documents(*EDGE)
     kept = exact_dedup.drop_exact(table)
