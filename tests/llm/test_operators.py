@@ -464,6 +464,22 @@ def test_several_licences_in_a_line(spark, documents):
     assert sorted(found) == [(102, 0, "Apache-2.0"), (102, 0, "MIT"), (103, 0, "Apache-2.0"), (103, 0, "MIT")]
 
 
+def test_items_with_all_edits_allowed_are_found_as_by_brute_force():
+    rng = np.random.default_rng(5)
+    words = lambda n: rng.integers(0, 1500, n)
+    texts = [" ".join(f"w{w}" for w in words(n)).encode() for n in (5, 10, 15, 20, 40, 80) for _ in range(20)]
+    items = decontamination.build_items(list(enumerate(texts)))
+    fresh = lambda n: rng.integers(1, 1 << 62, n).astype("u8")
+    found_in = [np.concatenate([fresh(int(rng.integers(0, 30))), decontamination._edited(own, int(edits), rng), fresh(9)]) for own, edits in zip(items.words, items.edits)]
+    beyond = [decontamination._edited(own, 3 * int(edits) + 3, rng) for own, edits in zip(items.words, items.edits)]
+    bodies = [*found_in, *beyond, fresh(400), fresh(0)]
+    near = {(d, i): decontamination.edit_distance_inside(own, body) for d, body in enumerate(bodies) for i, own in enumerate(items.words)}
+    wanted = {pair: n for pair, n in near.items() if n <= items.edits[pair[1]]}
+    found = {(d, i): n for d, i, n, _ in decontamination.matches(items, bodies)}
+    assert set(found) <= set(wanted) and len(wanted) >= len(texts)
+    assert len(found) >= decontamination.RECALL * len(wanted)
+
+
 def test_decontamination(spark, documents):
     rng = random.Random(14)
     items = [(i, prose(rng, rng.randint(12, 50))) for i in range(60)]
