@@ -5,13 +5,17 @@ run of its words is within floor(n * (100 - percent) / 100) word edits of it.
 
 1. Windows. An item cut into (edits + 1) pieces keeps one piece whole, so only item-sized windows that hold the first words
    of a piece at its place can match. All other windows are passed over without loss.
-2. The CGK walk reads a window word by word; at each of 3 n steps it notes the current word, and a shared random bit of
-   (step, word) tells whether to go on to the next. Walks of texts within few edits mostly agree. Each of several repeats
-   samples some steps of a walk of its own; a window is a candidate if all samples of one repeat agree with the item's.
-   The number of repeats is set so that edited copies of the items reach the target recall.
+2. The CGK walk reads a window word by word; at each of n steps it notes the current word, and a shared random bit of
+   (step, word) tells whether to go on to the next. Walks of texts within few edits mostly agree. As there are no more steps
+   than words, no walk leaves its window. Every other repeat walks from the last word backwards, so that both ends of a
+   window are read. Each repeat samples some steps of a walk of its own; a window is a candidate if all samples of one
+   repeat agree with the item's. Per class of item lengths (powers of two) samples and repeats are fitted: repeats reach the
+   target recall on copies with all edits allowed, samples are those that let the fewest unrelated windows pass. Where no
+   choice reaches the recall, nothing is sampled and all windows of that class are verified.
 3. Candidates are verified by the exact edit distance of the item to any run of words in the window and around it.
 
-The benchmark travels to the tasks in slices of bounded size; a larger benchmark takes one pass per slice.
+The benchmark's distinct texts travel to the tasks in slices bounded in number and bytes; a larger benchmark takes one pass
+per slice, and the driver holds one slice at a time. Ids are joined to the found texts afterwards.
 """
 
 from __future__ import annotations
@@ -23,23 +27,26 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custoria.llm.common import prepare, text_column
+from custoria.llm.common import prepare, settle, text_column
 from custoria.llm.shingles import Shingler, mix
 
 PERCENT = 80
 RECALL = 0.995
-#: Items that travel to the tasks at once.
-SLICE_ITEMS = 20_000
+#: Items that travel to the tasks at once, and bytes of their texts; only a single item may be larger.
+SLICE_ITEMS, SLICE_BYTES = 20_000, 1 << 23
 #: Words of a piece that must be found, at most.
 SEED_WORDS = 4
-#: Steps sampled per repeat, and most repeats.
-SAMPLES, MOST_REPEATS = 2, 64
+#: Most steps sampled per repeat, most repeats, and the copies that a fit tries.
+MOST_SAMPLES, MOST_REPEATS, TRIED = 5, 128, 400
+#: Words of windows that are walked at once.
+_CELLS = 1 << 15
 _FILTER = 1 << 20
 _WORDS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _PLACE = mix(np.arange(1, SEED_WORDS + 1, dtype="u8") * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_SAMPLE = mix(np.arange(101, 101 + MOST_SAMPLES, dtype="u8")) | np.uint64(1)
 
 
 def words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -71,12 +78,12 @@ def edit_distance_inside(item: np.ndarray, words: np.ndarray) -> int:
     return int(row.min())
 
 
-def walks(texts: np.ndarray, steps: np.ndarray, seed: int) -> np.ndarray:
-    """Words noted at the sampled `steps` (repeats, texts, samples) of a walk per repeat over `texts` (texts, words)."""
+def walks(texts: np.ndarray, steps: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+    """Words noted at the sampled `steps` (repeats, texts, samples) of a walk per lane over `texts` (texts, words)."""
     repeats, n, samples = steps.shape
     at = np.zeros((repeats, n), "i8")
     noted = np.zeros((repeats, n, samples), "u8")
-    lane = mix(np.arange(repeats, dtype="u8") + np.uint64(seed))[:, None]
+    lane = mix(lanes.astype("u8") + np.uint64(12345))[:, None]
     rows, last = np.arange(n)[None, :], texts.shape[1] - 1
     for step in range(int(steps.max(initial=-1)) + 1):
         word = np.where(at <= last, texts[rows, np.minimum(at, last)], np.uint64(0))
@@ -95,21 +102,23 @@ def _padded(rows: list[np.ndarray], width: int) -> np.ndarray:
     return out
 
 
-@dataclass
-class Items:
-    """Items of one slice, ready for the tasks."""
-
-    ids: list[int]
-    words: list[np.ndarray]
-    edits: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # per seed length: filter, seed, item, place
-    share: np.ndarray  # sampled places in (0, 1), (repeats, samples)
-    noted: np.ndarray
-    seed: int = 12345
+def notes(texts: list[np.ndarray], length: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Words noted (repeats, texts, samples) in windows for items of `length` words; odd repeats walk backwards.
 
-    def steps(self, items: np.ndarray) -> np.ndarray:
-        length = np.array([len(self.words[i]) for i in items])
-        return (self.share[:, None, :] * 3 * length[None, :, None]).astype("i8")
+    `share` (repeats, samples) holds the places, in [0, 1), of the sampled steps.
+    """
+    out = np.zeros((len(share), len(texts), share.shape[1]), "u8")
+    lanes = np.arange(len(share))
+    at = 0
+    while at < len(texts) and out.size:
+        some = max(1, min(512, _CELLS // max(1, int(length[at : at + 512].max()))))
+        part = texts[at : at + some]
+        steps = (share[:, None, :] * length[None, at : at + some, None]).astype("i8")
+        width = max(1, max(map(len, part)))
+        out[0::2, at : at + some] = walks(_padded(part, width), steps[0::2], lanes[0::2])
+        out[1::2, at : at + some] = walks(_padded([t[::-1] for t in part], width), steps[1::2], lanes[1::2])
+        at += some
+    return out
 
 
 def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
@@ -122,7 +131,68 @@ def _edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarr
     return np.array(out, "u8")
 
 
-def build_items(rows: list[tuple[int, bytes]], percent: int = PERCENT, recall: float = RECALL) -> Items:
+@dataclass
+class Sampling:
+    """Sampled places of the repeats, fitted to items of one class of lengths, and what the fit measured."""
+
+    share: np.ndarray
+    recall: float = 1.0
+    unrelated: float = 1.0
+
+    def marks(self, texts: list[np.ndarray], length: np.ndarray) -> np.ndarray:
+        """One number per repeat and text that stands for all its samples."""
+        with np.errstate(over="ignore"):
+            return mix((notes(texts, length, self.share) * _SAMPLE[: self.share.shape[1]]).sum(2, dtype="u8"))
+
+
+def fit_sampling(words: list[np.ndarray], edits: np.ndarray, pool: np.ndarray, recall: float) -> Sampling:
+    """Samples and repeats for these items; unrelated windows are drawn from the words of `pool`."""
+    rng = np.random.default_rng(99)
+    share = rng.random((MOST_REPEATS, MOST_SAMPLES))
+    tries = max(40, min(TRIED, (1 << 16) // max(map(len, words))))
+    some = np.resize(rng.permutation(len(words)), tries)
+    own = [words[i] for i in some]
+    length = np.array([len(w) for w in own])
+    copies = [_edited(words[i], int(edits[i]), rng)[: len(words[i])] for i in some]
+    other = [pool[rng.integers(0, len(pool), len(w))] for w in own]
+    base, near, far = (notes(t, length, share) for t in (own, copies, other))
+    best = Sampling(share[:1, :0])
+    for samples in range(1, MOST_SAMPLES + 1):
+        hit, miss = (np.maximum.accumulate((x == base)[:, :, :samples].all(2), axis=0).mean(1) for x in (near, far))
+        enough = np.flatnonzero(hit >= recall)
+        # Half as many repeats again, as the copies tried are few.
+        repeats = 3 * (int(enough[0]) + 1) // 2 + 1 if len(enough) else MOST_REPEATS + 1
+        if repeats <= MOST_REPEATS and miss[repeats - 1] < best.unrelated:
+            best = Sampling(share[:repeats, :samples], float(hit[repeats - 1]), float(miss[repeats - 1]))
+    return best
+
+
+@dataclass
+class Items:
+    """Items of one slice, ready for the tasks."""
+
+    ids: list
+    words: list[np.ndarray]
+    edits: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # per seed length: filter, seed, item, place
+    kind: np.ndarray  # class of lengths
+    sampling: dict[int, Sampling]  # per class
+    row: np.ndarray  # of an item among those of its class
+    marks: dict[int, np.ndarray]  # per class, (repeats, items of the class)
+
+    def passed(self, which: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
+        """Whether the walks over each window agree with those of its item in all samples of a repeat."""
+        out = np.zeros(len(which), bool)
+        for kind in np.unique(self.kind[which]).tolist():
+            at = np.flatnonzero(self.kind[which] == kind)
+            own = which[at]
+            length = np.array([len(self.words[i]) for i in own])
+            seen = self.sampling[kind].marks([windows[i] for i in at], length)
+            out[at] = (seen == self.marks[kind][:, self.row[own]]).any(0)
+        return out
+
+
+def build_items(rows: list[tuple], percent: int = PERCENT, recall: float = RECALL) -> Items:
     """Seeds and sampled walks of the items; items without words are left out."""
     ids, words = [], []
     for (item, _), own in zip(rows, words_of([t for _, t in rows])):
@@ -146,23 +216,16 @@ def build_items(rows: list[tuple[int, bytes]], percent: int = PERCENT, recall: f
         near[code % np.uint64(_FILTER)] = True
         seeds[n] = (near, code, np.array([i for _, i, _ in own]), np.array([p for _, _, p in own]))
 
-    rng = np.random.default_rng(99)
-    share = np.sort(rng.random((MOST_REPEATS, SAMPLES)), axis=1)
-    items = Items(ids, words, edits, seeds, share, np.zeros((MOST_REPEATS, 0, SAMPLES), "u8"))
-    if words:
-        width = max(map(len, words))
-        every = np.arange(len(words))
-        items.noted = walks(_padded(words, width), items.steps(every), items.seed)
-        # Repeats: as few as find the wanted share of windows of copies with the most edits allowed.
-        some = rng.permutation(len(words))[:400]
-        tried = np.repeat(some, max(1, 400 // len(some)))
-        copies = [_edited(words[i], int(edits[i]), rng)[: len(words[i])] for i in tried]
-        agree = (walks(_padded(copies, width), items.steps(tried), items.seed) == items.noted[:, tried]).all(2)
-        reached = np.maximum.accumulate(agree, axis=0).mean(1)
-        enough = np.flatnonzero(reached >= recall)
-        repeats = min(MOST_REPEATS, 2 * (int(enough[0]) + 1)) if len(enough) else MOST_REPEATS
-        items.share, items.noted = share[:repeats], items.noted[:repeats]
-    return items
+    kind = np.array([len(w).bit_length() for w in words], "i8")
+    row, sampling, marks = np.zeros(len(words), "i8"), {}, {}
+    pool = np.concatenate(words) if words else np.zeros(0, "u8")
+    for k in np.unique(kind).tolist():
+        own = np.flatnonzero(kind == k)
+        row[own] = np.arange(len(own))
+        texts = [words[i] for i in own]
+        sampling[k] = fit_sampling(texts, edits[own], pool, recall)
+        marks[k] = sampling[k].marks(texts, np.array([len(t) for t in texts]))
+    return Items(ids, words, edits, seeds, kind, sampling, row, marks)
 
 
 def matches(items: Items, documents: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
@@ -182,39 +245,49 @@ def matches(items: Items, documents: list[np.ndarray]) -> list[tuple[int, int, i
     order = sorted(found)
     for at in range(0, len(order), 512):
         part = order[at : at + 512]
-        length = [len(items.words[i]) for _, i, _ in part]
-        windows = []
-        for (d, i, start), n in zip(part, length):
-            windows.append(documents[d][max(0, start) : max(0, start) + n])
         which = np.array([i for _, i, _ in part])
-        noted = walks(_padded(windows, max(length)), items.steps(which), items.seed)
-        hit = (noted == items.noted[:, which]).all(2).any(0)
-        for (d, i, start), n, ok in zip(part, length, hit):
+        windows = [documents[d][max(0, start) : max(0, start + len(items.words[i]))] for d, i, start in part]
+        for (d, i, start), ok in zip(part, items.passed(which, windows)):
             if ok:
-                slack = int(items.edits[i])
+                n, slack = len(items.words[i]), int(items.edits[i])
                 distance = edit_distance_inside(items.words[i], documents[d][max(0, start - slack) : max(0, start + n + slack)])
                 if distance <= slack:
                     best[d, i] = min(best.get((d, i), (distance, start)), (distance, start))
     return [(d, i, distance, max(0, start)) for (d, i), (distance, start) in best.items()]
 
 
-def _slices(benchmark: DataFrame, percent: int, slice_items: int) -> Iterator[Items]:
-    rows = benchmark.select(F.col("item_id"), text_column().alias("text"))
-    slices = max(1, math.ceil(rows.count() / slice_items))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(slices))
+def _key() -> Column:
+    return F.sha2(text_column(), 256)
+
+
+def _slices(benchmark: DataFrame, percent: int, slice_items: int, slice_bytes: int) -> Iterator[tuple[Items, bool]]:
+    """Distinct texts by their keys, slice by slice, and whether it is the only slice."""
+    texts = benchmark.groupBy(_key().alias("key")).agg(F.first(text_column()).alias("text"))
+    slices = 1
+    while True:
+        part = F.pmod(F.xxhash64("key"), F.lit(slices)).alias("part")
+        size = texts.groupBy(part).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+        over = F.greatest(F.col("n") / slice_items, F.when(F.col("n") > 1, F.col("size") / slice_bytes).otherwise(0))
+        most = size.agg(F.max(over)).first()[0] or 0
+        if most <= 1:
+            break
+        slices *= max(2, math.ceil(most))
     for i in range(slices):
-        yield build_items(sorted((r.item_id if r.item_id is not None else -1, r.text.encode()) for r in rows.filter(part == i).collect()), percent)
+        rows = texts.filter(part == i).collect() if slices > 1 else texts.collect()
+        yield build_items(sorted((r.key, r.text.encode()) for r in rows), percent), slices == 1
 
 
-def find_items(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, slice_items: int = SLICE_ITEMS) -> DataFrame:
+def find_items(
+    documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """One row per row of `documents` and item found in it: doc_id, item_id, distance, n_words, place.
 
     distance is the fewest word edits found, n_words the item's length, place the word the window starts at (both from the
     candidate windows, best first). Null and empty texts, and items without words, match nothing; items of fewer than five
     words match without edits only. An item without id is reported as -1. Rows that repeat are reported as often; equal
-    items each on their own. No items or no documents give no rows.
+    items each on their own. No items or no documents give no rows. Further columns of both tables are passed over.
     """
-    spark = prepare(documents.sparkSession)
+    prepare(documents.sparkSession)
     rows = documents.select("doc_id", text_column().alias("text"))
 
     def scan(items: Items):
@@ -224,16 +297,23 @@ def find_items(documents: DataFrame, benchmark: DataFrame, percent: int = PERCEN
                 found = matches(items, list(words_of(batch.column(1).cast(pa.binary()).to_pylist())))
                 out = [(ids[d], items.ids[i], distance, len(items.words[i]), place) for d, i, distance, place in found]
                 columns = list(zip(*out)) if out else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "distance", "n_words", "place"])
+                types = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "key", "distance", "n_words", "place"])
 
         return run
 
-    schema = "doc_id bigint, item_id bigint, distance bigint, n_words bigint, place bigint"
-    parts = [rows.mapInArrow(scan(items), schema) for items in _slices(benchmark, percent, slice_items)]
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    schema = "doc_id bigint, key string, distance bigint, n_words bigint, place bigint"
+    parts = []
+    for items, only in _slices(benchmark, percent, slice_items, slice_bytes):
+        part = rows.mapInArrow(scan(items), schema)
+        parts.append(part if only else settle(part, "found"))
+    ids = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(-1)).alias("item_id"), _key().alias("key"))
+    return reduce(DataFrame.unionByName, parts).join(ids, "key").select("doc_id", "item_id", "distance", "n_words", "place")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, slice_items: int = SLICE_ITEMS) -> DataFrame:
+def drop_contaminated(
+    documents: DataFrame, benchmark: DataFrame, percent: int = PERCENT, slice_items: int = SLICE_ITEMS, slice_bytes: int = SLICE_BYTES
+) -> DataFrame:
     """The rows of `documents` that hold no item, with all their columns."""
     prepare(documents.sparkSession)
     place = documents.columns.index("text")
@@ -247,6 +327,7 @@ def drop_contaminated(documents: DataFrame, benchmark: DataFrame, percent: int =
 
         return run
 
-    for items in _slices(benchmark, percent, slice_items):
+    for items, only in _slices(benchmark, percent, slice_items, slice_bytes):
         documents = documents.mapInArrow(keep(items), documents.schema)
+        documents = documents if only else settle(documents, "kept")
     return documents

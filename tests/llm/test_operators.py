@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from custoria.llm import decontamination, exact_dedup, language_id, licences, packing, personal_data, quality, repeats, toxicity
 from custoria.llm.queries import QUERIES
 from custoria.llm.shingle_join import bands_of, drop_near, part_keys, shingle_groups
-from custoria.llm.shingles import Shingler
+from custoria.llm.shingles import Shingler, mix
 from custoria.llm.signature_tree import join, linked
 from custoria.llm.suffixes import deep_shallow
 from tests.conftest import SMALL
@@ -480,6 +480,22 @@ def test_items_with_all_edits_allowed_are_found_as_by_brute_force():
     assert len(found) >= decontamination.RECALL * len(wanted)
 
 
+def test_sampling_selects():
+    """Of windows unrelated to an item hardly any pass; copies with all edits do, and equal ones always."""
+    rng = np.random.default_rng(8)
+    common = 1 / np.arange(1, 4001)
+    draw = lambda n: mix(rng.choice(4000, n, p=common / common.sum()).astype("u8") + np.uint64(1))
+    texts = [" ".join(f"w{w}" for w in rng.choice(4000, n, p=common / common.sum())).encode() for n in (10, 20, 40, 80) for _ in range(100)]
+    items = decontamination.build_items(list(enumerate(texts)))
+    every = np.arange(len(texts))
+    assert items.passed(every, items.words).all()
+    copies = [decontamination._edited(w, int(e), rng)[: len(w)] for w, e in zip(items.words, items.edits)]
+    assert items.passed(every, copies).mean() >= 0.98
+    others = np.array([items.passed(every, [draw(len(w)) for w in items.words]) for _ in range(5)]).mean(0)
+    assert all(others[np.array([len(w) == n for w in items.words])].mean() < 0.01 for n in (20, 40, 80))
+    assert others.mean() < 0.02
+
+
 def test_decontamination(spark, documents):
     rng = random.Random(14)
     items = [(i, prose(rng, rng.randint(12, 50))) for i in range(60)]
@@ -497,6 +513,13 @@ def test_decontamination(spark, documents):
     for slice_items in (20_000, 7):
         found = {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(table, benchmark, slice_items=slice_items).collect()}
         assert found == planted
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_items(table, benchmark, slice_bytes=4000).collect()} == planted
+    # Repeated items, one of them most of the table, are each reported, and further columns do no harm.
+    most = benchmark.unionByName(benchmark.filter("item_id = 1").withColumn("item_id", F.explode(F.sequence(F.lit(500), F.lit(600)).cast("array<bigint>"))))
+    most = most.withColumn("doc_id", F.lit(7)).withColumn("key", F.lit("x")).withColumn("distance", F.lit("y"))
+    found = [(r["doc_id"], r["item_id"]) for r in decontamination.find_items(table, most, slice_items=30).collect()]
+    assert sorted(found) == sorted([*planted, *((1001, i) for i in range(500, 601))])
+    assert decontamination.drop_contaminated(table, most, slice_items=40).count() == len(rows) - len(planted)
     kept = decontamination.drop_contaminated(table, benchmark)
     assert kept.columns == table.columns and kept.count() == len(rows) - len(planted)
     assert decontamination.find_items(table.limit(0), benchmark).count() == 0
