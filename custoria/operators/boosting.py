@@ -2,8 +2,8 @@
 
 Rows are binned once and kept as blocks of columns, a byte a value. A tree grows level by level: one job adds up, per open
 node, feature and bin, the gradients and Hessians of all rows; of two siblings only the lighter one is added up, the other
-is its parent less that. The driver sees these sums alone, whose size depends on depth, features and bins but not on rows,
-and picks the split of the greatest gain; a leaf is -G / (H + penalty). Gradients are rounded to a fixed grid before they
+is its parent less that. The sums are shuffled by slices of features, and the task of a slice picks each node's split of the
+greatest gain in it. The driver sees a split per node and slice alone; a leaf is -G / (H + penalty). Gradients are rounded to a fixed grid before they
 are added, so sums do not depend on the order of rows, blocks or tasks, and with the same cuts neither does the model. Where one partition
 holds every row, the same steps run inside its task, as there is nothing to add up across tasks.
 
@@ -19,7 +19,7 @@ import sys
 import types
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
-from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,7 +35,7 @@ from custoria.sources import files
 
 #: Rows of a block, and blocks whose margins a Python worker remembers between jobs.
 BLOCK_ROWS, REMEMBERED = 65_536, 64
-#: Partial sums beyond which they are merged by executors before they reach the driver.
+#: Most slices of features, whose tasks each tell the driver one split per node.
 DRIVER_PARTS = 32
 MOST_BINS = 256
 LOGISTIC, SQUARED = "logistic", "squared"
@@ -259,6 +259,39 @@ class Bins:
     def starts(self) -> np.ndarray:
         return np.concatenate([[0], np.cumsum(self.sizes)]).astype(int)
 
+    def slices(self, most: int) -> list[tuple[int, int]]:
+        """At most `most` ranges of features with about as many bins each."""
+        starts = self.starts
+        ends = np.unique(np.searchsorted(starts, np.linspace(0, starts[-1], most + 1))).tolist()
+        return list(zip(ends, ends[1:]))
+
+
+@dataclass(frozen=True)
+class Level:
+    """The open nodes of a level, ascending, and those of them whose rows are added up: of two siblings the lighter one."""
+
+    nodes: list[int]
+    light: list[int]
+    #: Places of the parents in the level above, and of the open nodes among the light ones and then their siblings.
+    split: list[int] = field(default_factory=list)
+    order: list[int] = field(default_factory=list)
+
+    def below(self, tree: Tree, split: list[int]) -> Level:
+        parents = [self.nodes[at] for at in split]
+        light = [2 * p + 1 if tree.cover[2 * p + 1] <= tree.cover[2 * p + 2] else 2 * p + 2 for p in parents]
+        both = [*light, *(4 * p + 3 - child for p, child in zip(parents, light))]
+        order = np.argsort(both).tolist()
+        return Level([both[i] for i in order], light, split, order)
+
+    def sums(self, own: np.ndarray, above: np.ndarray | None) -> np.ndarray:
+        """Sums of all open nodes, from those of the light ones and of the level above."""
+        if above is None:
+            return own
+        return np.concatenate([own, above[:, self.split] - own], 1)[:, self.order]
+
+
+ROOT = Level([0], [0])
+
 
 def _add_up(blocks, run: str, loss: str, bins: Bins, trees: list[Tree], first: int, grown: Tree | None, nodes: list[int], grid: float):
     """(gradient and Hessian sums per node and bin, loss) of the rows of some blocks, in units of the grid."""
@@ -307,7 +340,7 @@ def _advance(settings: Settings, features: int, trees: list[Tree]):
 
 
 def _best(sums: np.ndarray, starts: np.ndarray, settings: Settings):
-    """(gain, feature, bin, left G, left H) per node of its best split; a gain of -inf where there is none.
+    """(gain, feature, bin, left G, left H, G, H) per node and its best split; a gain of -inf where there is none.
 
     Ties go to the first feature and bin.
     """
@@ -329,36 +362,29 @@ def _best(sums: np.ndarray, starts: np.ndarray, settings: Settings):
     cell = np.argmax(gain, 1)
     rows = np.arange(len(cell))
     feature = np.searchsorted(starts, cell, "right") - 1
-    return gain[rows, cell], feature, cell - starts[feature], left_g[rows, cell], left_h[rows, cell]
+    return gain[rows, cell], feature, cell - starts[feature], left_g[rows, cell], left_h[rows, cell], whole_g[:, 0], whole_h[:, 0]
 
 
-def grow(level: Callable, cuts: list[list[float]], bins: Bins, settings: Settings) -> tuple[Tree, float]:
-    """One more tree and the loss before it. `level(tree, nodes)` adds up the rows that are in `nodes` of a tree so far."""
-    tree, starts = Tree.empty(settings.depth), bins.starts
-    sums, lost = level(None, [0])
-    nodes = [0]
+def grow(level: Callable, cuts: list[list[float]], settings: Settings) -> tuple[Tree, float]:
+    """One more tree and the loss before it. `level(tree, at)` finds the best splits of the open nodes of a tree so far."""
+    tree, at = Tree.empty(settings.depth), ROOT
+    found, lost = level(None, at)
     for depth in range(settings.depth):
-        g, h = (s[:, : starts[1]].sum(1) for s in sums)
+        gain, feature, code, left_g, left_h, g, h = found
         if not depth:
             tree.value[0], tree.cover[0] = (-g[0] / (h[0] + settings.penalty) if h[0] + settings.penalty > 0 else 0.0), h[0]
-        gain, feature, code, left_g, left_h = _best(sums, starts, settings)
-        split = [at for at in range(len(nodes)) if gain[at] > -np.inf]
-        for at in split:
-            node = nodes[at]
-            tree.feature[node], tree.code[node], tree.gain[node] = feature[at], code[at], gain[at]
-            tree.cut[node] = cuts[feature[at]][code[at]]
-            sides = ((left_g[at], left_h[at]), (g[at] - left_g[at], h[at] - left_h[at]))
+        split = [i for i in range(len(at.nodes)) if gain[i] > -np.inf]
+        for i in split:
+            node = at.nodes[i]
+            tree.feature[node], tree.code[node], tree.gain[node] = feature[i], code[i], gain[i]
+            tree.cut[node] = cuts[feature[i]][code[i]]
+            sides = ((left_g[i], left_h[i]), (g[i] - left_g[i], h[i] - left_h[i]))
             for child, (own_g, own_h) in zip((2 * node + 1, 2 * node + 2), sides):
                 tree.value[child], tree.cover[child] = -own_g / (own_h + settings.penalty), own_h
         if not split or depth + 1 == settings.depth:
             break
-        parents = [nodes[at] for at in split]
-        light = [2 * p + 1 if tree.cover[2 * p + 1] <= tree.cover[2 * p + 2] else 2 * p + 2 for p in parents]
-        own, _ = level(tree, light)
-        both = np.concatenate([own, sums[:, split] - own], 1)
-        nodes = [*light, *(4 * p + 3 - child for p, child in zip(parents, light))]
-        order = np.argsort(nodes)
-        nodes, sums = [nodes[i] for i in order], both[:, order]
+        at = at.below(tree, split)
+        found, _ = level(tree, at)
     tree.value *= settings.rate
     return tree, lost
 
@@ -367,14 +393,16 @@ def _grow_here(run: str, settings: Settings, cuts: list[list[float]], bins: Bins
     """Task side where one partition holds every row: `rounds` trees, grown as the driver grows them."""
 
     def one(blocks):
-        blocks, trees, losses = list(blocks), [], []
+        blocks, trees, losses, sums = list(blocks), [], [], None
 
-        def level(grown, nodes):
-            total, lost = _add_up(blocks, run, settings.loss, bins, trees, first, grown, nodes, grid)
-            return total / grid, lost
+        def level(grown, at):
+            nonlocal sums
+            total, lost = _add_up(blocks, run, settings.loss, bins, trees, first, grown, at.light, grid)
+            sums = at.sums(total, None if grown is None else sums)
+            return _best(sums / grid, bins.starts, settings), lost
 
         for _ in range(rounds):
-            tree, lost = grow(level, cuts, bins, settings)
+            tree, lost = grow(level, cuts, settings)
             trees.append(tree)
             losses.append(lost)
         yield trees, losses
@@ -382,6 +410,40 @@ def _grow_here(run: str, settings: Settings, cuts: list[list[float]], bins: Bins
     return one
 
 
+def _by_slice(known: tuple, bins: Bins, slices: list[tuple[int, int]], depth: int):
+    """Task side: the sums of a partition by slice of features. One without blocks has none."""
+    starts = bins.starts
+
+    def run(part: int, blocks):
+        for block in blocks:
+            total, lost = _add_up(chain([block], blocks), *known)
+            for own, (a, b) in enumerate(slices):
+                yield own, (depth, part, lost, total[:, :, starts[a] : starts[b]])
+
+    return run
+
+
+def _choose(levels: list[Level], settings: Settings, bins: Bins, slices: list[tuple[int, int]], grid: float):
+    """Task side: (slice, best splits in it of the last level's open nodes, loss) from the sums of all levels so far."""
+
+    def run(rows):
+        totals, costs, own = [0.0] * len(levels), {}, None
+        for own, (depth, part, lost, total) in rows:
+            totals[depth] = totals[depth] + total
+            if depth + 1 == len(levels):
+                costs[part] = lost
+        if own is None:
+            return
+        sums = None
+        for level, total in zip(levels, totals):
+            sums = level.sums(total, sums)
+        a, b = slices[own]
+        gain, feature, *others = _best(sums / grid, bins.starts[a : b + 1] - bins.starts[a], settings)
+        yield own, (gain, feature + a, *others), sum(costs[part] for part in sorted(costs))
+
+    return run
+
+
 class Fit:
     """One run of boosting: the blocks, what is saved, and the trees so far."""
 
@@ -457,6 +519,7 @@ class Fit:
         self.bins = Bins([len(c) + 1 for c in self.cuts])
         self.parts = self.blocks.rdd.map(tuple).persist()
         self.n_parts = self.parts.getNumPartitions()
+        self.slices = self.bins.slices(min(DRIVER_PARTS, int(np.ceil(np.sqrt(self.n_parts)))))
 
     def _save(self) -> None:
         rounds, before = len(self.model.trees), self.first
@@ -468,20 +531,31 @@ class Fit:
         files.delete(self.spark, self._path("blocks", before))
         files.delete(self.spark, self._path("trees", before))
 
-    def _level(self, grown: Tree | None, nodes: list[int]) -> tuple[np.ndarray, float]:
+    def _level(self, grown: Tree | None, at: Level) -> tuple[tuple, float]:
+        """Best splits of the open nodes and the loss so far.
+
+        Sums are shuffled once a level and stay in slices of features; what the slices know of the levels above is read again
+        from that tree's earlier shuffles. The driver gets a split per node and slice.
+        """
         bare = np.zeros(0)
         since = [Tree(t.feature, t.code, bare, t.value, bare, bare) for t in self.model.trees[self.first :]]
-        known = (self.run, self.settings.loss, self.bins, since, self.first, grown, nodes, self.grid)
-        sums = self.parts.mapPartitions(lambda blocks: [_add_up(blocks, *known)])
-        add = lambda a, b: (a[0] + b[0], a[1] + b[1])
-        total, lost = sums.treeReduce(add) if self.n_parts > DRIVER_PARTS else reduce(add, sums.collect())
-        return total / self.grid, lost
+        known = (self.run, self.settings.loss, self.bins, since, self.first, grown, at.light, self.grid)
+        if grown is None:
+            self.levels = []
+        by_slice = _by_slice(known, self.bins, self.slices, len(self.levels))
+        # All levels are dealt alike, so their union puts a slice's sums side by side and shuffles nothing again.
+        self.levels.append((at, self.parts.mapPartitionsWithIndex(by_slice).partitionBy(len(self.slices), int)))
+        sums = self.spark.sparkContext.union([table for _, table in self.levels])
+        choose = _choose([level for level, _ in self.levels], self.settings, self.bins, self.slices, self.grid)
+        found = sorted(sums.mapPartitions(choose).collect(), key=lambda f: f[0])
+        best = np.argmax([splits[0] for _, splits, _ in found], 0)  # of equal gains the first feature's
+        return tuple(np.array([found[i][1][k][n] for n, i in enumerate(best)]) for k in range(7)), found[0][2]
 
     def _grow(self, rounds: int) -> None:
         """More trees: level by level over all partitions, or within the only one."""
         if self.n_parts > 1:
             for _ in range(rounds):
-                tree, lost = grow(self._level, self.cuts, self.bins, self.settings)
+                tree, lost = grow(self._level, self.cuts, self.settings)
                 self.model.trees.append(tree)
                 self.model.losses.append(lost / self.weight)
             return
@@ -497,7 +571,7 @@ class Fit:
             if after_save:
                 after_save(len(self.model.trees))
         if len(self.model.losses) == len(self.model.trees):
-            self.model.losses.append(self._level(None, [0])[1] / self.weight)
+            self.model.losses.append(self._level(None, ROOT)[1] / self.weight)
         self.parts.unpersist()
         return self.model
 

@@ -1,10 +1,12 @@
 """Boosted trees against a plain fit, across partitionings, and through an interruption."""
 
 import math
+import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.linalg import Vectors
 
 from custoria.operators import boosting, learners
@@ -117,6 +119,25 @@ def test_one_partition_or_many_give_the_same_trees(spark, monkeypatch, driver_pa
     assert same(once, spread) and spread.losses == pytest.approx(once.losses, abs=1e-12)
 
 
+def test_the_driver_gets_splits_not_sums(spark, monkeypatch):
+    x, y, w = sample(random.Random(11), 900, 200)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 100)
+    fit = boosting.Fit(table_of(spark, x, y, w, 6), "y", "w", Settings(LOGISTIC, 2, 3, 0.2), None)
+    assert fit.n_parts > 2 and sum(fit.bins.sizes) > 300
+    sizes, collect = [], RDD.collect
+
+    def weighed(rdd):
+        found = collect(rdd)
+        sizes.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", weighed)
+    fit._grow(2)
+    assert len(fit.model.trees) == 2 and all(t.feature[0] >= 0 for t in fit.model.trees)
+    # a dozen numbers per node and slice, whatever the number of bins and partitions
+    assert sizes and max(sizes) < 6_000
+
+
 def test_goes_on_after_an_interruption(spark, tmp_path, monkeypatch):
     x, y, w = sample(random.Random(8), 600, 30)
     table = table_of(spark, x, y, w)
