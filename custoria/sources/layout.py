@@ -17,8 +17,8 @@ from custoria.sources.reuse import settle
 KEY = "customer_id"
 #: Sort columns per table: a bucket is read in the order its joins and groupings want.
 ORDER = {"customers": [KEY], "orders": [KEY, "order_id"], "order_items": [KEY, "order_id"]}
-#: Rows of the three tables that a bucket should hold.
-BUCKET_ROWS = 8_000_000
+#: Rows of the three tables that a bucket should hold: one task sorts and groups them.
+BUCKET_ROWS = 1_000_000
 #: A largest bucket with more than this many times the mean is hot: Spark does not split the scan of a bucket.
 HOT = 4
 

@@ -51,6 +51,15 @@ def test_a_hot_customer_is_left_to_the_shuffle(spark, tmp_path):
     assert rows(table(saved)) == rows(table(shop))
 
 
+def test_buckets_stay_small_enough_for_a_task(spark, tmp_path):
+    many = spark.range(2_200_000).selectExpr("id % 4000 AS order_id", "'c' AS category", "1 AS quantity", "1.0 AS item_price")
+    shop = Shop(customers(spark, *[(i, "2023-01-01") for i in range(2000)]), orders(spark, *[(i, i % 2000, "2024-01-05", 1.0) for i in range(4000)]), many)
+    with settings(spark, {"spark.sql.requireAllClusterKeysForCoPartition": "true"}):
+        saved = layout.write_layout(shop, f"{tmp_path}/shop")
+        assert spark.read.json(f"{tmp_path}/shop/layout").first()["buckets"] == 3
+        assert saved.order_items.count() == 2_200_000
+
+
 def test_every_row_is_kept(spark, tmp_path):
     placed = orders(spark, (1, 7, "2024-01-05", 1.0), (2, None, "2024-01-06", 2.0), (2, None, "2024-01-06", 2.0), (3, 8, None, 3.0))
     sold = items(spark, (1, "a", 1, 1), (1, "a", 1, 1), (2, "b", 1, 1), (99, "c", 1, 1), (None, None, 1, 1))
