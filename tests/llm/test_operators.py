@@ -250,6 +250,19 @@ def test_deep_shallow_sorts():
     assert keys == sorted(keys)
 
 
+def test_ranges_of_a_text_leave_the_comparison_joined():
+    rng = random.Random(5)
+    word = lambda n: bytes(rng.randrange(1, 255) for _ in range(n))
+    length, gram = 60, 16
+    middle, rows = word(gram), []
+    for i in range(12):  # texts that agree on ever more bytes before the anchor: a range for every depth
+        rows.append((1, bytes([i]), 100, word(44 - 3 * i) + bytes(range(1, 1 + 3 * i))[::-1] + middle + b"x" * 44))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["key", "id", "place", "bytes"])
+    found = [tuple(r.values()) for b in repeats._compare(length, gram)(iter([batch])) for r in b.to_pylist()]
+    # Row i shares with row i + 1, the last one with the one before.
+    assert sorted(found) == [(bytes([i]), 100 - 3 * min(i, 10), 160) for i in range(12)]
+
+
 @pytest.mark.parametrize("hot", [20_000, 3])
 def test_repeats(spark, documents, hot):
     """Shared passages at all borders, periodic runs, copies; a low bound sends frequent anchors the aggregate way."""
