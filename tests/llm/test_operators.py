@@ -282,6 +282,35 @@ def test_repeats(spark, documents, hot):
     assert repeats.remove_repeats(table.limit(0)).count() == 0
 
 
+def test_a_window_of_frequent_grams_is_hashed_once():
+    """A window that holds many anchors belongs to one of them; before, each of them hashed all windows around it."""
+    length, gram = 60, 16
+    raw = (prose(random.Random(7), 30) + " " + "abcdefghi" * 30 + " " + prose(random.Random(8), 30)).encode()
+    places, _ = repeats.Anchors(length, gram).find(raw)
+    padded = raw.rjust(len(raw) + length, b"\xff").ljust(len(raw) + 2 * length, b"\xff").translate(repeats._UP)
+    bodies = [padded[p + gram : p + 2 * length] for p in places.tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array([b"t"] * len(places)), pa.array(places), pa.array(bodies)], ["id", "place", "bytes"])
+    starts = [s for b in repeats._windows(length, gram)(iter([batch, batch.slice(0, 0)])) for s in b.column(2).to_pylist()]
+    assert sorted(starts) == list(range(len(raw) - length + 1))
+
+
+def test_frequent_windows_are_joined_with_a_saved_table(documents, monkeypatch):
+    """Next to an aggregate by window Spark can neither broadcast a join by window nor split it where one is frequent."""
+    rng, plans = random.Random(23), {}
+
+    def settle(frame, label, save=repeats.settle):
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return save(frame, label)
+
+    monkeypatch.setattr(repeats, "settle", settle)
+    passage = prose(rng, 30)
+    rows = [(i, prose(rng, 9) + passage + prose(rng, 9)) for i in range(30)]
+    got = repeats.remove_repeats(documents(*rows), length=60, gram=16, hot_rows=3)
+    assert "Join" in plans["ranges"] and not re.search(r"Aggregate\(keys=\[window", plans["ranges"])
+    want = [(doc, *values[:2]) for (doc, _), values in zip(rows, plain.repeats([t for _, t in rows], 60))]
+    assert sorted(rows_of(got, "doc_id", "n_bytes", "n_removed")) == want and min(w[2] for w in want) >= len(passage)
+
+
 # ---- personal data --------------------------------------------------------------------------
 
 
