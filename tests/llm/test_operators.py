@@ -295,7 +295,7 @@ def test_a_window_of_frequent_grams_is_hashed_once():
 
 
 def test_frequent_windows_are_joined_with_a_saved_table(documents, monkeypatch):
-    """Next to an aggregate by window Spark can neither broadcast a join by window nor split it where one is frequent."""
+    """Next to an aggregate by window Spark can neither broadcast a join by window nor split it where one is frequent; so for grams."""
     rng, plans = random.Random(23), {}
 
     def settle(frame, label, save=repeats.settle):
@@ -307,6 +307,7 @@ def test_frequent_windows_are_joined_with_a_saved_table(documents, monkeypatch):
     rows = [(i, prose(rng, 9) + passage + prose(rng, 9)) for i in range(30)]
     got = repeats.remove_repeats(documents(*rows), length=60, gram=16, hot_rows=3)
     assert "Join" in plans["ranges"] and not re.search(r"Aggregate\(keys=\[window", plans["ranges"])
+    assert "Join" in plans["contexts"] and not re.search(r"Aggregate\(keys=\[key", plans["contexts"])
     want = [(doc, *values[:2]) for (doc, _), values in zip(rows, plain.repeats([t for _, t in rows], 60))]
     assert sorted(rows_of(got, "doc_id", "n_bytes", "n_removed")) == want and min(w[2] for w in want) >= len(passage)
 
